@@ -23,7 +23,7 @@ def parse_list_any(col: Column | str) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     single = F.array(F.coalesce(F.get_json_object(col, "$"), col))
     items = F.coalesce(F.from_json(col, STRINGS), single)
-    cleaned = F.filter(F.transform(items, F.trim), lambda item: item != "")
+    cleaned = F.filter(F.transform(items, lambda item: F.trim(item)), lambda item: item != "")
     return F.when(F.trim(col) != "", cleaned).otherwise(F.array().cast(STRINGS))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from groundcover import config
 from groundcover.functions.geo import haversine_km
 from groundcover.plans.skew import skew_safe_join
 from groundcover.plans.topk import top_k
+from groundcover.session import materialize
 
 MARGIN = 1.01
 
@@ -97,12 +99,14 @@ def nearest_within(
         F.col(cid).alias("_cid"), F.col(clat).alias("_clat"), F.col(clon).alias("_clon")
     ).dropna()
     places = top_k(places, ["_clat", "_clon"], [F.col("_cid")])  # copies of one place
-    found = None
-    for radius in levels or (km / 8, km):
-        step = _search(open_points, places, radius)
-        found = step if found is None else found.unionByName(step)
-        open_points = open_points.join(step.select("_pid"), "_pid", "left_anti")
-    return found.withColumnsRenamed({"_pid": pid, "_cid": cid})
+    radii = list(levels or (km / 8, km))
+    open_points = materialize(open_points, "points")
+    found = []
+    for radius in radii[:-1]:
+        found.append(materialize(_search(open_points, places, radius), "nearest"))
+        open_points = open_points.join(found[-1].select("_pid"), "_pid", "left_anti")
+    found.append(_search(open_points, places, radii[-1]))
+    return reduce(DataFrame.unionByName, found).withColumnsRenamed({"_pid": pid, "_cid": cid})
 
 
 def points_in_polygons(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from groundcover import config
 from groundcover.plans.skew import skew_safe_join
 from groundcover.plans.topk import top_k
+from groundcover.session import materialize
 
 # Rare letters first: two similar names are looked up through their rarest letters.
 LETTERS_BY_RARITY = "qxjzwfvkpycbmdguhtslrnoiea "
@@ -36,17 +37,19 @@ def edit_ratio(candidate: Column, name: Column) -> Column:
 
 
 def _letters(name: Column) -> Column:
-    """Numbered letters ('a1', 'a2', …) as (rarity, letter, occurrence), rarest first."""
+    """The letters of a name as sorted numbers, rarest first.
+
+    A number holds rarity, code point and occurrence ('a' twice gives two numbers), so
+    equal letters of two names are equal numbers.
+    """
     chars = F.filter(F.split(name, ""), lambda c: c != "")
-    numbered = F.transform(
-        chars,
-        lambda c, i: F.struct(
-            F.call_function("instr", F.lit(LETTERS_BY_RARITY), c).alias("rarity"),
-            c.alias("letter"),
-            F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c)).alias("nth"),
-        ),
-    )
-    return F.array_sort(numbered)
+
+    def number(c: Column, i: Column) -> Column:
+        rarity = F.call_function("instr", F.lit(LETTERS_BY_RARITY), c).cast("long")
+        nth = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda d: d == c))
+        return rarity * F.lit(1 << 40) + F.ascii(c) * F.lit(1 << 16) + nth
+
+    return F.sort_array(F.transform(chars, number))
 
 
 def similar_pairs(
@@ -67,17 +70,13 @@ def similar_pairs(
         shared = lambda a, b: F.ceil(F.lit(cutoff) * F.greatest(a, b) - 1e-9)
 
     def keyed(df: DataFrame, name: str, prefix: str) -> DataFrame:
-        size = F.length(name)
+        size, letters = F.col(f"{prefix}_size"), F.col(f"{prefix}_letters")
         at_least = shared(size, F.ceil(size * F.lit(shortest) - 1e-9))
-        letters = _letters(F.col(name))
-        return df.select(
-            "block",
-            F.col(name),
-            size.alias(f"{prefix}_size"),
-            letters.alias(f"{prefix}_letters"),
-            F.explode(F.slice(letters, F.lit(1), F.greatest(size - at_least + 1, F.lit(0)).cast("int"))).alias(
-                "letter_key"
-            ),
+        keys = F.greatest(size - at_least + 1, F.lit(0)).cast("int")
+        return (
+            df.select("block", name, F.length(name).alias(f"{prefix}_size"))
+            .withColumn(f"{prefix}_letters", _letters(F.col(name)))
+            .withColumn("letter_key", F.explode(F.slice(letters, F.lit(1), keys)))
         )
 
     a = keyed(left, "name", "a")
@@ -127,6 +126,7 @@ def fuzzy_resolve(
     ).select("block", "name", F.col("target").alias("_alias"))
     same = options.select("block", F.col("candidate").alias("name"), F.lit(True).alias("_same"))
     first = names.join(aliased, ["block", "name"], "left").join(same, ["block", "name"], "left")
+    first = materialize(first, "names")
     settled = first.where(F.col("_alias").isNotNull() | F.col("_same")).select(
         "block",
         "name",

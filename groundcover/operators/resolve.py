@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from groundcover.operators.geo import nearest_within, points_in_polygons
 from groundcover.operators.match import fuzzy_resolve, polygon_names
 from groundcover.plans.skew import skew_safe_join
 from groundcover.plans.topk import top_k
+from groundcover.session import materialize
 
 UNMATCHED = "unmatched"
 
@@ -83,29 +85,34 @@ def resolve(facilities: DataFrame, stages: Sequence[Stage], key: str = "unique_i
 
     A stage maps (key, latitude, longitude) to at most one row per key with
     `found_district`, `found_state` and `found_type`. Earlier results always win and the
-    number of rows never changes. Name and state are filled together.
+    number of rows never changes. Name and state are filled together. Between stages only
+    the narrow open and found rows are written; the facilities are joined once at the end.
     """
-    out = facilities
-    for stage in stages:
-        waiting = out.where(~F.col("district_resolved") & F.col("coordinates_valid")).select(
+    waiting = materialize(
+        facilities.where(~F.col("district_resolved") & F.col("coordinates_valid")).select(
             key, "latitude", "longitude"
-        )
+        ),
+        "waiting",
+    )
+    answers = []
+    for stage in stages:
         found = stage(waiting).where(F.col("found_district").isNotNull())
-        out = out.join(found, key, "left")
-        hit = ~F.col("district_resolved") & F.col("found_district").isNotNull()
-        out = out.withColumns(
+        answers.append(materialize(found, "found"))
+        waiting = waiting.join(answers[-1].select(key), key, "left_anti")
+    found = reduce(DataFrame.unionByName, answers)
+    hit = F.col("found_district").isNotNull()
+    return (
+        facilities.join(found, key, "left")
+        .withColumns(
             {
-                "nfhs_district_name": F.when(hit, F.col("found_district")).otherwise(
-                    F.col("nfhs_district_name")
-                ),
+                "nfhs_district_name": F.coalesce("nfhs_district_name", "found_district"),
                 "nfhs_state_ut": F.when(hit, F.col("found_state")).otherwise(F.col("nfhs_state_ut")),
-                "district_match_type": F.when(hit, F.col("found_type")).otherwise(
-                    F.col("district_match_type")
-                ),
+                "district_match_type": F.coalesce("found_type", "district_match_type"),
                 "district_resolved": F.col("district_resolved") | hit,
             }
-        ).drop("found_district", "found_state", "found_type")
-    return out
+        )
+        .drop("found_district", "found_state", "found_type")
+    )
 
 
 def nearest_stage(codes: DataFrame, km: float = config.NEAREST_KM) -> Stage:

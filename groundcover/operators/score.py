@@ -11,6 +11,7 @@ from groundcover import config
 from groundcover.plans.prefix import exact_quantiles, ordered_counts
 from groundcover.plans.skew import skew_safe_join
 from groundcover.plans.topk import top_k
+from groundcover.session import materialize
 
 
 def weighted_score(
@@ -146,7 +147,7 @@ EVIDENCE_COLUMNS = [
 
 def capability_evidence(matches: DataFrame, facilities: DataFrame, exact: bool = True) -> DataFrame:
     """Matches to the evidence table: weight, best row, bands, guard, rank, score."""
-    best = best_match(weighted_score(matches))
+    best = materialize(best_match(weighted_score(matches)), "best")  # read three times below
     banded = classify(best, thresholds(best, exact=exact))
     guarded = apply_keyword_guard(keyword_confirmed(banded))
     return trust_score(pct_rank_avg(guarded), facilities).select(*EVIDENCE_COLUMNS)

@@ -8,21 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A key is hot from 1/HOT_KEYS of all rows on, so at most HOT_KEYS keys are hot:
-# that bound is what makes broadcasting the hot-key list safe.
-HOT_KEYS = 2000
-HOT_FLOOR = 500_000
+HOT_KEYS = 1000  # a key is hot from 1/HOT_KEYS of all rows on, so there are at most that many
+HOT_ROWS = 500_000  # … and only if it has this many rows at all
 SALTS = 64
+SKETCH_SIZE = 65_536
 
 
-def hot_keys(fact: DataFrame, on: Sequence[str], floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys with at least `floor` rows and at least 1/HOT_KEYS of all rows."""
-    present = fact.select(*on).dropna("any")
-    counts = present.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows").alias("_total"))
-    return counts.where(
-        (F.col("_rows") >= floor) & (F.col("_rows") * HOT_KEYS >= total.scalar())
-    ).select(*on, F.lit(True).alias("_hot"))
+def hot_hashes(fact: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the heaviest keys, at most HOT_KEYS of them.
+
+    One narrow pass over the key columns with a mergeable frequent-items sketch: nothing
+    is shuffled but one small sketch per task. The sketch only decides what is salted,
+    never what is joined, so its error cannot change a result.
+    """
+    sketch = fact.select(_key_hash(on).alias("_h")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.expr(f"approx_top_k(_h, {HOT_KEYS}, {SKETCH_SIZE})").alias("top"),
+    )
+    found = sketch.first()
+    limit = max(hot_rows, found["rows"] / HOT_KEYS)
+    return [item["item"] for item in (found["top"] or []) if item["count"] >= limit]
+
+
+def _key_hash(on: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.col(c) for c in on])
 
 
 def row_spread(df: DataFrame, buckets: int) -> Column:
@@ -50,35 +59,30 @@ def skew_safe_join(
     dim: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    floor: int = HOT_FLOOR,
+    hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join `fact` to `dim` (`inner`, `left`, `left_semi` or `left_anti`).
 
-    Rows of a hot key are spread over `salts` buckets and the matching dim rows
-    are repeated once per bucket; every other key keeps bucket 0. NULL keys match
-    nothing and are spread too, so they never pile up in one task. Without hints,
-    Spark still broadcasts `dim` whenever its measured size allows.
+    Without hot keys this is a plain join, and Spark picks the strategy from measured
+    sizes. With hot keys (missing keys count as one) their rows are spread over `salts`
+    buckets and the matching dim rows are repeated once per bucket; all other keys keep
+    bucket 0.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(fact, on, floor))
-    null_key = F.lit(False)
-    for key in on:
-        null_key = null_key | F.col(key).isNull()
-    spread = row_spread(fact, salts)
-    salted_fact = fact.withColumn("_spread", spread).join(hot, on, "left")
-    salted_fact = salted_fact.select(
-        *[salted_fact[c] for c in fact.columns],
-        F.when(null_key | F.col("_hot"), F.col("_spread")).otherwise(F.lit(0)).alias("_salt"),
-    )
-    salted_dim = dim.join(hot, on, "left")
-    salted_dim = salted_dim.select(
-        *[salted_dim[c] for c in dim.columns],
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ).alias("_salt"),
-    )
+    hot = hot_hashes(fact, on, hot_rows)
+    if not hot:
+        joined = fact.join(dim, on, how)
+        return joined.select(*_columns(fact, dim, on, how))
+    is_hot = _key_hash(on).isin(hot)
+    salted_fact = fact.withColumn("_salt", F.when(is_hot, row_spread(fact, salts)).otherwise(F.lit(0)))
+    buckets = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_dim = dim.withColumn("_salt", F.explode(buckets))
     joined = salted_fact.join(salted_dim, [*on, "_salt"], how)
+    return joined.select(*_columns(fact, dim, on, how))
+
+
+def _columns(fact: DataFrame, dim: DataFrame, on: list[str], how: str) -> list[str]:
     if how in ("left_semi", "left_anti"):
-        return joined.select(*fact.columns)
-    return joined.select(*fact.columns, *[c for c in dim.columns if c not in on])
+        return fact.columns
+    return [*fact.columns, *[c for c in dim.columns if c not in on]]
