@@ -36,7 +36,9 @@ FACILITIES = """
 SELECT 'F' || CAST(c_custkey AS STRING) AS unique_id,
   CASE WHEN c_custkey % 101 = 0 THEN '' ELSE c_name END AS name,
   CASE WHEN c_custkey % 19 = 0 THEN ' ' ELSE n_name || ' city' END AS address_city,
-  CASE WHEN c_custkey % 41 = 0 THEN ' ' WHEN c_custkey % 3 = 0 THEN ' ' || n_name || ' ' ELSE n_name END AS nfhs_district_name,
+  CASE WHEN c_custkey % 41 = 0 THEN ' ' WHEN c_custkey % 3 = 0 THEN '  ' ELSE '' END
+    || CASE WHEN c_custkey % 41 = 0 THEN '' ELSE n_name || ' ' || CAST(CAST((c_custkey - c_custkey % 100) / 100 AS INT) AS STRING) END
+    AS nfhs_district_name,
   CASE WHEN c_custkey % 43 = 0 THEN NULL ELSE r_name END AS nfhs_state_ut,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 7 > 3 END AS doctors_reported,
   CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_custkey % 9 > 5 END AS capacity_reported,
@@ -63,8 +65,8 @@ EVIDENCE = """
 SELECT 'F' || CAST(o_custkey AS STRING) AS unique_id,
   CASE o_orderkey % 6 WHEN 0 THEN 'ICU' WHEN 1 THEN 'NICU' WHEN 2 THEN 'Emergency'
        WHEN 3 THEN 'Maternity' WHEN 4 THEN 'Oncology' ELSE 'Trauma' END AS capability,
-  CASE WHEN o_totalprice >= 450000 THEN 'verified' WHEN o_totalprice >= 350000 THEN 'likely'
-       WHEN o_totalprice >= 200000 THEN 'weak_signal' ELSE 'no_signal' END AS evidence_status,
+  CASE WHEN o_totalprice >= 480000 THEN 'verified' WHEN o_totalprice >= 450000 THEN 'likely'
+       WHEN o_totalprice >= 400000 THEN 'weak_signal' ELSE 'no_signal' END AS evidence_status,
   CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 3 = 0 END AS keyword_confirmed,
   CAST(o_orderkey % 101 AS INT) AS trust_score_pct,
   CAST(o_orderkey % 101 AS DOUBLE) / 100 AS trust_score,
@@ -102,6 +104,13 @@ SELECT 100000 + o_custkey AS pincode,
 FROM {orders}
 """
 
+# Districts: a nation cut into as many parts as the customers fill.
+DISTRICTS = """
+SELECT n_name || ' ' || CAST(part AS STRING) AS region_name, r_name AS state, n_nationkey, part
+FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+CROSS JOIN (SELECT DISTINCT CAST((c_custkey - c_custkey % 100) / 100 AS INT) AS part FROM {customer}) AS parts
+"""
+
 # Planner events; the scenario is the user.
 PLANNER_EVENTS = """
 SELECT 'S' || CAST(user_id AS STRING) AS scenario_id, event_id, ts,
