@@ -67,15 +67,13 @@ def build_spans(
             ]
         )
     )
-    per_field = []
-    for field in list_fields:
+
+    def from_list(field: str) -> Column:
         items = F.coalesce(F.col(field), F.array().cast("array<string>"))
-        per_field.append(
-            F.transform(
-                _chunks(items, chunk),
-                lambda c, field=field: F.struct(F.lit(field).alias("field"), c["part"], c["text"]),
-            ).cast(kind)
-        )
+        parts = _chunks(items, chunk)
+        return F.transform(parts, lambda c: F.struct(F.lit(field).alias("field"), c["part"], c["text"]))
+
+    per_field = [from_list(field).cast(kind) for field in list_fields]
     if text_field:
         per_field.append(
             F.array(
