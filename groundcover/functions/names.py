@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping
 
@@ -30,6 +31,9 @@ def name_order(col: Column | str) -> Column:
     return F.collate(col if isinstance(col, Column) else F.col(col), ACCENT_FREE)
 
 
+COMBINING_MARKS = re.compile("[\u0300-\u036f]+")
+
+
 @F.pandas_udf(T.StringType())
 def name_key(names: pd.Series) -> pd.Series:
     """Stored form of `same_name`: combining marks removed, trimmed, lower case."""
@@ -37,10 +41,9 @@ def name_key(names: pd.Series) -> pd.Series:
     def key(name):
         if name is None:
             return None
-        marks_off = "".join(
-            c for c in unicodedata.normalize("NFD", name) if not "̀" <= c <= "ͯ"
-        )
-        return marks_off.strip().lower()
+        if not name.isascii():
+            name = COMBINING_MARKS.sub("", unicodedata.normalize("NFD", name))
+        return name.strip().lower()
 
     return names.map(key)
 

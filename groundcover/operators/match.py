@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from groundcover import config
 from groundcover.plans.skew import skew_safe_join
@@ -17,18 +16,40 @@ from groundcover.session import materialize
 
 # Rare letters first: two similar names are looked up through their rarest letters.
 LETTERS_BY_RARITY = "qxjzwfvkpycbmdguhtslrnoiea "
+PAIR_COLUMNS = ["block", "name", "candidate", "bound"]
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(candidate: pd.Series, name: pd.Series) -> pd.Series:
-    """difflib similarity; the candidate is the first sequence."""
-    return pd.Series(
-        [
-            difflib.SequenceMatcher(None, c, n, autojunk=True).ratio()
-            for c, n in zip(candidate, name, strict=True)
-        ],
-        dtype="float64",
-    )
+def best_by_ratio(pairs: DataFrame, cutoff: float) -> DataFrame:
+    """Best candidate per (block, name) by difflib similarity, the candidate first.
+
+    The pairs of a name arrive together, most promising first by `bound`, the highest
+    similarity their letters allow. Candidates that can no longer win are skipped, so only
+    a few per name are compared in full. Nothing is held but the best pair so far.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = difflib.SequenceMatcher()
+        current, best = None, None
+        for frame in batches:
+            done = []
+            for block, name, candidate, bound in zip(*(frame[c] for c in PAIR_COLUMNS), strict=True):
+                if (block, name) != current:
+                    if best is not None:
+                        done.append((*current, best[1]))
+                    current, best = (block, name), None
+                    matcher.set_seq2(name)
+                if bound < (cutoff if best is None else best[0]):
+                    continue
+                matcher.set_seq1(candidate)
+                score = (matcher.ratio(), candidate)
+                if score[0] >= cutoff and (best is None or score > best):
+                    best = score
+            yield pd.DataFrame(done, columns=["block", "name", "candidate"])
+        if best is not None:
+            yield pd.DataFrame([(*current, best[1])], columns=["block", "name", "candidate"])
+
+    ordered = pairs.sortWithinPartitions("block", "name", F.desc("bound"), F.desc("candidate"))
+    return ordered.select(*PAIR_COLUMNS).mapInPandas(run, "block string, name string, candidate string")
 
 
 def edit_ratio(candidate: Column, name: Column) -> Column:
@@ -55,13 +76,15 @@ def _letters(name: Column) -> Column:
 def similar_pairs(
     left: DataFrame, right: DataFrame, cutoff: float, method: str
 ) -> DataFrame:
-    """(block, name, candidate) pairs that can reach `cutoff`, and few others.
+    """(block, name, candidate, bound) pairs that can reach `cutoff`, and few others.
 
     Both similarities need a minimum number of shared letters. If two names share
     at least `t` of their `n` letters they also share one of the first `n - t + 1`
     letters of each in any common order, so only those letters are join keys. Length
-    limits and the letter count then cut the pairs further. No true match is lost.
+    limits and the letter count then cut the pairs further. No true match is lost. All
+    pairs of a name end in one partition; `bound` is their highest possible ratio.
     """
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if method == "ratio":
         shortest = cutoff / (2 - cutoff)  # of the longer length
         shared = lambda a, b: F.ceil(F.lit(cutoff) * (a + b) / 2 - 1e-9)
@@ -86,8 +109,11 @@ def similar_pairs(
     common = F.size(F.array_intersect("a_letters", "b_letters"))
     return (
         pairs.where(F.least("a_size", "b_size") >= F.lit(shortest) * longer - 1e-9)
-        .where(common >= shared(F.col("a_size"), F.col("b_size")))
-        .select("block", "name", "candidate")
+        .withColumn("_common", common)
+        .where(F.col("_common") >= shared(F.col("a_size"), F.col("b_size")))
+        .withColumn("bound", F.lit(2.0) * F.col("_common") / (F.col("a_size") + F.col("b_size")))
+        .select(*PAIR_COLUMNS)
+        .repartition(partitions, "block", "name")  # a set number: comparing is slow, rows are few
         .distinct()
     )
 
@@ -137,16 +163,16 @@ def fuzzy_resolve(
 
     pairs = similar_pairs(pending, options, cutoff, method)
     if method == "ratio":
-        scored = pairs.withColumn("_score", sequence_ratio("candidate", "name"))
+        best = best_by_ratio(pairs, cutoff)
     elif method == "levenshtein":
         scored = pairs.withColumn("_score", edit_ratio(F.col("candidate"), F.col("name")))
+        best = top_k(
+            scored.where(F.col("_score") >= cutoff),
+            ["block", "name"],
+            [F.col("_score").desc(), F.col("candidate").desc()],
+        )
     else:
         raise ValueError(f"unknown similarity {method!r}")
-    best = top_k(
-        scored.where(F.col("_score") >= cutoff),
-        ["block", "name"],
-        [F.col("_score").desc(), F.col("candidate").desc()],
-    )
     allowed = best.join(blocked, ["block", "name", "candidate"], "left_anti")
     fuzzy = pending.join(allowed, ["block", "name"], "left").select(
         "block",

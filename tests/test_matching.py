@@ -40,7 +40,7 @@ def test_no_similar_pair_is_missed(spark, method):
     got = match.similar_pairs(
         spark.createDataFrame(sorted(left), "block string, name string"),
         spark.createDataFrame(sorted(right), "block string, candidate string"), CUTOFF, method)
-    pairs = {tuple(r) for r in got.collect()}
+    pairs = {tuple(r)[:3] for r in got.collect()}
     needed = {(b, n, c) for b, n in left for b2, c in right if b == b2 and _ratio(method, c, n) >= CUTOFF}
     assert needed and needed <= pairs
     assert len(pairs) < sum(b == b2 for b, _ in left for b2, _ in right)
