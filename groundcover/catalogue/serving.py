@@ -10,6 +10,7 @@ from groundcover.catalogue.registry import derive, plain, query, with_inputs
 from groundcover.functions.names import norm_name
 from groundcover.operators import corroborate as web
 from groundcover.operators import coverage, explain, gates, planner, rules, serve
+from groundcover.plans.skew import skew_safe_join
 from groundcover.session import scratch_path
 from groundcover.sources import publish as sinks
 from groundcover.sources.tables import load_table
@@ -55,9 +56,8 @@ SELECT o_orderkey, capability, concat_ws('|', {parts}) AS flags FROM evidence JO
 
 
 def _flags(spark, folder, nulls):
-    rows = _evidence(spark, folder).join(
-        _facilities(spark, folder).select("unique_id", *rules.RULE_INPUTS), "unique_id"
-    )
+    facts = _facilities(spark, folder).select("unique_id", *rules.RULE_INPUTS)
+    rows = skew_safe_join(_evidence(spark, folder), facts, ["unique_id"], "inner")
     return rules.run_rules(rows, nulls).select(
         "o_orderkey",
         "capability",
@@ -329,7 +329,7 @@ def _claim_rows(spark, folder):
         F.when(F.col("coordinates_valid"), F.col("longitude")).alias("longitude"),
     )
     key = F.col("o_orderkey")
-    return e.join(f, "unique_id").select(
+    return skew_safe_join(e, f, ["unique_id"], "inner").select(
         "unique_id", "o_orderkey", *MERGE_ATTRIBUTES,
         F.col("claim_name").alias("name"),
         F.when(key % 13 == 0, "Claimed-Only").when(key % 17 == 0, "other").otherwise(F.upper("evidence_status")).alias("status"),
@@ -505,7 +505,7 @@ SELECT unique_id, capability, evidence_status, trust_score_pct, CAST(b AS INT) A
 )
 def review_sample(spark, folder):
     facilities = _facilities(spark, folder).select("unique_id", F.col("name").alias("facility_name"), "address_city")
-    rows = _evidence(spark, folder).join(facilities, "unique_id")
+    rows = skew_safe_join(_evidence(spark, folder), facilities, ["unique_id"], "inner")
     return serve.review_sample(rows).select("unique_id", "capability", "evidence_status", "trust_score_pct", "status_rank")
 
 
@@ -622,7 +622,7 @@ SELECT unique_id, capability, payload_key, guidance, CAST(len(flags) AS INT) AS
 )
 def prompt_table(spark, folder):
     facts = _facilities(spark, folder).select("unique_id", *rules.RULE_INPUTS, "richness_prior")
-    rows = _evidence(spark, folder).join(facts, "unique_id").withColumn("span_id", F.col("o_orderkey").cast("string"))
+    rows = skew_safe_join(_evidence(spark, folder), facts, ["unique_id"], "inner").withColumn("span_id", F.col("o_orderkey").cast("string"))
     fields = [*config.EXPLANATION_FIELDS, "span_id"]
     out = explain.build_prompts(rules.run_rules(rows), fields)
     return out.select(

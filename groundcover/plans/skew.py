@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOT_KEYS = 1000  # a key is hot from 1/HOT_KEYS of all rows on, so there are at most that many
-HOT_ROWS = 500_000  # … and only if it has this many rows at all
-SALTS = 64
+TRACKED_KEYS = 10_000
 SKETCH_SIZE = 65_536
+HOT_ROWS = 500_000  # smaller keys are never worth splitting
 
 
-def hot_hashes(fact: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the heaviest keys, at most HOT_KEYS of them.
+def hot_hashes(fact: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
+    """Hashes of keys with more rows than a shuffle partition should hold, with their buckets.
 
     One narrow pass over the key columns with a mergeable frequent-items sketch: nothing
-    is shuffled but one small sketch per task. The sketch only decides what is salted,
-    never what is joined, so its error cannot change a result.
+    is shuffled but one small sketch per task, and at most TRACKED_KEYS numbers reach the
+    driver. A key gets as many buckets (a power of two) as it fills partitions, so all hot
+    keys together never need more than about twice the number of partitions. The sketch
+    only decides what is salted, never what is joined, so its error cannot change a result.
     """
     sketch = fact.select(_key_hash(on).alias("_h")).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.expr(f"approx_top_k(_h, {HOT_KEYS}, {SKETCH_SIZE})").alias("top"),
+        F.expr(f"approx_top_k(_h, {TRACKED_KEYS}, {SKETCH_SIZE})").alias("top"),
     )
     found = sketch.first()
-    limit = max(hot_rows, found["rows"] / HOT_KEYS)
-    return [item["item"] for item in (found["top"] or []) if item["count"] >= limit]
+    partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fair = max(hot_rows, found["rows"] / partitions)
+    hot = {}
+    for item in found["top"] or []:
+        if item["count"] >= fair:
+            hot[item["item"]] = max(2, 1 << math.ceil(math.log2(item["count"] / fair)))
+    return hot
 
 
 def _key_hash(on: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in on])
 
 
-def row_spread(df: DataFrame, buckets: int) -> Column:
+def row_spread(df: DataFrame, buckets: Column) -> Column:
     """A bucket per row that is the same on every re-run of a task.
 
     All columns are hashed together with the partition number, so that exact
@@ -42,7 +49,7 @@ def row_spread(df: DataFrame, buckets: int) -> Column:
     """
     hashable = [f.name for f in df.schema if not _has_map(f.dataType)]
     return F.pmod(
-        F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in hashable]), F.lit(buckets)
+        F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in hashable]), buckets
     ).cast("int")
 
 
@@ -55,18 +62,13 @@ def _has_map(kind: T.DataType) -> bool:
 
 
 def skew_safe_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Equi-join `fact` to `dim` (`inner`, `left`, `left_semi` or `left_anti`).
 
     Without hot keys this is a plain join, and Spark picks the strategy from measured
-    sizes. With hot keys (missing keys count as one) their rows are spread over `salts`
-    buckets and the matching dim rows are repeated once per bucket; all other keys keep
+    sizes. With hot keys (missing keys count as one) the rows of such a key are spread over
+    its buckets and the matching dim rows are repeated once per bucket; all other keys keep
     bucket 0.
     """
     on = list(on)
@@ -74,10 +76,11 @@ def skew_safe_join(
     if not hot:
         joined = fact.join(dim, on, how)
         return joined.select(*_columns(fact, dim, on, how))
-    is_hot = _key_hash(on).isin(hot)
-    salted_fact = fact.withColumn("_salt", F.when(is_hot, row_spread(fact, salts)).otherwise(F.lit(0)))
-    buckets = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_dim = dim.withColumn("_salt", F.explode(buckets))
+    buckets = F.lit(1)
+    for size in sorted(set(hot.values())):
+        buckets = F.when(_key_hash(on).isin([h for h, b in hot.items() if b == size]), size).otherwise(buckets)
+    salted_fact = fact.withColumn("_salt", row_spread(fact, buckets))
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
     joined = salted_fact.join(salted_dim, [*on, "_salt"], how)
     return joined.select(*_columns(fact, dim, on, how))
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from groundcover.plans.skew import row_spread
 
-# Up to this k Spark itself drops losing rows in the map tasks
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-MAP_SIDE_LIMIT = 1000
+# Spark drops losing rows in the map tasks, so the last task sees about k rows per map
+# task. Above this k that is cut down in parts first.
+ONE_STEP_K = 100
 
 
 def top_k(
@@ -27,8 +27,8 @@ def top_k(
     For a larger k the rows of a key are first cut into `slices` parts that each
     keep their own k, so a hot key never reaches a single task whole.
     """
-    if k > MAP_SIDE_LIMIT:
-        parts = df.withColumn("_part", row_spread(df, slices))
+    if k > ONE_STEP_K:
+        parts = df.withColumn("_part", row_spread(df, F.lit(slices)))
         by_part = Window.partitionBy(*keys, "_part").orderBy(*order)
         df = (
             parts.withColumn("_rank", F.row_number().over(by_part))

@@ -47,7 +47,8 @@ def documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFra
 def load_topojson(
     spark: SparkSession, path: str, name_prop: str = "district", parent_prop: str = "st_nm", per_line: bool = False
 ) -> DataFrame:
-    return topojson_edges(documents(spark, path, per_line), name_prop, parent_prop)
+    edges = topojson_edges(documents(spark, path, per_line), name_prop, parent_prop)
+    return drop_crossing(materialize(edges, "edges"))
 
 
 def load_geojson(
@@ -167,6 +168,35 @@ def _edges(points: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
+def drop_crossing(edges: DataFrame, cell: float = 0.25) -> DataFrame:
+    """Leaves out regions whose edges cross each other; touching is allowed.
+
+    Edges meet only edges of their own region in the same grid cell.
+    """
+    size = F.lit(float(cell))
+
+    def cells(a: str, b: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)))
+
+    laid_out = edges.select("region_id", "poly_id", "ring_id", "seq", "x1", "y1", "x2", "y2")
+    laid_out = laid_out.withColumn("_cx", cells("x1", "x2")).withColumn("_cy", cells("y1", "y2"))
+    keys = ["region_id", "_cx", "_cy"]
+    others = laid_out.withColumnsRenamed({c: f"o_{c}" for c in laid_out.columns if c not in keys})
+
+    def side(ax, ay, bx, by, px, py) -> Column:
+        """Which side of the line a→b the point p is on."""
+        a, b, p = (F.col(ax), F.col(ay)), (F.col(bx), F.col(by)), (F.col(px), F.col(py))
+        return F.signum((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]))
+
+    mine, theirs = ("x1", "y1", "x2", "y2"), ("o_x1", "o_y1", "o_x2", "o_y2")
+    crosses = (side(*mine, *theirs[:2]) * side(*mine, *theirs[2:]) < 0) & (
+        side(*theirs, *mine[:2]) * side(*theirs, *mine[2:]) < 0
+    )
+    once = F.struct("poly_id", "ring_id", "seq") < F.struct("o_poly_id", "o_ring_id", "o_seq")
+    invalid = laid_out.join(others, keys).where(once & crosses).select("region_id").distinct()
+    return edges.join(invalid, "region_id", "left_anti").select(*edges.columns)
+
+
 def region_names(edges: DataFrame) -> DataFrame:
     """One row per region with the keys used to match it to reference districts."""
     return edges.select("region_id", "region_name", "parent_name").distinct().select(

@@ -131,11 +131,13 @@ def test_points_in_polygons(spark):
 def test_topojson_shared_arc_and_invalid_rings(spark, tmp_path):
     topology = {
         "transform": {"scale": [0.5, 2], "translate": [10, 20]},
-        "arcs": [[[0, 0], [0, 4]], [[0, 4], [-4, 0], [0, -4], [4, 0]], [[0, 4], [4, 0], [0, -4], [-4, 0]], [[1, 1], [1, 1]]],
+        "arcs": [[[0, 0], [0, 4]], [[0, 4], [-4, 0], [0, -4], [4, 0]], [[0, 4], [4, 0], [0, -4], [-4, 0]], [[1, 1], [1, 1]],
+                 [[0, 0], [4, 4], [0, -4], [-4, 4], [0, -4]]],
         "objects": {"d": {"geometries": [
             {"type": "Polygon", "arcs": [[0, 1]], "properties": {"district": " West  Side", "st_nm": "S"}},
             {"type": "MultiPolygon", "arcs": [[[-1, -3]]], "properties": {"district": "East", "st_nm": "S"}},
             {"type": "Polygon", "arcs": [[3]], "properties": {"district": "line", "st_nm": "S"}},
+            {"type": "Polygon", "arcs": [[4]], "properties": {"district": "bow tie", "st_nm": "S"}},
             {"type": "Polygon", "arcs": [], "properties": {"district": "none", "st_nm": "S"}}]}}}
     path = tmp_path / "t.json"
     path.write_text(json.dumps(topology, indent=1))
