@@ -106,9 +106,9 @@ FROM {orders}
 
 # Districts: a nation cut into as many parts as the customers fill.
 DISTRICTS = """
-SELECT n_name || ' ' || CAST(part AS STRING) AS region_name, r_name AS state, n_nationkey, part
-FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-CROSS JOIN (SELECT DISTINCT CAST((c_custkey - c_custkey % 100) / 100 AS INT) AS part FROM {customer}) AS parts
+SELECT DISTINCT n_name || ' ' || CAST(CAST((c_custkey - c_custkey % 100) / 100 AS INT) AS STRING) AS region_name,
+  r_name AS state, n_nationkey, CAST((c_custkey - c_custkey % 100) / 100 AS INT) AS part
+FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey
 """
 
 # Planner events; the scenario is the user.
@@ -130,10 +130,13 @@ SELECT n_name AS region_id, n_name AS region_name, 0 AS poly_id, ring_id, seq,
   CAST(oy + (CASE WHEN seq IN (0, 1) THEN lo ELSE hi END) * 6 / 4 AS DOUBLE) AS y1,
   CAST(ox + (CASE WHEN seq IN (3, 2) THEN lo ELSE hi END) * 5 / 4 AS DOUBLE) AS x2,
   CAST(oy + (CASE WHEN seq IN (0, 3) THEN lo ELSE hi END) * 6 / 4 AS DOUBLE) AS y2
-FROM (SELECT n_name, n_nationkey, CAST(68 + (n_nationkey % 5) * 6 AS DOUBLE) AS ox,
+FROM (SELECT n_name, n_nationkey % 3 AS kind, CAST(68 + (n_nationkey % 5) * 6 AS DOUBLE) AS ox,
         6 + CAST(n_nationkey - n_nationkey % 5 AS DOUBLE) / 5 * 13 / 2 AS oy FROM {nation}) AS n
-CROSS JOIN (SELECT 0 AS ring_id, CAST(0 AS DOUBLE) AS lo, CAST(4 AS DOUBLE) AS hi
-            UNION ALL SELECT 1, CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)) AS rings
-CROSS JOIN (SELECT 0 AS seq UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) AS corners
-WHERE ring_id = 0 OR n_nationkey % 3 = 0
+JOIN (SELECT 0 AS for_kind, 0 AS ring_id, CAST(0 AS DOUBLE) AS lo, CAST(4 AS DOUBLE) AS hi
+      UNION ALL SELECT 1, 0, CAST(0 AS DOUBLE), CAST(4 AS DOUBLE)
+      UNION ALL SELECT 2, 0, CAST(0 AS DOUBLE), CAST(4 AS DOUBLE)
+      UNION ALL SELECT 0, 1, CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)) AS rings ON kind = for_kind
+JOIN (SELECT 0 AS of_ring, 0 AS seq UNION ALL SELECT 0, 1 UNION ALL SELECT 0, 2 UNION ALL SELECT 0, 3
+      UNION ALL SELECT 1, 0 UNION ALL SELECT 1, 1 UNION ALL SELECT 1, 2 UNION ALL SELECT 1, 3) AS corners
+  ON ring_id = of_ring
 """

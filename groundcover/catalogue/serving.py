@@ -159,7 +159,7 @@ def region_coverage(spark, folder):
     "region_coverage_spine",
     with_inputs(
         "WITH " + COVERAGE_SQL + """,
-spine AS (SELECT DISTINCT d.region_name, r_name AS state FROM districts AS d CROSS JOIN region)
+spine AS (SELECT region_name, state FROM districts UNION SELECT region_name, 'ELSEWHERE' FROM districts)
 SELECT s.region_name || '_' || s.state AS region_id, s.region_name, s.state, 'district' AS level, c.capability AS capability_queried,
   coalesce(r.coverage_status, 'no_data') AS coverage_status, coalesce(r.facility_count, CAST(0 AS INT)) AS facility_count,
   coalesce(r.avg_trust_score_pct, CAST(0 AS INT)) AS avg_trust_score_pct
@@ -170,9 +170,9 @@ LEFT JOIN region_coverage AS r ON r.region_name = s.region_name AND r.state = s.
     ),
 )
 def region_coverage_spine(spark, folder):
-    spine = derive(
-        spark, folder,
-        f"SELECT DISTINCT d.region_name, r.r_name AS state FROM ({inputs.DISTRICTS}) AS d CROSS JOIN {{region}} AS r",
+    districts = derive(spark, folder, inputs.DISTRICTS)
+    spine = districts.select("region_name", "state").unionByName(
+        districts.select("region_name", F.lit("ELSEWHERE").alias("state"))
     )
     return coverage.region_coverage(
         _facilities(spark, folder), _evidence(spark, folder), spine, list(config.CAPABILITY_QUERIES)

@@ -12,28 +12,36 @@ from pyspark.sql import types as T
 TRACKED_KEYS = 10_000
 SKETCH_SIZE = 65_536
 HOT_ROWS = 500_000  # smaller keys are never worth splitting
+SAMPLED = 0.05
 
 
-def hot_hashes(fact: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> dict[int, int]:
+def hot_hashes(
+    fact: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, sampled: float = SAMPLED
+) -> dict[int, int]:
     """Hashes of keys with more rows than a shuffle partition should hold, with their buckets.
 
-    One narrow pass over the key columns with a mergeable frequent-items sketch: nothing
-    is shuffled but one small sketch per task, and at most TRACKED_KEYS numbers reach the
-    driver. A key gets as many buckets (a power of two) as it fills partitions, so all hot
-    keys together never need more than about twice the number of partitions. The sketch
-    only decides what is salted, never what is joined, so its error cannot change a result.
+    One narrow pass over the key columns with a mergeable frequent-items sketch of a share
+    of the rows: nothing is shuffled but one small sketch per task, and at most TRACKED_KEYS
+    numbers reach the driver. A key gets as many buckets (a power of two) as it fills
+    partitions, so all hot keys together never need more than about twice the number of
+    partitions. The sample and the sketch only decide what is salted, never what is joined,
+    so their error cannot change a result.
     """
-    sketch = fact.select(_key_hash(on).alias("_h")).agg(
+    keys = fact.select(_key_hash(on).alias("_h"))
+    if sampled < 1:
+        keys = keys.sample(sampled, seed=17)
+    sketch = keys.agg(
         F.count(F.lit(1)).alias("rows"),
         F.expr(f"approx_top_k(_h, {TRACKED_KEYS}, {SKETCH_SIZE})").alias("top"),
     )
     found = sketch.first()
     partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fair = max(hot_rows, found["rows"] / partitions)
+    fair = max(hot_rows, found["rows"] / sampled / partitions)
     hot = {}
     for item in found["top"] or []:
-        if item["count"] >= fair:
-            hot[item["item"]] = max(2, 1 << math.ceil(math.log2(item["count"] / fair)))
+        fill = item["count"] / sampled / fair
+        if fill >= 1:
+            hot[item["item"]] = max(2, 1 << math.ceil(math.log2(fill)))
     return hot
 
 
@@ -62,7 +70,12 @@ def _has_map(kind: T.DataType) -> bool:
 
 
 def skew_safe_join(
-    fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS
+    fact: DataFrame,
+    dim: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    hot_rows: int = HOT_ROWS,
+    sampled: float = SAMPLED,
 ) -> DataFrame:
     """Equi-join `fact` to `dim` (`inner`, `left`, `left_semi` or `left_anti`).
 
@@ -72,14 +85,15 @@ def skew_safe_join(
     bucket 0.
     """
     on = list(on)
-    hot = hot_hashes(fact, on, hot_rows)
+    hot = hot_hashes(fact, on, hot_rows, sampled)
     if not hot:
         joined = fact.join(dim, on, how)
         return joined.select(*_columns(fact, dim, on, how))
     buckets = F.lit(1)
     for size in sorted(set(hot.values())):
         buckets = F.when(_key_hash(on).isin([h for h, b in hot.items() if b == size]), size).otherwise(buckets)
-    salted_fact = fact.withColumn("_salt", row_spread(fact, buckets))
+    salt = F.when(buckets > 1, row_spread(fact, buckets)).otherwise(F.lit(0))
+    salted_fact = fact.withColumn("_salt", salt)
     salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
     joined = salted_fact.join(salted_dim, [*on, "_salt"], how)
     return joined.select(*_columns(fact, dim, on, how))
