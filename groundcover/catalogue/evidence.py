@@ -147,6 +147,20 @@ def vector_topk_l2(spark, folder):
     return _topk(spark, folder, "l2_sim", 50)
 
 
+@query("span_search")
+def span_search(spark, folder):
+    """Documents cut into spans, embedded, searched for every capability, text attached."""
+    built = spans.spans_chunked(_documents(spark, folder), list_fields=["capability"], max_chars=None)
+    embedded = spans.embed_spans(built).where(~F.col("embedding_failed"))
+    names = list(config.CAPABILITY_QUERIES)
+    vectors = dict(zip(names, spans.hashed_words(list(config.CAPABILITY_QUERIES.values())), strict=True))
+    found = retrieve.vector_topk(embedded, vectors, config.TOP_K)
+    return retrieve.attach_spans(found, built).select(
+        "capability", "rank", "span_id", "unique_id", "field_source", F.round("score", 6).alias("score"),
+        F.length("text_span").alias("chars"),
+    )
+
+
 WEIGHT = "CASE field_source WHEN 'capability' THEN 1.0::DOUBLE WHEN 'procedure' THEN 0.85::DOUBLE WHEN 'equipment' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END"
 BEST_SQL = f"""
 best AS (SELECT * EXCLUDE (r) FROM (

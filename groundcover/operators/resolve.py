@@ -59,11 +59,12 @@ def resolved_codes(codes: DataFrame, aliases: DataFrame, indicators: DataFrame)
         .when(F.col("match_type") == "exact", 2)
         .otherwise(3)
     )
-    return top_k(
+    best = top_k(
         named,
         ["pincode"],
         [preference, F.col("nfhs_district_norm"), F.col("nfhs_district_name"), F.col("nfhs_state_ut")],
     ).drop("nfhs_district_norm")
+    return materialize(best, "codes")  # every stage of the cascade reads it
 
 
 def resolve_by_code(facilities: DataFrame, codes: DataFrame) -> DataFrame:
@@ -155,6 +156,7 @@ def polygon_stage(edges: DataFrame, regions: DataFrame, indicators: DataFrame, m
     lookup = regions.select(
         "region_id", F.col("state_norm").alias("block"), F.col("district_norm").alias("name")
     ).join(named, ["block", "name"])
+    lookup = materialize(lookup, "regions")
 
     def stage(waiting: DataFrame) -> DataFrame:
         inside = points_in_polygons(waiting, edges)

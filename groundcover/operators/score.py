@@ -43,10 +43,11 @@ def thresholds(
     col: str = "weighted_score",
     quantiles: Sequence[float] = config.STATUS_QUANTILES,
     exact: bool = True,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(q, quantile): exact with linear interpolation, or a sketch with `exact=False`."""
     if exact:
-        return exact_quantiles(df, col, quantiles)
+        return exact_quantiles(df, col, quantiles, counts=counts)
     sketch = df.agg(F.percentile_approx(col, [float(q) for q in quantiles], 100_000).alias("_v"))
     return sketch.select(F.posexplode("_v").alias("_i", "quantile")).select(
         F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("_i") + 1).alias("q"),
@@ -103,13 +104,19 @@ def apply_keyword_guard(df: DataFrame, status: str = "evidence_status") -> DataF
     )
 
 
-def pct_rank_avg(df: DataFrame, col: str = "weighted_score", out: str = "percentile_rank") -> DataFrame:
+def pct_rank_avg(
+    df: DataFrame,
+    col: str = "weighted_score",
+    out: str = "percentile_rank",
+    counts: DataFrame | None = None,
+) -> DataFrame:
     """Percentile rank 0..100 over all rows; equal values share their average rank.
 
     Ranks are worked out once per distinct value from range-partitioned running counts
     and joined back, so no task ever sees all rows. NULL values get no rank.
     """
-    ranks = ordered_counts(df, col).select(
+    counts = ordered_counts(df, col) if counts is None else counts
+    ranks = counts.select(
         col,
         ((F.col("before") + (F.col("ties") + 1) / 2) / F.col("total") * 100).alias(out),
     )
@@ -146,8 +153,12 @@ EVIDENCE_COLUMNS = [
 
 
 def capability_evidence(matches: DataFrame, facilities: DataFrame, exact: bool = True) -> DataFrame:
-    """Matches to the evidence table: weight, best row, bands, guard, rank, score."""
-    best = materialize(best_match(weighted_score(matches)), "best")  # read three times below
-    banded = classify(best, thresholds(best, exact=exact))
+    """Matches to the evidence table: weight, best row, bands, guard, rank, score.
+
+    The cuts and the ranks come from one ordering of the scores.
+    """
+    best = materialize(best_match(weighted_score(matches)), "best")  # read more than once below
+    counts = ordered_counts(best, "weighted_score")
+    banded = classify(best, thresholds(best, exact=exact, counts=counts))
     guarded = apply_keyword_guard(keyword_confirmed(banded))
-    return trust_score(pct_rank_avg(guarded), facilities).select(*EVIDENCE_COLUMNS)
+    return trust_score(pct_rank_avg(guarded, counts=counts), facilities).select(*EVIDENCE_COLUMNS)

@@ -71,10 +71,17 @@ def ordered_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> Dat
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, quantiles: Sequence[float], groups: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    quantiles: Sequence[float],
+    groups: Sequence[str] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantiles: (groups, q, quantile), exact at any size."""
-    ranked = ordered_counts(df, value, groups)
+    """Linear-interpolated quantiles: (groups, q, quantile), exact at any size.
+
+    `counts` are the `ordered_counts` of the same data, if the caller has them already.
+    """
+    ranked = ordered_counts(df, value, groups) if counts is None else counts
 
     def at(q):
         return q * (F.col("total") - 1)

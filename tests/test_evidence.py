@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,24 @@ def test_vector_topk_ties_and_nulls(spark, k):
         assert [s for _, s in mine] == [s for _, s in best]
 
 
+@pytest.mark.parametrize("metric", retrieve.METRICS)
+def test_search_of_embedded_text(spark, metric):
+    texts = [f"ward {i % 7} icu {'ventilator ' * (i % 4)}bed {i}" for i in range(200)]
+    df = spark.createDataFrame([(f"s{i:03d}", t) for i, t in enumerate(texts)], "span_id string, text_span string").repartition(3)
+    target = np.array(spans.hashed_words(["icu ventilator ward"])[0])
+    found = retrieve.vector_topk(spans.embed_spans(df), {"ICU": target.tolist()}, 20, metric)
+    got = retrieve.attach_spans(found, df).orderBy("rank").collect()
+    vectors = np.array(spans.hashed_words(texts), dtype="float32").astype("float64")
+    if metric == "l2_sim":
+        scores = 1 / (1 + ((vectors - target) ** 2).sum(axis=1))
+    else:
+        scores = (vectors * target).sum(axis=1)
+        if metric == "cosine":
+            scores = scores / np.sqrt((vectors**2).sum(axis=1)) / np.sqrt((target**2).sum())
+    assert np.allclose([r["score"] for r in got], np.sort(scores)[::-1][:20])
+    assert all(r["text_span"] == texts[int(r["span_id"][1:])] for r in got)
+
+
 def test_weight_and_keyword_gaps_stop(spark):
     df = spark.createDataFrame([("u", "ICU", "other", "t", 1.0)], "unique_id string, capability string, field_source string, text_span string, score double")
     with pytest.raises(Exception, match="no weight for field_source: other"):
