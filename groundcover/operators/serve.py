@@ -176,29 +176,34 @@ def normalize_claim(df: DataFrame) -> DataFrame:
 
 
 def merge_facility_rows(
-    rows: DataFrame, order: str, attributes: Sequence[str], claim: Sequence[str], key: str = "unique_id", name: str = "name"
+    rows: DataFrame,
+    order: str,
+    attributes: Sequence[str],
+    claim: Sequence[str],
+    key: str = "unique_id",
+    name: str = "name",
 ) -> DataFrame:
     """One row per facility: attributes of its first row, its claims as an array.
 
-    A later claim with the same name replaces the earlier one but keeps its place. The
-    claims of a facility are cut to one per name before they are gathered, so an array
-    never grows with the number of rows. Facilities without claims are dropped.
+    A later claim with the same name replaces the earlier one but keeps its place. Rows
+    are reduced to one per facility and claim name in the map tasks, so an array never
+    grows with the number of rows. Facilities without claims are dropped. `order` must be
+    unique within a facility.
     """
-    first = top_k(rows, [key], [F.col(order)]).select(key, *attributes)
-    named = rows.where(first_nonempty(name).isNotNull())
-    places = named.groupBy(key, name).agg(F.min(order).alias("_place"))
-    latest = top_k(named, [key, name], [F.col(order).desc()]).select(key, *claim)
-    claims = (
-        latest.join(places, [key, name])
-        .groupBy(key)
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(F.col("_place"), F.struct(*claim).alias("claim")))),
-                lambda c: c["claim"],
-            ).alias("claims")
-        )
+    per_name = rows.groupBy(key, name).agg(
+        F.min(order).alias("_place"),
+        F.max_by(F.struct(*claim), order).alias("_claim"),
+        F.min_by(F.struct(*attributes), order).alias("_attributes"),
+    )
+    named = first_nonempty(name).isNotNull()
+    placed = F.when(named, F.struct("_place", "_claim"))
+    merged = per_name.groupBy(key).agg(
+        F.min_by("_attributes", "_place").alias("_attributes"),
+        F.array_sort(F.collect_list(placed)).alias("_claims"),
+    )
+    return merged.where(F.size("_claims") > 0).select(
+        key, "_attributes.*", F.transform("_claims", lambda c: c["_claim"]).alias("claims")
     )
-    return first.join(claims, key, "inner")
 
 
 def claim_for(claims: Column, capability: str) -> Column:
