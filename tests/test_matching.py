@@ -6,7 +6,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from groundcover.operators import geo, match, resolve
 from groundcover.sources import boundaries
