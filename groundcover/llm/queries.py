@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import bpe
+from groundcover.llm import bpe, decontaminate, secret_scan
 from groundcover.llm.common import documents
+from groundcover.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +19,22 @@ def query(fn):
     return fn
 
 
+@query
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    found = secret_scan.scan(docs, secret_scan.train(docs)).select("doc_id", "spans")
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secret_scan.digest_text(base), 256).alias("base_sha256"),
+        secret_scan.digest_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode_documents(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
@@ -28,3 +45,43 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, folder), load_table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+ORACLES["op10_decontaminate"] = r"""
+WITH doc_words AS (
+  SELECT rowid_ AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)
+), item_words AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS t
+  FROM item_words, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS u(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM windows),
+found AS (
+  SELECT r, i, s.n, item_id FROM (
+    SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS t
+    FROM doc_words, sizes, unnest(generate_series(1, len(w) - n + 1)) AS u(i)) s
+  JOIN windows USING (t)
+), hits AS (
+  SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT DISTINCT r, i, n FROM found) f,
+    unnest(generate_series(0, n - 1)) AS v(k) GROUP BY r
+), items AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids
+  FROM found GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
+"""
