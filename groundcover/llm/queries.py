@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import bpe, decontaminate, secret_scan
+from groundcover.llm import bpe, decontaminate, secret_scan, simhash
 from groundcover.llm.common import documents
 from groundcover.sources.tables import load_table
 
@@ -47,6 +47,12 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, folder))
+    return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(documents(spark, folder), load_table(spark, folder, "benchmark"))
