@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import bpe, decontaminate, secret_scan, simhash
-from groundcover.llm.common import documents
+from groundcover.llm import bpe, decontaminate, quality, secret_scan, simhash
+from groundcover.llm.common import documents, fold
 from groundcover.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,18 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    labels = load_table(spark, folder, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
