@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import bpe, decontaminate, quality, secret_scan, simhash
+from groundcover.llm import bpe, decontaminate, language_id, quality, secret_scan, simhash, token_counts
 from groundcover.llm.common import documents, fold
 from groundcover.sources.tables import load_table
 
@@ -59,6 +59,19 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    labelled = load_table(spark, folder, "documents").select("doc_id", "text", "lang").where(~held_out)
+    found = language_id.identify(documents(spark, folder), language_id.train(labelled))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@query
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, folder))
