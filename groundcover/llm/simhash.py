@@ -21,6 +21,7 @@ texts share a fingerprint. A component is named by its smallest doc_id; NULL ids
 """
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,7 +41,7 @@ SEED = 42
 NEAR = 4  # bits
 BLOCK = 4096  # fingerprints per task, about 70 MB of variants at a time
 PLACE_BITS = 13
-HASH_SLACK = 8
+HASH_SLACK = 6
 BUCKET_ENTRIES = 4_000_000
 
 
@@ -92,24 +93,27 @@ def _mixed(points: np.ndarray, hash_bits: int) -> np.ndarray:
     return mixed >> np.uint64(64 - hash_bits)
 
 
-def _pack(entries: np.ndarray) -> tuple[int, int, bytes]:
-    """First of sorted numbers, bytes per difference, and the differences."""
+def _pack(entries: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """First of sorted numbers, bytes per difference, the lower bytes, and the uneven top bytes compressed."""
     steps = np.diff(entries)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    packed = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    return int(entries[0]), width, packed.tobytes()
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    top = zlib.compress(np.ascontiguousarray(planes[width - 1]).tobytes(), 1)
+    return int(entries[0]), width, np.ascontiguousarray(planes[: width - 1]).tobytes(), top
 
 
-def _unpack(first: int, width: int, data: bytes) -> np.ndarray:
-    steps = np.zeros((len(data) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
-    numbers = np.empty(len(steps) + 1, np.uint64)
+def _unpack(first: int, width: int, low: bytes, top: bytes) -> np.ndarray:
+    top = np.frombuffer(zlib.decompress(top), np.uint8)
+    steps = np.zeros((8, len(top)), np.uint8)
+    steps[: width - 1] = np.frombuffer(low, np.uint8).reshape(width - 1, len(top))
+    steps[width - 1] = top
+    numbers = np.empty(len(top) + 1, np.uint64)
     numbers[0] = first
-    numbers[1:] = steps.view("<u8").ravel()
+    numbers[1:] = np.ascontiguousarray(steps.T).view("<u8").ravel()
     return np.cumsum(numbers, dtype=np.uint64)
 
 
-PACKED = "bucket int, first long, width int, steps binary, prints binary"
+PACKED = "bucket int, first long, width int, low binary, top binary, prints binary"
 
 
 def _variants(prints: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.DataFrame]:
@@ -134,10 +138,10 @@ def _variants(prints: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.D
             # order within one hash may change with the new places, which are in the same order
         rows.append((bucket, *_pack(part), used.tobytes()))
         if len(rows) >= 64:
-            yield pd.DataFrame(rows, columns=["bucket", "first", "width", "steps", "prints"])
+            yield pd.DataFrame(rows, columns=["bucket", "first", "width", "low", "top", "prints"])
             rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=["bucket", "first", "width", "steps", "prints"])
+        yield pd.DataFrame(rows, columns=["bucket", "first", "width", "low", "top", "prints"])
 
 
 def _packer(hash_bits: int, buckets: int):
@@ -186,8 +190,8 @@ def _stars(hashes: np.ndarray, prints: np.ndarray, hash_bits: int) -> tuple[np.n
 def _linker(hash_bits: int):
     def link(group: pd.DataFrame) -> pd.DataFrame:
         hashes, prints = [], []
-        for first, width, steps, used in zip(group["first"], group["width"], group["steps"], group["prints"]):
-            entries = _unpack(first, width, steps)
+        for first, width, low, top, used in zip(*(group[c] for c in ("first", "width", "low", "top", "prints"))):
+            entries = _unpack(first, width, low, top)
             hashes.append(entries >> np.uint64(PLACE_BITS))
             places = (entries & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
             prints.append(np.frombuffer(used, np.uint64)[places])
