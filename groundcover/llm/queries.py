@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import bpe, decontaminate, language_id, quality, secret_scan, simhash, token_counts
+from groundcover.llm import ann, bpe, chat, decontaminate, language_id, licenses, quality, secret_scan, simhash, token_counts
 from groundcover.llm.common import documents, fold
 from groundcover.sources.tables import load_table
 
@@ -47,6 +47,20 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw transcripts of all conversations, parsed again and rendered."""
+    blocks = chat.transcripts(load_table(spark, folder, "conversations"))
+    parsed = chat.format_chats(blocks, chat.train(blocks))
+    return parsed.select(
+        "conv_id", "block",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.array_join(F.transform("turns", lambda t: t["role"]), ",").alias("roles"),
+        F.length("rendered").cast("long").alias("n_chars"),
+        F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
+
+
 @query
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = bpe.encode_documents(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
@@ -67,6 +81,57 @@ def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+@query
+def op6_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = load_table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_sentences", F.array_join("licenses", ",").alias("licenses"), "unknown",
+        F.sha2("sequence", 256).alias("sequence_sha256"),
+    )
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _license_oracle() -> str:
+    known = licenses.known_sentences()
+    pairs = ", ".join(f"({_sql_text(s)}, {_sql_text(i)})" for s, i in known.items())
+    runs: dict[str, str] = {}
+    for licence, ids in licenses.RULES:
+        runs.setdefault(" " + "  ".join(ids) + " ", licence)
+    rules = ", ".join(f"({_sql_text(r)}, {_sql_text(name)})" for r, name in runs.items())
+    joined = "coalesce(text, '')"
+    for pattern in licenses.WRAPPED:
+        joined = f"regexp_replace({joined}, {_sql_text(pattern)}, '\\1 \\2', 'g')"
+    return f"""
+WITH known(sentence, id) AS (VALUES {pairs}), rules(run, licence) AS (VALUES {rules}),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {joined} AS text FROM documents),
+cut AS (SELECT r, doc_id, list_filter(list_transform(string_split_regex(text, {_sql_text(licenses.BREAK)}),
+    lambda s: trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    {_sql_text(licenses.NOT_WORD)}, ' ', 'g'))), lambda s: s <> '') AS found FROM docs),
+placed AS (SELECT r, i, found[i] AS sentence FROM cut, unnest(generate_series(1, len(found))) AS u(i)),
+named AS (
+  SELECT r, string_agg(' ' || coalesce(id, '-') || ' ', '' ORDER BY i) AS sequence,
+    bool_or(id IS NULL AND regexp_matches(sentence, {_sql_text(licenses.MENTION)})) AS unknown
+  FROM placed LEFT JOIN known USING (sentence) GROUP BY r),
+matched AS (SELECT r, run, j FROM named, unnest(regexp_extract_all(sequence, {_sql_text(licenses.rule_pattern())})) WITH ORDINALITY AS m(run, j)),
+listed AS (SELECT r, string_agg(licence, ',' ORDER BY j) AS licenses FROM matched JOIN rules USING (run) GROUP BY r)
+SELECT doc_id, CAST(len(found) AS BIGINT) AS n_sentences, coalesce(licenses, '') AS licenses,
+  coalesce(unknown, FALSE) AS unknown, sha256(coalesce(sequence, '')) AS sequence_sha256
+FROM cut LEFT JOIN named USING (r) LEFT JOIN listed USING (r)
+"""
+
+
+ORACLES["op7_license_scan"] = _license_oracle()
+
+
 @query
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
