@@ -29,7 +29,7 @@ from groundcover.llm.common import bounded_batches, free_name
 WIDTH = 10
 SHARD_WORDS = 2_000_000  # bounds what is broadcast and held by a worker: about 0.5 GB of states at worst
 FOUND = "n_words long, spans array<struct<first:int,last:int>>, items array<string>"
-WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # in the original, so with A-Z
 
 # Byte by byte: A-Z become lower case, every ASCII character outside words becomes a blank.
 _FOLD = bytes(

@@ -64,7 +64,7 @@ RULES = [
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on lower-cased text
 BREAK = r"[.!?:][ \t\r\n]+|\n+"
-WRAPPED = (r"([a-z,;])\r?\n[ \t]*([a-z(])", r"([A-Z,])\r?\n[ \t]*([A-Z(])")  # lines of one sentence
+WRAPPED = (r'([a-z,;])\r?\n[ \t]*([a-z("])', r'([A-Z,])\r?\n[ \t]*([A-Z("])')  # lines of one sentence
 MENTION = r"(^| )(licen[cs]e[ds]?|copyright|warranty)( |$)"
 
 

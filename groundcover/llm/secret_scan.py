@@ -2,9 +2,9 @@
 
 Only DataFrame functions run on the executors. One first-order model is fitted to random
 strings, one to ordinary identifiers; a run of token characters is a secret if the log-likelihood
-ratio of the two reaches `threshold`. The labelled samples come from a bounded share of the
-documents: pattern matches and digests of the keys are random strings, the other words, alone and
-joined as identifiers, are ordinary. Only pair counts (at most 2 x 68 x 68 numbers) leave the cluster.
+ratio of the two reaches `threshold`, and RATE per character. The labelled samples come from a bounded share of the
+documents: pattern matches and digests of the keys are random strings; the other words, alone and
+joined as identifiers, lines of one character, alphabets, dates and numbers are ordinary. Only pair counts (at most 2 x 68 x 68 numbers) leave the cluster.
 
 Spans are code points of the original text, end exclusive. Pattern spans are kept as they are; a
 `markov` span is added only where it touches no pattern span.
@@ -30,7 +30,8 @@ ORDINARY = r"[A-Za-z0-9_-]{4,}"
 SAMPLE_DOCS = 2000
 SAMPLE_CHARS = 64  # of one sample string
 SMOOTHING = 0.5
-THRESHOLD = 12.0  # nats in favour of a random string
+THRESHOLD = 12.0  # nats in favour of a random string, and per character:
+RATE = 0.8
 MARK = "[SECRET]"
 
 _SPAN = "array<struct<start:int,kind_rank:int,kind:string,end:int,value:string>>"
@@ -100,9 +101,18 @@ def labelled_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
     joined = F.transform(
         F.filter(neighbours, lambda p: p["b"].isNotNull() & F.col("joins")),
         lambda p: F.array(
-            F.concat_ws("_", p["a"], p["b"]), F.concat_ws("-", p["a"], p["b"]), F.concat(p["a"], F.initcap(p["b"]))
+            F.concat_ws("_", p["a"], p["b"]), F.concat_ws("-", p["a"], p["b"]), F.concat(p["a"], F.initcap(p["b"])),
+            F.concat_ws("/", p["a"], p["b"]), F.upper(F.concat_ws("_", p["a"], p["b"])),
         ),
     )
+    some = F.pmod(F.xxhash64("doc_id", F.lit("line")), F.lit(len(ALPHABET) - 1)).cast("int") + 2
+    lines = F.array(
+        F.repeat(F.substr(F.lit(ALPHABET), some, F.lit(1)), F.lit(24)),
+        F.repeat(F.substr(F.lit("-=_/+"), some % 5 + 1, F.lit(1)), F.lit(24)),
+        F.lit("abcdefghijklmnopqrstuvwxyz"), F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("01234567890123456789"),
+        F.regexp_replace(F.xxhash64("doc_id", F.lit("number")).cast("string"), "-", ""),
+        F.date_format(F.timestamp_seconds(F.xxhash64("doc_id") % 2_000_000_000), "yyyy-MM-dd-HH-mm-ss"),
+    )
     strings = texts.select(
         F.concat(
             F.transform("spans", lambda s: s["value"]),
@@ -110,7 +120,8 @@ def labelled_strings(docs: DataFrame, n: int = SAMPLE_DOCS) -> DataFrame:
         ).alias("random"),
         words.alias("words"),
         (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("joins"),  # joined forms from a quarter
-    ).select("random", F.concat("words", F.flatten(joined)).alias("ordinary"))
+        lines.alias("lines"),
+    ).select("random", F.concat("words", F.flatten(joined), "lines").alias("ordinary"))
     random = strings.select(F.lit(True).alias("random"), F.explode("random").alias("string"))
     return random.unionByName(strings.select(F.lit(False).alias("random"), F.explode("ordinary").alias("string")))
 
@@ -162,7 +173,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = THRESHOLD, into
     added = F.filter(
         runs,
         lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (s["end"] > r["start"]))
-        & (log_ratio(r["value"], model) >= threshold),
+        & (log_ratio(r["value"], model) >= F.greatest(F.lit(threshold), F.length(r["value"]) * RATE)),
     )
     return found.withColumn(into, F.array_sort(F.concat(F.col(base), added))).drop(base, runs)
 
