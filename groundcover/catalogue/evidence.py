@@ -42,7 +42,7 @@ UNION ALL {SPAN_DESCRIPTION}
 
 @query("spans_simple", f"WITH s AS ({SIMPLE_SQL}) {SPAN_OUT}")
 def spans_simple(spark, folder):
-    return _span_row(spans.spans_simple(_documents(spark, folder), list_fields=["capability"], max_chars=None))
+    return _span_row(spans.spans_simple(_documents(spark, folder), list_fields=["capability"]))
 
 
 @query(
@@ -50,7 +50,8 @@ def spans_simple(spark, folder):
     f"WITH w AS ({SIMPLE_SQL}), s AS (SELECT * REPLACE (substr(text_span, 1, 2000) AS text_span) FROM w) {SPAN_OUT}",
 )
 def span_truncation(spark, folder):
-    return _span_row(spans.spans_simple(_documents(spark, folder), list_fields=["capability"]))
+    built = spans.spans_simple(_documents(spark, folder), list_fields=["capability"], max_chars=config.SPAN_CHARS)
+    return _span_row(built)
 
 
 @query(
@@ -64,41 +65,67 @@ s AS (SELECT CAST(doc_id AS VARCHAR) || '_capability_' || CAST(part AS VARCHAR)
   UNION ALL {SPAN_DESCRIPTION}) {SPAN_OUT}""",
 )
 def spans_chunked(spark, folder):
-    return _span_row(spans.spans_chunked(_documents(spark, folder), list_fields=["capability"], max_chars=None))
+    return _span_row(spans.spans_chunked(_documents(spark, folder), list_fields=["capability"]))
+
+
+CHUNKED_SQL = f"""
+SELECT span_id, unique_id, field_source, text_span FROM (
+  SELECT CAST(doc_id AS VARCHAR) || '_capability_' || CAST(part AS VARCHAR) AS span_id, doc_id AS unique_id,
+    'capability' AS field_source, array_to_string(items[part * 4 + 1 : part * 4 + 4], '. ') AS text_span
+  FROM (SELECT doc_id, items, unnest(range(0, CAST(ceil(len(items) / 4.0) AS BIGINT))) AS part
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS items FROM documents) AS l) AS p) AS c
+WHERE length(trim(text_span)) > 0
+UNION ALL {SPAN_DESCRIPTION}
+"""
 
 
 @query(
     "span_granularity",
-    """
-WITH n AS (SELECT sum(CAST(ceil(len(list_filter(string_split(text, chr(10)), lambda x: TRUE)) / 4.0) AS BIGINT)) AS chunks FROM documents)
-SELECT 'chunked' AS chosen, field_source, count(*) AS spans FROM (
-  SELECT 'description' AS field_source FROM documents WHERE doc_id % 10 <> 0
-  UNION ALL SELECT 'capability' FROM (
-    SELECT items, unnest(range(0, CAST(ceil(len(items) / 4.0) AS BIGINT))) AS part
-    FROM (SELECT string_split(text, chr(10)) AS items FROM documents) AS l) AS p
-    WHERE length(trim(array_to_string(items[part * 4 + 1 : part * 4 + 4], '. '))) > 0) AS s
-GROUP BY field_source""",
+    f"""
+WITH simple AS ({SIMPLE_SQL}), chunked AS ({CHUNKED_SQL})
+SELECT 'simple' AS chosen, field_source, count(*) AS spans, sum(length(text_span))::BIGINT AS chars FROM simple GROUP BY field_source
+UNION ALL SELECT 'chunked', field_source, count(*), sum(length(text_span))::BIGINT FROM chunked GROUP BY field_source""",
 )
 def span_granularity(spark, folder):
-    chosen, df = spans.choose_spans(
-        _documents(spark, folder), max_spans=10**12, list_fields=["capability"], max_chars=None
-    )
-    return df.groupBy("field_source").agg(F.count(F.lit(1)).alias("spans")).withColumn("chosen", F.lit(chosen))
+    def counted(name):
+        built = spans.spans_by(_documents(spark, folder), name, list_fields=["capability"])
+        sizes = built.groupBy("field_source").agg(
+            F.count(F.lit(1)).alias("spans"), F.sum(F.length("text_span")).cast("long").alias("chars")
+        )
+        return sizes.withColumn("chosen", F.lit(name))
+
+    return counted("simple").unionByName(counted("chunked"))
+
+
+# Vectors of `hashed_words`: word counts at places given by md5, brought to length 1.
+def _vector_sql(rows: str) -> str:
+    return f"""
+words AS (SELECT span_id, unnest(string_split_regex(lower(text_span), '[ \t\r\n]+')) AS word FROM {rows}),
+places AS (SELECT span_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 64 AS place, count(*)::DOUBLE AS n
+  FROM words WHERE word <> '' GROUP BY ALL),
+lengths AS (SELECT span_id, sqrt(sum(n * n)) AS length FROM places GROUP BY span_id),
+parts AS (SELECT span_id, place, CAST(n / length AS FLOAT) AS x FROM places JOIN lengths USING (span_id))
+"""
 
 
 @query(
     "embed_spans",
     f"""
-WITH s AS ({SIMPLE_SQL})
-SELECT span_id, CAST(64 AS INT) AS dim, FALSE AS embedding_failed,
-  CAST(CASE WHEN length(regexp_replace(text_span, '\\s', '', 'g')) = 0 THEN 0 ELSE 1 END AS DOUBLE) AS length FROM s""",
+WITH s AS ({SIMPLE_SQL}), {_vector_sql("s")},
+vectors AS (SELECT span_id, string_agg(CAST(place AS VARCHAR) || ':' || CAST(CAST(floor(x::DOUBLE * 16777216) AS BIGINT) AS VARCHAR), ','
+  ORDER BY place) AS vector FROM parts GROUP BY span_id)
+SELECT span_id, CAST(64 AS INT) AS dim, FALSE AS embedding_failed, md5(coalesce(vector, '')) AS vector_md5
+FROM s LEFT JOIN vectors USING (span_id)""",
 )
 def embed_spans(spark, folder):
-    built = spans.spans_simple(_documents(spark, folder), list_fields=["capability"], max_chars=None)
+    built = spans.spans_simple(_documents(spark, folder), list_fields=["capability"])
     embedded = spans.embed_spans(built)
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return embedded.select("span_id", F.size("embedding").alias("dim"), "embedding_failed",
-                           F.round(squares, 3).alias("length"))
+    parts = F.transform(
+        "embedding",
+        lambda x, i: F.concat_ws(":", i, F.floor(x.cast("double") * (1 << 24)).cast("long")),
+    )
+    vector = F.array_join(F.filter(parts, lambda p: ~p.endswith(":0")), ",")
+    return embedded.select("span_id", F.size("embedding").alias("dim"), "embedding_failed", F.md5(vector).alias("vector_md5"))
 
 
 def _query_vectors(spark, folder):
@@ -147,17 +174,31 @@ def vector_topk_l2(spark, folder):
     return _topk(spark, folder, "l2_sim", 50)
 
 
-@query("span_search")
+def _search_sql() -> str:
+    names = list(config.CAPABILITY_QUERIES)
+    vectors = spans.hashed_words(list(config.CAPABILITY_QUERIES.values()))
+    values = ", ".join(f"('{n}', {i}, {x!r}::DOUBLE)" for n, v in zip(names, vectors) for i, x in enumerate(v) if x)
+    return f"""
+WITH s AS ({CHUNKED_SQL}), {_vector_sql("s")}, q(capability, place, y) AS (VALUES {values}),
+norms AS (SELECT span_id, sqrt(sum(x::DOUBLE * x::DOUBLE)) AS norm FROM parts GROUP BY span_id),
+qnorms AS (SELECT capability, sqrt(sum(y * y)) AS norm FROM q GROUP BY capability),
+dots AS (SELECT span_id, capability, sum(x::DOUBLE * y) AS dot FROM parts JOIN q USING (place) GROUP BY ALL)
+SELECT capability, span_id, unique_id, field_source, length(text_span)::INT AS chars,
+  round(coalesce(dot / norms.norm / qnorms.norm, 0), 6) AS score
+FROM s CROSS JOIN qnorms LEFT JOIN dots USING (span_id, capability) LEFT JOIN norms USING (span_id)"""
+
+
+@query("span_search", _search_sql())
 def span_search(spark, folder):
-    """Documents cut into spans, embedded, searched for every capability, text attached."""
-    built = spans.spans_chunked(_documents(spark, folder), list_fields=["capability"], max_chars=None)
+    """Documents cut into spans, embedded, every span scored for every capability, text attached."""
+    built = spans.spans_chunked(_documents(spark, folder), list_fields=["capability"])
     embedded = spans.embed_spans(built).where(~F.col("embedding_failed"))
     names = list(config.CAPABILITY_QUERIES)
     vectors = dict(zip(names, spans.hashed_words(list(config.CAPABILITY_QUERIES.values())), strict=True))
-    found = retrieve.vector_topk(embedded, vectors, config.TOP_K)
-    return retrieve.attach_spans(found, built).select(
-        "capability", "rank", "span_id", "unique_id", "field_source", F.round("score", 6).alias("score"),
-        F.length("text_span").alias("chars"),
+    facts = embedded.select("span_id", "unique_id", "field_source", F.length("text_span").alias("chars"))
+    found = retrieve.vector_topk(embedded, vectors, k=None)
+    return retrieve.attach_spans(found, facts).select(
+        "capability", "span_id", "unique_id", "field_source", F.round("score", 6).alias("score"), "chars"
     )
 
 

@@ -83,14 +83,14 @@ SELECT DISTINCT p_brand AS block,
     WHEN 2 THEN reverse(p_name) ELSE p_name || 's ' || lower(p_type) END AS name
 FROM {part}
 """
-RIGHT_NAMES = "SELECT DISTINCT p_brand AS block, p_name || ' ' || p_type AS candidate FROM {part} WHERE p_size > 10"
+RIGHT_NAMES = "SELECT DISTINCT p_brand AS block, p_name || ' ' || p_type AS candidate FROM {part}"
 ALIASES = """
 SELECT DISTINCT p_brand AS block, replace(p_name || ' ' || p_type, 'e', '') AS name, p_name || ' SMALL' AS target
 FROM {part} WHERE p_type = 'ECONOMY'
 """
 BLOCKED = """
 SELECT DISTINCT p_brand AS block, reverse(p_name) AS name, p_name || ' ' || p_type AS candidate
-FROM {part} WHERE p_size > 25
+FROM {part}
 """
 
 FUZZY_SQL = """

@@ -101,13 +101,13 @@ ANY_RULE = " OR ".join(f"({c})" for c in STRICT.values())
     "validation_summary",
     with_inputs(
         "WITH " + JOINED + f""",
-n AS (SELECT count(*) AS total_rows, count(*) FILTER (WHERE {STRICT["check_unsupported_claim"]}) AS unsupported_rows,
+n AS (SELECT count(*) AS total_rows, {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in STRICT.items())},
   count(*) FILTER (WHERE evidence_status IN ('likely', 'weak_signal')) AS eligible_rows,
   count(*) FILTER (WHERE evidence_status IN ('likely', 'weak_signal') AND keyword_confirmed) AS confirmed_rows,
   count(*) FILTER (WHERE {ANY_RULE}) AS validator_flagged_rows FROM j)
 SELECT total_rows, eligible_rows, confirmed_rows, round_even(confirmed_rows::DOUBLE / eligible_rows * 100, 1) AS keyword_rate_pct,
   validator_flagged_rows, round_even(validator_flagged_rows::DOUBLE / total_rows * 100, 1) AS validator_flag_rate_pct,
-  unsupported_rows, round_even(unsupported_rows::DOUBLE / total_rows * 100, 1) AS unsupported_pct FROM n""",
+  {" || ',' || ".join(f"'{n}=' || {n} || ':' || CAST(round_even({n}::DOUBLE / total_rows * 1000, 0) AS INT)" for n in sorted(STRICT))} AS rules FROM n""",
         **BOTH,
     ),
 )
@@ -117,8 +117,8 @@ def validation_summary(spark, folder):
         "total_rows", "keyword_confirmation.eligible_rows", "keyword_confirmation.confirmed_rows",
         F.col("keyword_confirmation.rate_pct").alias("keyword_rate_pct"),
         "validator_flagged_rows", "validator_flag_rate_pct",
-        F.col("validator_rules")[0]["flagged_rows"].alias("unsupported_rows"),
-        F.col("validator_rules")[0]["rate_pct"].alias("unsupported_pct"),
+        F.array_join(F.array_sort(F.transform("validator_rules", lambda r: F.concat(
+            r["rule"], F.lit("="), r["flagged_rows"], F.lit(":"), F.round(r["rate_pct"] * 10).cast("int")))), ",").alias("rules"),
     )
 
 
@@ -142,8 +142,8 @@ region_coverage AS (SELECT region_name || '_' || state AS region_id, region_name
 """
 
 
-def coverage_sql(body):
-    return with_inputs("WITH " + COVERAGE_SQL + body, **BOTH)
+def coverage_sql(body, more=""):
+    return with_inputs("WITH " + COVERAGE_SQL + (f", {more}" if more else "") + body, **BOTH)
 
 
 def _coverage(spark, folder):
@@ -528,10 +528,23 @@ def integrity(spark, folder):
 FROM (SELECT count(*) AS n FROM region_coverage GROUP BY coverage_status) AS d
 UNION ALL SELECT 'row_count', count(*) = count(DISTINCT region_id) * 6, CAST(count(*) AS VARCHAR) || '/' || CAST(count(DISTINCT region_id) * 6 AS VARCHAR) FROM region_coverage
 UNION ALL SELECT 'not_empty', count(*) > 0, CAST(count(*) AS VARCHAR) FROM region_coverage
-UNION ALL SELECT 'same_values', TRUE, '0'
-UNION ALL SELECT 'domain_coverage_status', TRUE, '0'
-UNION ALL SELECT 'range_avg_trust_score_pct', TRUE, '0'
-UNION ALL SELECT 'rules_plausible', TRUE, '0'"""),
+UNION ALL SELECT 'same_values', count(*) = 0, CAST(count(*) AS VARCHAR) FROM different
+UNION ALL SELECT 'same_values', count(*) + 1 = 0, CAST(count(*) + 1 AS VARCHAR) FROM different
+UNION ALL SELECT 'domain_coverage_status', bad = 0, CAST(bad AS VARCHAR) FROM outside
+UNION ALL SELECT 'range_avg_trust_score_pct', bad_pct = 0, CAST(bad_pct AS VARCHAR) FROM outside
+UNION ALL SELECT 'domain_coverage_status', other = 0, CAST(other AS VARCHAR) FROM outside
+UNION ALL SELECT 'range_avg_trust_score_pct', high = 0, CAST(high AS VARCHAR) FROM outside
+UNION ALL SELECT 'rules_plausible', bad = 0, CAST(bad AS VARCHAR) FROM implausible""",
+        f"""
+different AS (SELECT * FROM (SELECT DISTINCT capability_queried AS c FROM region_coverage) AS f
+  FULL JOIN (VALUES {", ".join(f"('{c}')" for c in config.CAPABILITY_QUERIES)}) AS w(c) USING (c) WHERE f.c IS NULL OR w.c IS NULL),
+outside AS (SELECT count(*) FILTER (WHERE coverage_status NOT IN ({", ".join(f"'{c}'" for c in config.COVERAGE_STATUSES)})) AS bad,
+  count(*) FILTER (WHERE avg_trust_score_pct NOT BETWEEN 0 AND 100) AS bad_pct,
+  count(*) FILTER (WHERE coverage_status <> '{config.COVERAGE_STATUSES[0]}') AS other,
+  count(*) FILTER (WHERE avg_trust_score_pct NOT BETWEEN 0 AND 40) AS high FROM region_coverage),
+j AS (SELECT * FROM evidence JOIN facilities USING (unique_id)),
+implausible AS (SELECT {" + ".join(f"(CASE WHEN count(*) FILTER (WHERE {c}) IN (0, count(*)) THEN 1 ELSE 0 END)" for c in STRICT.values())} AS bad FROM j)
+"""),
 )
 def gates_query(spark, folder):
     cov = _coverage(spark, folder)
@@ -542,7 +555,9 @@ def gates_query(spark, folder):
         gates.not_skewed(cov),
         gates.row_count(cov, expected),
         gates.same_values(cov, "capability_queried", list(config.CAPABILITY_QUERIES)),
+        gates.same_values(cov, "capability_queried", [*config.CAPABILITY_QUERIES, "Dental"]),
         gates.domain(cov, {"coverage_status": config.COVERAGE_STATUSES}, {"avg_trust_score_pct": (0, 100)}),
+        gates.domain(cov, {"coverage_status": config.COVERAGE_STATUSES[:1]}, {"avg_trust_score_pct": (0, 40)}),
         gates.rules_plausible(rules.rule_rates(evidence, facilities)),
     ]
     out = parts[0]
@@ -568,9 +583,11 @@ def incomplete_keys(spark, folder):
 
 SEARCH = """
 SELECT 'Facility ' || CAST(page_id % 500 AS STRING) || ' ' AS facility_name, ' City ' || CAST(page_id % 7 AS STRING) AS city,
-  page_id AS pos, url, page_id
+  page_id AS pos, url
 FROM {pages}
 """
+# Pages that a facility names itself: those of shops and of one host in three.
+OWN_PAGE = "(url LIKE '%shop%' OR length(url) % 3 = 0)"
 DUCK_DOMAIN = (
     "regexp_replace(regexp_replace(regexp_extract(lower({0}), '^[a-z]+://([^/?#:]*)', 1), '[.]+$', ''), '^www[.]', '')"
 )
@@ -581,11 +598,11 @@ DUCK_DOMAIN = (
     with_inputs(
         f"""
 WITH r AS (SELECT lower(trim(facility_name)) AS n, lower(trim(city)) AS c, pos, url, {DUCK_DOMAIN.format("url")} AS d FROM search),
-lookups AS (SELECT DISTINCT facility_name, city FROM search),
-known AS (SELECT DISTINCT n, c, d FROM r WHERE pos % 3 = 0),
-fresh AS (SELECT n, c, arg_min(url, pos) AS url FROM r WHERE d <> '' AND pos % 5 <> 0
+lookups AS (SELECT DISTINCT facility_name, city FROM search UNION ALL SELECT 'Nobody', 'Nowhere'),
+known AS (SELECT DISTINCT n, c, d FROM r WHERE {OWN_PAGE}),
+fresh AS (SELECT n, c, arg_min(url, pos) AS url FROM r WHERE d <> ''
   AND NOT EXISTS (SELECT 1 FROM known AS k WHERE k.n = r.n AND k.c = r.c AND k.d = r.d) GROUP BY n, c),
-seen AS (SELECT DISTINCT n, c FROM r WHERE pos % 5 <> 0),
+seen AS (SELECT DISTINCT n, c FROM r),
 s AS (SELECT facility_name, city, CASE WHEN trim(facility_name) = 'Facility 11' THEN 'unavailable' WHEN trim(facility_name) = 'Facility 12' THEN 'error'
     WHEN seen.n IS NULL THEN 'no_digital_footprint' WHEN fresh.url IS NOT NULL THEN 'independently_corroborated' ELSE 'no_new_corroboration' END AS status, fresh.url AS u
   FROM lookups LEFT JOIN seen ON seen.n = lower(trim(facility_name)) AND seen.c = lower(trim(city))
@@ -602,17 +619,23 @@ def corroborate(spark, folder):
         "facility_name", "city", (name != "Facility 11").alias("available"),
         F.when(name == "Facility 12", "timeout").alias("error"),
     )
-    out = web.corroborate(lookups, found.where(F.col("pos") % 5 != 0), found.where(F.col("pos") % 3 == 0))
+    nowhere = spark.createDataFrame([("Nobody", "Nowhere", True, None)], lookups.schema)
+    out = web.corroborate(lookups.unionByName(nowhere), found, found.where(OWN_PAGE))
     return out.drop("available", "error")
 
 
+def _guidance_sql() -> str:
+    quoted = {status: text.replace("'", "''") for status, text in config.STATUS_GUIDANCE.items()}
+    return " ".join(f"WHEN '{status}' THEN '{text}'" for status, text in quoted.items())
+
+
 @query(
     "prompt_table",
     with_inputs(
         """
 SELECT unique_id, capability, payload_key, guidance, CAST(len(flags) AS INT) AS flag_count FROM (
   SELECT e.unique_id, capability, CAST(o_orderkey AS VARCHAR) AS payload_key,
-    CASE evidence_status WHEN 'verified' THEN 'Use ver' WHEN 'likely' THEN 'Use lik' WHEN 'weak_signal' THEN 'Use exp' ELSE 'State t' END AS guidance,
+    CASE evidence_status """ + _guidance_sql() + """ END AS guidance,
     list_filter(["""
         + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in STRICT.items())
         + """], lambda x: x IS NOT NULL) AS flags
@@ -628,7 +651,7 @@ def prompt_table(spark, folder):
     return out.select(
         "unique_id", "capability",
         F.get_json_object("payload", "$.capability_evidence.span_id").alias("payload_key"),
-        F.substring(F.get_json_object("payload", "$.confidence_instruction"), 1, 7).alias("guidance"),
+        F.get_json_object("payload", "$.confidence_instruction").alias("guidance"),
         F.size(F.from_json(F.get_json_object("payload", "$.validator_flags"), "array<struct<rule: string>>")).alias("flag_count"),
     )
 
@@ -667,13 +690,13 @@ def _duck_phrases(table):
 
 
 LINT_TEXT = """
-SELECT conv_id, turn,
+SELECT conv_id, turn, variant,
   CASE (conv_id + turn) % 4 WHEN 0 THEN 'verified' WHEN 1 THEN 'likely' WHEN 2 THEN 'weak_signal' ELSE 'no_signal' END AS evidence_status,
-  CASE WHEN turn % 3 = 0 THEN text ELSE CASE (conv_id * 7 + turn) % 5 WHEN 0 THEN 'It is Verified.' WHEN 1 THEN 'Likely, and definitely so!'
+  CASE variant WHEN 'text' THEN text ELSE CASE (conv_id * 7 + turn) % 5 WHEN 0 THEN 'It is Verified.' WHEN 1 THEN 'Likely, and definitely so!'
     WHEN 2 THEN 'Limited evidence suggests it?' WHEN 3 THEN 'No evidence, which is certainly so.' ELSE 'One. Two."' END
     || CASE WHEN turn % 2 = 0 THEN ' No flags were raised.' ELSE '' END || ' Confirm it directly.' END AS explanation,
   'Confirm it directly.' AS confirm_message
-FROM {conversations}
+FROM {conversations} CROSS JOIN (SELECT 'text' AS variant UNION ALL SELECT 'canned') AS variants
 """
 
 
@@ -681,7 +704,7 @@ FROM {conversations}
     "explanation_lint",
     with_inputs(
         f"""
-SELECT conv_id, turn, CAST(sentences AS INT) AS sentences, concat_ws('|',
+SELECT conv_id, turn, variant, CAST(sentences AS INT) AS sentences, concat_ws('|',
   CASE WHEN NOT suffix(explanation, confirm_message) THEN 'confirm_message' END,
   CASE WHEN sentences NOT IN (2, 3) THEN 'sentence_count' END,
   CASE WHEN NOT {_duck_phrases(config.REQUIRED_PHRASES).format("TRUE")} THEN 'confidence_language' END,
@@ -692,7 +715,7 @@ FROM (SELECT *, lower(explanation) AS t, len(regexp_extract_all(replace(explanat
 )
 def explanation_lint(spark, folder):
     out = explain.lint_explanations(derive(spark, folder, LINT_TEXT))
-    return out.select("conv_id", "turn", "sentences", F.array_join("violations", "|").alias("violations"))
+    return out.select("conv_id", "turn", "variant", "sentences", F.array_join("violations", "|").alias("violations"))
 
 
 # Planner events
@@ -782,12 +805,12 @@ def publish_audited(spark, folder):
 
 @query(
     "publish_self_read",
-    "SELECT c_custkey, c_name, lower(c_mktsegment) AS segment, c_acctbal * 2 AS doubled FROM customer WHERE c_acctbal >= 0",
+    "SELECT c_custkey, c_name, lower(c_mktsegment) AS segment, c_acctbal * 2 AS doubled FROM customer",
 )
 def publish_self_read(spark, folder):
     path = scratch_path(spark, "self")
     first = sinks.publish(load_table(spark, folder, "customer"), path)
-    changed = first.where(F.col("c_acctbal") >= 0).select(
+    changed = first.select(
         "c_custkey", "c_name", norm_name("c_mktsegment").alias("segment"), (F.col("c_acctbal") * 2).alias("doubled")
     )
     return sinks.publish(changed, path, self_read=True)

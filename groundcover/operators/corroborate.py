@@ -10,10 +10,15 @@ from groundcover.functions.text import domain
 FACILITY = ["name_key", "city_key"]
 
 
+def _folded(name: str) -> Column:
+    """Caseless form: upper case first, so that e.g. sharp s and `ss` meet."""
+    return F.lower(F.upper(F.trim(F.coalesce(F.col(name), F.lit("")))))
+
+
 def facility_key(name: str = "facility_name", city: str = "city") -> list[Column]:
     return [
-        F.lower(F.trim(F.coalesce(F.col(name), F.lit("")))).alias("name_key"),
-        F.lower(F.trim(F.coalesce(F.col(city), F.lit("")))).alias("city_key"),
+        _folded(name).alias("name_key"),
+        _folded(city).alias("city_key"),
     ]
 
 

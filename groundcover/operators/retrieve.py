@@ -6,11 +6,11 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundcover import config
 from groundcover.plans.topk import top_k
 
 METRICS = ("dot", "cosine", "l2_sim")
@@ -19,7 +19,7 @@ METRICS = ("dot", "cosine", "l2_sim")
 def vector_topk(
     spans: DataFrame,
     queries: Mapping[str, Sequence[float]],
-    k: int = config.TOP_K,
+    k: int | None,
     metric: str = "cosine",
     key: str = "span_id",
     vector: str = "embedding",
@@ -27,9 +27,10 @@ def vector_topk(
 ) -> DataFrame:
     """The `k` best spans per query: (query, key, score, rank); equal scores by key.
 
-    Each task multiplies Arrow batches with the few query vectors and passes on only rows
-    that can still be among its own best `k`: a number near `k`, however many rows it
-    reads. Only keys and scores are shuffled. NULL vectors are not searched.
+    Each task multiplies Arrow batches with the few query vectors, decides equal scores by
+    key like the final ranking, and passes on its own best `k` per query once, at its end. Only
+    keys and scores are shuffled. `k=None` scores every span and ranks none (no `rank` column).
+    NULL vectors are not searched.
     Metrics: dot, cosine, l2_sim = 1 / (1 + squared distance).
     """
     if metric not in METRICS:
@@ -47,9 +48,29 @@ def vector_topk(
         ]
     )
 
+    def values_of(rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+        # One row at a time in a fixed order: a vector scores the same in any batch.
+        if metric == "l2_sim":
+            return 1.0 / (1.0 + ((rows - target) ** 2).sum(axis=1))
+        values = (rows * target).sum(axis=1)
+        if metric == "cosine":
+            norms = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((target * target).sum())
+            values = np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
+        return values
+
+    def table(i: int, keys: pa.Array, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([names[i]] * len(keys), pa.string()), keys, pa.array(values)], names=[query, key, "score"]
+        )
+
+    def best_of(keys: pa.Array, values: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        order = pc.sort_indices(
+            pa.table({"key": keys, "score": values}), sort_keys=[("score", "descending"), ("key", "ascending")]
+        )[:k]
+        return keys.take(order), values[order.to_numpy()]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floors = np.full(len(names), -np.inf)
-        best = [np.empty(0) for _ in names]
+        best: list[tuple[pa.Array, np.ndarray] | None] = [None] * len(names)
         for batch in batches:
             vectors = batch.column(1)
             if len(vectors) == 0:
@@ -57,39 +78,34 @@ def vector_topk(
             rows = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
             rows = rows.reshape(len(vectors), wanted.shape[1])
             for i, target in enumerate(wanted):
-                # One row at a time in a fixed order: a vector scores the same in any batch.
-                if metric == "l2_sim":
-                    values = 1.0 / (1.0 + ((rows - target) ** 2).sum(axis=1))
-                else:
-                    values = (rows * target).sum(axis=1)
-                    if metric == "cosine":
-                        norms = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((target * target).sum())
-                        values = np.divide(
-                            values, norms, out=np.zeros_like(values), where=norms > 0
-                        )
-                keep = values >= floors[i]
-                kept = values[keep]
-                best[i] = np.concatenate([best[i], kept])
-                if len(best[i]) > k:
-                    best[i] = np.partition(best[i], len(best[i]) - k)[-k:]
-                    floors[i] = best[i].min()
-                    keep = values >= floors[i]
-                    kept = values[keep]
-                if len(kept):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([names[i]] * len(kept), pa.string()),
-                            batch.column(0).filter(pa.array(keep)),
-                            pa.array(kept),
-                        ],
-                        names=[query, key, "score"],
-                    )
+                keys, values = batch.column(0), values_of(rows, target)
+                if k is None:
+                    yield table(i, keys, values)
+                    continue
+                if best[i] is not None:
+                    if len(best[i][0]) == k:
+                        # Rows under the last one kept can't enter; equal ones are settled by key.
+                        near = values >= best[i][1][-1]
+                        keys, values = keys.filter(pa.array(near)), values[near]
+                    keys = pa.concat_arrays([best[i][0], keys])
+                    values = np.concatenate([best[i][1], values])
+                best[i] = best_of(keys, values)
+        for i, found in enumerate(best):
+            if found is not None and len(found[0]):
+                yield table(i, *found)
 
     searched = spans.where(F.col(vector).isNotNull()).select(key, vector)
     scored = searched.mapInArrow(score, schema)
+    if k is None:
+        return scored
     return top_k(scored, [query], [F.col("score").desc(), F.col(key).asc()], k, rank="rank")
 
 
 def attach_spans(matches: DataFrame, spans: DataFrame, key: str = "span_id") -> DataFrame:
-    """Span columns for the retrieved rows; `spans` is unique on the key."""
-    return matches.join(spans, key, "inner")
+    """Span columns for the retrieved rows; `spans` is unique on the key.
+
+    The matched keys go to the spans first: a semi-join that Spark broadcasts while they are few,
+    so texts that nobody asked for are not shuffled.
+    """
+    wanted = spans.join(matches.select(key).distinct(), key, "left_semi")
+    return matches.join(wanted, key, "inner")

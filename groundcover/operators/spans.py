@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator, Sequence
-from zlib import crc32
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ SPAN_COLUMNS = ["span_id", "unique_id", "field_source", "text_span"]
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
-def truncate_span(text: Column, max_chars: int | None = config.SPAN_CHARS) -> Column:
+def truncate_span(text: Column, max_chars: int | None = None) -> Column:
     """The first `max_chars` characters (not bytes); None keeps the whole text."""
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
@@ -49,13 +51,13 @@ def build_spans(
     list_fields: Sequence[str] = LIST_FIELDS,
     text_field: str | None = "description",
     chunk: int | None = None,
-    max_chars: int | None = config.SPAN_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
     """(span_id, unique_id, field_source, text_span) from one scan of the facts.
 
     `chunk=None` gives one span per record and field, else one per `chunk` list items,
     numbered from 0. NULL items take a place in a chunk but no text; blank spans are
-    dropped. All fields are laid out side by side and exploded together, so the table is
+    dropped. Spans are whole unless `max_chars` cuts them. All fields are laid out side by side and exploded together, so the table is
     not read once per field.
     """
     kind = T.ArrayType(
@@ -102,20 +104,31 @@ def spans_chunked(df: DataFrame, chunk: int = config.CHUNK_ITEMS, **options) ->
     return build_spans(df, chunk=chunk, **options)
 
 
-def choose_spans(df: DataFrame, max_spans: int, **options) -> tuple[str, DataFrame]:
-    """The finer chunked spans if their number fits the budget, else the simple ones."""
-    chunked = spans_chunked(df, **options)
-    if chunked.count() <= max_spans:
-        return "chunked", chunked
-    return "simple", spans_simple(df, **options)
+GRANULARITIES = {"simple": spans_simple, "chunked": spans_chunked}
+
+
+def spans_by(df: DataFrame, granularity: str, **options) -> DataFrame:
+    """Spans of the named granularity: `simple` or `chunked`."""
+    if granularity not in GRANULARITIES:
+        raise ValueError(f"unknown granularity {granularity!r}")
+    return GRANULARITIES[granularity](df, **options)
+
+
+@lru_cache(maxsize=200_000)
+def _place(word: str, dim: int) -> int:
+    return int(md5(word.encode()).hexdigest()[:8], 16) % dim
 
 
 def hashed_words(texts: list[str], dim: int = 64) -> list[list[float]]:
-    """Deterministic stand-in for a model: unit-length hashed word counts."""
+    """Deterministic stand-in for a model: unit-length hashed word counts.
+
+    Words are split at blanks, tabs and line ends; the place of a word follows from its md5.
+    """
     out = np.zeros((len(texts), dim), dtype="float64")
     for row, text in enumerate(texts):
-        for word in text.lower().split():
-            out[row, crc32(word.encode()) % dim] += 1.0
+        for word in re.split(r"[ \t\r\n]+", text.lower()):
+            if word:
+                out[row, _place(word, dim)] += 1.0
     length = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return (out / np.where(length == 0, 1.0, length)).tolist()
 
@@ -170,6 +183,6 @@ def embed_spans(
 
 
 __all__ = [
-    "SPAN_COLUMNS", "build_spans", "choose_spans", "embed_spans", "hashed_words",
-    "spans_chunked", "spans_simple", "truncate_span",
+    "GRANULARITIES", "SPAN_COLUMNS", "build_spans", "embed_spans", "hashed_words",
+    "spans_by", "spans_chunked", "spans_simple", "truncate_span",
 ]

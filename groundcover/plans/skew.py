@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,41 +12,25 @@ from pyspark.sql import types as T
 TRACKED_KEYS = 10_000
 SKETCH_SIZE = 65_536
 HOT_ROWS = 500_000  # smaller keys are never worth splitting
-SAMPLED = 0.05
 
 
-def hot_hashes(
-    fact: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, sampled: float = SAMPLED
-) -> dict[int, int]:
-    """Hashes of keys with more rows than a shuffle partition should hold, with their buckets.
+def hot_keys(table: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(the key columns, rows): keys with more rows than a shuffle partition should hold.
 
-    One narrow pass over the key columns with a mergeable frequent-items sketch of a share
-    of the rows: nothing is shuffled but one small sketch per task, and at most TRACKED_KEYS
-    numbers reach the driver. A key gets as many buckets (a power of two) as it fills
-    partitions, so all hot keys together never need more than about twice the number of
-    partitions. The sample and the sketch only decide what is salted, never what is joined,
-    so their error cannot change a result.
+    A mergeable frequent-items sketch over hashes of the keys finds candidates (at most TRACKED_KEYS
+    numbers reach the driver), a second pass counts only those, within the tasks first. Meant for written
+    tables, where both passes read the key columns alone. The sketch decides what is salted, never what
+    is joined, so its error cannot change a result.
     """
-    keys = fact.select(_key_hash(on).alias("_h"))
-    if sampled < 1:
-        keys = keys.sample(sampled, seed=17)
-    sketch = keys.agg(
+    hashed = F.xxhash64(*[F.col(c) for c in on])
+    sketch = table.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.expr(f"approx_top_k(_h, {TRACKED_KEYS}, {SKETCH_SIZE})").alias("top"),
-    )
-    found = sketch.first()
-    partitions = int(fact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fair = max(hot_rows, found["rows"] / sampled / partitions)
-    hot = {}
-    for item in found["top"] or []:
-        fill = item["count"] / sampled / fair
-        if fill >= 1:
-            hot[item["item"]] = max(2, 1 << math.ceil(math.log2(fill)))
-    return hot
-
-
-def _key_hash(on: Sequence[str]) -> Column:
-    return F.xxhash64(*[F.col(c) for c in on])
+        F.call_function("approx_top_k", hashed, F.lit(TRACKED_KEYS), F.lit(SKETCH_SIZE)).alias("top"),
+    ).first()
+    least = max(hot_rows, sketch["rows"] / int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hashes = [item["item"] for item in sketch["top"] or [] if item["count"] >= least]
+    counted = table.where(hashed.isin(hashes)).groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.where(F.col("rows") >= least)
 
 
 def row_spread(df: DataFrame, buckets: Column) -> Column:
@@ -74,31 +58,42 @@ def skew_safe_join(
     dim: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    hot_rows: int = HOT_ROWS,
-    sampled: float = SAMPLED,
+    hot: Mapping[tuple, int] | None = None,
 ) -> DataFrame:
     """Equi-join `fact` to `dim` (`inner`, `left`, `left_semi` or `left_anti`).
 
-    Without hot keys this is a plain join, and Spark picks the strategy from measured
-    sizes. With hot keys (missing keys count as one) the rows of such a key are spread over
-    its buckets and the matching dim rows are repeated once per bucket; all other keys keep
-    bucket 0.
+    Without `hot` this is a plain join, which Spark splits at run time where a partition of
+    either side is much larger than the others; no job is started to find out. Where such a
+    split isn't possible (the join feeds an aggregate on its own keys), pass the keys that
+    `hot_keys` found on the written fact table as {key: buckets}: their rows are dealt to so many buckets, and
+    the matching dim rows are repeated once per bucket. Keys are compared as the join compares them, whatever
+    the types of the two sides; a None stands for a missing key.
     """
     on = list(on)
-    hot = hot_hashes(fact, on, hot_rows, sampled)
     if not hot:
-        joined = fact.join(dim, on, how)
-        return joined.select(*_columns(fact, dim, on, how))
-    buckets = F.lit(1)
-    for size in sorted(set(hot.values())):
-        buckets = F.when(_key_hash(on).isin([h for h, b in hot.items() if b == size]), size).otherwise(buckets)
-    salt = F.when(buckets > 1, row_spread(fact, buckets)).otherwise(F.lit(0))
+        return fact.join(dim, on, how).select(*_columns(fact, dim, on, how))
+
+    def buckets(df: DataFrame) -> Column:
+        count = F.lit(1)
+        for key, n in hot.items():
+            same = F.lit(True)
+            for name, value in zip(on, key, strict=True):
+                same = same & (F.col(name).isNull() if value is None else F.coalesce(F.col(name) == F.lit(value), F.lit(False)))
+            count = F.when(same, n).otherwise(count)
+        return count
+
+    salt = F.when(buckets(fact) > 1, row_spread(fact, buckets(fact))).otherwise(F.lit(0))
     salted_fact = fact.withColumn("_salt", salt)
-    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets - 1)))
+    salted_dim = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), buckets(dim) - 1)))
     joined = salted_fact.join(salted_dim, [*on, "_salt"], how)
     return joined.select(*_columns(fact, dim, on, how))
 
 
+def bucket_counts(hot: DataFrame, on: Sequence[str], per_bucket: int) -> dict[tuple, int]:
+    """The keys of `hot_keys` with a number of buckets of about `per_bucket` rows each."""
+    return {tuple(r[c] for c in on): max(2, math.ceil(r["rows"] / per_bucket)) for r in hot.collect()}
+
+
 def _columns(fact: DataFrame, dim: DataFrame, on: list[str], how: str) -> list[str]:
     if how in ("left_semi", "left_anti"):
         return fact.columns

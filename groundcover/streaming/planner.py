@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from groundcover.operators.planner import valid_events
+from groundcover.plans.topk import top_k
 
 
 def append_events(stream: DataFrame, log_path: str, checkpoint: str):
@@ -29,9 +31,13 @@ def append_events(stream: DataFrame, log_path: str, checkpoint: str):
 
 
 def read_events(spark: SparkSession, log_path: str) -> DataFrame:
-    """Stored events, each once even if the source delivered it twice."""
+    """Stored events, each once even if the source delivered it twice.
+
+    If deliveries of one event differ, the first in the order of all columns stays.
+    """
     log = spark.read.option("basePath", log_path).parquet(f"{log_path}/batch=*").drop("batch")
-    return log.dropDuplicates(["scenario_id", "event_id"])
+    order = [F.col(c).asc_nulls_last() for c in log.columns]
+    return top_k(log, ["scenario_id", "event_id"], order)
 
 
 __all__ = ["append_events", "read_events"]

@@ -32,16 +32,17 @@ def test_spans_scan_the_facts_once(spark, tmp_path):
 
 def test_truncation_counts_characters(spark):
     df = spark.createDataFrame([("ü" * 2500,)], "t string")
-    assert df.select(F.length(spans.truncate_span(F.col("t")))).first()[0] == 2000
-    assert df.select(F.length(spans.truncate_span(F.col("t"), None))).first()[0] == 2500
+    assert df.select(F.length(spans.truncate_span(F.col("t"), 2000))).first()[0] == 2000
+    assert df.select(F.length(spans.truncate_span(F.col("t")))).first()[0] == 2500
 
 
-def test_granularity_follows_budget(spark):
+def test_granularity_is_named(spark):
     df = spark.createDataFrame([("f", list("abcdefghi"))], "unique_id string, capability array<string>")
     options = {"list_fields": ["capability"], "text_field": None}
-    assert spans.choose_spans(df, 3, **options)[0] == "chunked"
-    name, chosen = spans.choose_spans(df, 2, **options)
-    assert name == "simple" and chosen.count() == 1
+    assert spans.spans_by(df, "chunked", **options).count() == 3
+    assert spans.spans_by(df, "simple", **options).count() == 1
+    with pytest.raises(ValueError, match="granularity"):
+        spans.spans_by(df, "finest", **options)
 
 
 def test_embedding_failures_keep_null_vectors(spark):
@@ -69,6 +70,14 @@ def test_vector_topk_ties_and_nulls(spark, k):
         assert [s for _, s in mine] == [s for _, s in best]
 
 
+def test_equal_vectors_leave_a_task_as_k_rows(spark):
+    df = spark.range(20_000).selectExpr("id AS span_id", "array(1.0F, 2.0F) AS embedding").repartition(4)
+    found = retrieve.vector_topk(df, {"q": [1.0, 0.0]}, 10, "dot")
+    assert sorted(r["span_id"] for r in found.collect()) == list(range(10))
+    whole = retrieve.vector_topk(df, {"q": [1.0, 0.0]}, None, "dot")
+    assert whole.count() == 20_000 and "rank" not in whole.columns
+
+
 @pytest.mark.parametrize("metric", retrieve.METRICS)
 def test_search_of_embedded_text(spark, metric):
     texts = [f"ward {i % 7} icu {'ventilator ' * (i % 4)}bed {i}" for i in range(200)]

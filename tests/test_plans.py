@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundcover.plans.prefix import exact_quantiles, ordered_counts, prefix_sums
-from groundcover.plans.skew import hot_hashes, skew_safe_join
+from groundcover.plans.skew import bucket_counts, hot_keys, skew_safe_join
 from groundcover.plans.topk import top_k
 
 
@@ -20,17 +20,38 @@ def facts(spark):
     return spark.createDataFrame(data, "k string, v int").repartition(6)
 
 
-@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("hot_rows", [100, 10**9])
-def test_skew_safe_join_equals_plain_join(spark, facts, rows, how, hot_rows):
+KINDS = ["left", "inner", "left_semi", "left_anti"]
+
+
+@pytest.mark.parametrize("how", KINDS)
+@pytest.mark.parametrize("hot", [None, {("hot",): 4, (None,): 3}])
+def test_skew_safe_join_equals_plain_join(spark, facts, rows, how, hot):
     dim = spark.createDataFrame([("hot", "H")] + [(f"k{i}", f"d{i}") for i in range(150)], "k string, d string")
-    assert rows(skew_safe_join(facts, dim, ["k"], how, hot_rows=hot_rows, sampled=1)) == rows(facts.join(dim, "k", how))
+    assert rows(skew_safe_join(facts, dim, ["k"], how, hot)) == rows(facts.join(dim, "k", how))
+
+
+@pytest.mark.parametrize("how", KINDS)
+@pytest.mark.parametrize(
+    "left, right", [("bigint", "int"), ("decimal(10,2)", "decimal(12,4)"), ("date", "timestamp"), ("string collate utf8_lcase", "string collate utf8_lcase"), ("int", "string")]
+)
+def test_hot_keys_of_other_types_lose_nothing(spark, rows, how, left, right):
+    value = "date_add(DATE'2024-01-01', CAST(id % 7 AS INT))" if left == "date" else "id % 7"
+    key = f"CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN {value.replace('id % 7', '5')} ELSE {value} END"
+    fact = spark.range(3000).selectExpr(f"CAST({key} AS {left}) AS k", "id AS v")
+    dim = spark.range(6).selectExpr(f"CAST({value} AS {right}) AS k", "id AS d")
+    found = bucket_counts(hot_keys(fact, ["k"], hot_rows=100), ["k"], 300)
+    assert len(found) >= 2 and (None,) in found
+    assert rows(skew_safe_join(fact, dim, ["k"], how, found), "v") == rows(fact.join(dim, "k", how), "v")
 
 
-def test_hot_keys_are_found_and_spread(spark, facts):
-    assert len(hot_hashes(facts, ["k"], hot_rows=500, sampled=1)) == 2  # the hot key and the missing one
+def test_building_a_join_starts_no_job(spark, facts):
     dim = spark.createDataFrame([("hot", "H")], "k string, d string")
-    plan = skew_safe_join(facts, dim, ["k"], hot_rows=500, sampled=1)._jdf.queryExecution().toString()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    skew_safe_join(facts, dim, ["k"])
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = skew_safe_join(facts, dim, ["k"], hot={("hot",): 4})._jdf.queryExecution().toString()
     assert "_salt" in plan
 
 
