@@ -129,24 +129,54 @@ def fuzzy_levenshtein(spark, folder):
     return _fuzzy(spark, folder, "levenshtein")
 
 
-@query("fuzzy_ratio")
+# The default similarity: twice the letters in matching blocks over all letters. The longest common
+# block comes first (of equal ones the first in the candidate, then in the name), then the stretches before and after it.
+RATIO_SQL = """
+options AS (SELECT f.block, f.name, r.candidate FROM firsts AS f JOIN right_names AS r ON f.block = r.block
+  WHERE f.target IS NULL AND f.same IS NULL AND 2.0 * list_sum(list_transform(list_distinct(string_split(f.name, '')),
+    lambda c: least(length(f.name) - length(replace(f.name, c, '')), length(r.candidate) - length(replace(r.candidate, c, '')))))
+    / (length(f.name) + length(r.candidate)) >= 0.72),
+blocks AS (
+  SELECT block, name, candidate, candidate AS a, name AS b, CAST(0 AS BIGINT) AS m FROM options
+  UNION ALL
+  SELECT block, name, candidate, piece.a, piece.b, piece.m FROM (
+    SELECT block, name, candidate, unnest([
+      {'a': substr(a, 1, i - 1), 'b': substr(b, 1, j - 1), 'm': n},
+      {'a': substr(a, i + n), 'b': substr(b, j + n), 'm': 0}]) AS piece
+    FROM (SELECT *, instr(b, substr(a, i, n)) AS j FROM (SELECT *, list_position(l, n) AS i FROM (
+      SELECT *, list_max(l) AS n FROM (SELECT block, name, candidate, a, b, list_transform(range(1, length(a) + 1), lambda x:
+        list_max(list_transform(range(1, length(a) - x + 2), lambda y: CASE WHEN contains(b, substr(a, x, y)) THEN y ELSE 0 END))) AS l
+      FROM blocks WHERE a <> '' AND b <> '') AS p) AS q) AS r WHERE n > 0) AS s) AS t),
+scores AS (SELECT block, name, candidate, 2.0::DOUBLE * sum(m) / (length(name) + length(candidate)) AS score
+  FROM blocks GROUP BY block, name, candidate),
+best AS (SELECT block, name, candidate FROM (SELECT *, row_number() OVER (PARTITION BY block, name ORDER BY score DESC, candidate DESC) AS n
+  FROM scores) AS s WHERE n = 1 AND score >= 0.72::DOUBLE),
+"""
+
+
+def _by_ratio(sql: str, **inputs_: str) -> str:
+    """FUZZY_SQL with the default similarity in place of the edit distance."""
+    start, stop = FUZZY_SQL.index("best AS ("), FUZZY_SQL.index("allowed AS (")
+    body = "WITH " + FUZZY_SQL[:start] + RATIO_SQL.strip() + "\n" + FUZZY_SQL[stop:] + sql
+    return "WITH RECURSIVE" + with_inputs(body, **{**FUZZY_INPUTS, **inputs_})[4:]
+
+
+@query("fuzzy_ratio", _by_ratio(" SELECT * FROM matched"))
 def fuzzy_ratio(spark, folder):
     return _fuzzy(spark, folder, "ratio")
 
 
 @query(
     "polygon_names",
-    with_inputs(
-        "WITH " + FUZZY_SQL + """
+    _by_ratio(
+        """
 SELECT block, name, matched, 'poly_' || match_type AS match_type FROM matched WHERE match_type <> 'unmatched'""",
-        **{**FUZZY_INPUTS, "aliases": ALIASES + " AND 1 = 0"},
+        aliases=ALIASES + " AND 1 = 0",
     ),
 )
 def polygon_names(spark, folder):
     tables = {k: derive(spark, folder, v) for k, v in FUZZY_INPUTS.items()}
-    return match.polygon_names(
-        tables["left_names"], tables["right_names"], tables["blocked"], method="levenshtein"
-    )
+    return match.polygon_names(tables["left_names"], tables["right_names"], tables["blocked"])
 
 
 # Cascade inputs: postal codes name districts, some spelled differently from the reference.
