@@ -1,5 +1,7 @@
 """Helpers shared by the operators of this subpackage."""
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,3 +33,14 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def slices(text: str, size: int = 500_000) -> Iterator[str]:
+    """A text in pieces of about `size` characters, cut before a blank or line end where there is one nearby."""
+    start = 0
+    while len(text) - start > size:
+        found = [p for mark in (" ", "\n") if (p := text.find(mark, start + size, start + 2 * size)) >= 0]
+        stop = min(found, default=start + size)
+        yield text[start:stop]
+        start = stop
+    yield text[start:]
