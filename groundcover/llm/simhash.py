@@ -14,6 +14,11 @@ point where not all members are within 4 bits is resolved by its true variants.
 about BUCKET_ENTRIES variants whatever the input, and one point holds at most 2081 fingerprints, so no
 task depends on the size of a group of copies.
 
+4 of 64 bits is a similarity near 0.95. For a lower one (`similarity`), wide prints of TABLES parts are
+hashed part by part in the same way: every part emits its variants within 1 of PART_BITS bits, prints that
+meet are compared in all bits, and those near enough are linked (of texts at 0.8 about 85 %
+meet, at 0.85 and above practically all).
+
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles are `width`
 consecutive words (repeats included) joined by a blank; fewer words give one shingle; no words
 (NULL and empty texts) give fingerprint 0, linked like any other. Repeated rows and equal
@@ -41,25 +46,52 @@ SEED = 42
 NEAR = 4  # bits
 BLOCK = 4096  # fingerprints per task, about 70 MB of variants at a time
 PLACE_BITS = 13
+HASHED = 4096  # shingles at a time
 HASH_SLACK = 6
 BUCKET_ENTRIES = 4_000_000
 
 
-def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
+def shingle_hashes(text: str, width: int, seed: int) -> tuple[int, Iterator[np.ndarray]]:
+    """How many shingles a text has, and their hashes some thousand at a time (very long texts included)."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return 0, iter(())
     joined = b" ".join(words)
     blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    starts = [0, *(blanks + 1).tolist()]
-    ends = [*blanks.tolist(), len(joined)][min(width, len(words)) - 1 :]
+    size = min(width, len(words))
+    starts = np.r_[0, blanks + 1][: len(words) - size + 1]
+    ends = np.r_[blanks, len(joined)][size - 1 :]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts, ends)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for part in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        bits = np.unpackbits(hashes[part : part + (1 << 16)].astype(">u8").view(np.uint8))
-        ones += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+    def parts() -> Iterator[np.ndarray]:
+        for i in range(0, len(starts), HASHED):
+            places = zip(starts[i : i + HASHED].tolist(), ends[i : i + HASHED].tolist())
+            yield np.array([digest(joined[s:e], seed) for s, e in places], np.uint64)
+
+    return len(starts), parts()
+
+
+def _majority(count: int, parts: Iterator[np.ndarray]) -> bytes:
+    """Bits set in over half of the rows of 64-bit numbers, most significant first."""
+    ones: np.ndarray | int = np.int64(0)
+    for part in parts:
+        rows = part.reshape(len(part), -1).astype(">u8").view(np.uint8)
+        ones = ones + np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.uint16)
+    return np.packbits(ones * 2 > count).tobytes()
+
+
+def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
+    count, parts = shingle_hashes(text, width, seed)
+    return int.from_bytes(_majority(count, parts), "big") if count else 0
+
+
+def wide_print(text: str, width: int, seed: int = SEED) -> np.ndarray:
+    """WIDE_WORDS numbers of 64 bits each: the same vote over as many hashes of each shingle."""
+    count, parts = shingle_hashes(text, width, seed)
+    if not count:
+        return np.zeros(WIDE_WORDS, np.uint64)
+    votes = _majority(count, (_scrambled(part[:, None] + _STREAMS) for part in parts))
+    return np.frombuffer(votes, ">u8").astype(np.uint64)
 
 
 def fingerprint_column(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
@@ -74,6 +106,9 @@ def fingerprint_column(text: Column, width: int = WIDTH, seed: int = SEED) -> Co
     return marked(F.coalesce(text, F.lit("")))
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio in 64 bits
+
+
 def _masks() -> np.ndarray:
     bits = [1 << i for i in range(64)]
     return np.array([0, *bits, *(a | b for a, b in combinations(bits, 2))], np.uint64)
@@ -81,7 +116,29 @@ def _masks() -> np.ndarray:
 
 MASKS = _masks()
 VARIANTS = len(MASKS)
-_ODD = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio in 64 bits
+
+
+# A wide print has TABLES parts of PART_BITS bits. Texts of similarity 0.8 differ in about 15 % of the bits, so
+# somewhere two parts agree within 2 bits; all bits together then tell how similar the texts are.
+TABLES, PART_BITS = 48, 40
+WIDE_WORDS = TABLES * PART_BITS // 64
+PART_MASKS = np.array([0, *(1 << i for i in range(PART_BITS))], np.uint64)
+_STREAMS = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * _ODD
+
+
+def _scrambled(numbers: np.ndarray) -> np.ndarray:
+    """A well-mixed one-to-one image of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        numbers = (numbers ^ (numbers >> np.uint64(32))) * _ODD
+        numbers = (numbers ^ (numbers >> np.uint64(29))) * _ODD
+        return numbers ^ (numbers >> np.uint64(32))
+
+
+def parts_of(wide: np.ndarray) -> np.ndarray:
+    """(n, TABLES): the parts of wide prints (n, WIDE_WORDS), each with the number of its table above its bits."""
+    bits = np.unpackbits(wide.astype(">u8").view(np.uint8), axis=1).reshape(len(wide), TABLES, PART_BITS)
+    values = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(PART_BITS, dtype=np.uint64))
+    return values | np.arange(TABLES, dtype=np.uint64) << np.uint64(PART_BITS)
 
 
 def _mixed(points: np.ndarray, hash_bits: int) -> np.ndarray:
@@ -116,12 +173,13 @@ def _unpack(first: int, width: int, low: bytes, top: bytes) -> np.ndarray:
 PACKED = "bucket int, first long, width int, low binary, top binary, prints binary"
 
 
-def _variants(prints: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Packed rows of one block's variants, a few buckets at a time."""
-    entries = np.empty((VARIANTS, len(prints)), np.uint64)
+def _variants(prints: np.ndarray, points: np.ndarray, masks: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Packed rows of the variants of one block's `points` (n, tables), a few buckets at a time."""
+    entries = np.empty((points.shape[1], len(masks), len(prints)), np.uint64)
     place = np.arange(len(prints), dtype=np.uint64)
-    for i, mask in enumerate(MASKS):
-        entries[i] = _mixed(prints ^ mask, hash_bits) << np.uint64(PLACE_BITS) | place
+    for table, column in enumerate(points.T):
+        for i, mask in enumerate(masks):
+            entries[table, i] = _mixed(column ^ mask, hash_bits) << np.uint64(PLACE_BITS) | place
     entries = entries.ravel()
     entries.sort()
     edges = [((b << hash_bits) // buckets) << PLACE_BITS for b in range(1, buckets)]
@@ -144,19 +202,26 @@ def _variants(prints: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.D
         yield pd.DataFrame(rows, columns=["bucket", "first", "width", "low", "top", "prints"])
 
 
-def _packer(hash_bits: int, buckets: int):
+def _packer(hash_bits: int, buckets: int, wide: bool = False):
+    masks = PART_MASKS if wide else MASKS
+
+    def points(prints: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
+        return parts_of(np.stack(batch["words"]).view(np.uint64)) if wide else prints[:, None]
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            held.append(batch["fp"].to_numpy(np.int64).view(np.uint64))
+            prints = batch["fp"].to_numpy(np.int64).view(np.uint64)
+            held.append(np.concatenate([prints[:, None], points(prints, batch)], axis=1))
             size += len(batch)
             while size >= 2 * BLOCK:
-                prints = np.concatenate(held)
-                held, size = [prints[BLOCK:]], size - BLOCK
-                yield from _variants(prints[:BLOCK], hash_bits, buckets)
+                rows = np.concatenate(held)
+                held, size = [rows[BLOCK:]], size - BLOCK
+                yield from _variants(rows[:BLOCK, 0].copy(), rows[:BLOCK, 1:], masks, hash_bits, buckets)
         if size:
-            yield from _variants(np.concatenate(held), hash_bits, buckets)
+            rows = np.concatenate(held)
+            yield from _variants(rows[:, 0].copy(), rows[:, 1:], masks, hash_bits, buckets)
 
     return pack
 
@@ -187,7 +252,18 @@ def _stars(hashes: np.ndarray, prints: np.ndarray, hash_bits: int) -> tuple[np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def _linker(hash_bits: int):
+def _pairs(hashes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of prints that meet in one hash, each with the smallest and with the one before it."""
+    ordered = np.lexsort((prints, hashes))
+    hashes, prints = hashes[ordered], prints[ordered]
+    begins = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    centres = np.repeat(prints[begins], np.diff(np.r_[begins, len(hashes)]))
+    same = hashes[1:] == hashes[:-1]
+    left, right = np.r_[centres, prints[:-1][same]], np.r_[prints, prints[1:][same]]
+    return left[left != right], right[left != right]
+
+
+def _linker(hash_bits: int, wide: bool = False):
     def link(group: pd.DataFrame) -> pd.DataFrame:
         hashes, prints = [], []
         for first, width, low, top, used in zip(*(group[c] for c in ("first", "width", "low", "top", "prints"))):
@@ -201,76 +277,128 @@ def _linker(hash_bits: int):
         if not len(met):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         meets = met[np.minimum(np.searchsorted(met, hashes), len(met) - 1)] == hashes
-        left, right = _stars(hashes[meets], prints[meets], hash_bits)
+        met_hashes, met_prints = hashes[meets], prints[meets]
+        left, right = _pairs(met_hashes, met_prints) if wide else _stars(met_hashes, met_prints, hash_bits)
         links = pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)})
         return links.drop_duplicates()
 
     return link
 
 
+def _meetings(prints: DataFrame, n: int, wide: bool) -> DataFrame:
+    """(a, b) of fingerprints that meet in a variant; `n` of them in all."""
+    variants = TABLES * len(PART_MASKS) if wide else VARIANTS
+    hash_bits = min(50, max(16, (n * variants).bit_length() + HASH_SLACK))
+    buckets = max(1, math.ceil(n * variants / BUCKET_ENTRIES))
+    blocks = prints.repartition(max(1, math.ceil(n / BLOCK)), "fp")
+    packed = blocks.mapInPandas(_packer(hash_bits, buckets, wide), PACKED)
+    return packed.groupBy("bucket").applyInPandas(_linker(hash_bits, wide), "a long, b long")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (column `fp`) within NEAR bits.
 
     Each fingerprint within NEAR bits of another is connected to it, directly or through
     others that are truly linked.
     """
-    n = prints.count()
-    hash_bits = min(50, max(16, (n * VARIANTS).bit_length() + HASH_SLACK))
-    buckets = max(1, math.ceil(n * VARIANTS / BUCKET_ENTRIES))
-    blocks = prints.repartition(max(1, math.ceil(n / BLOCK)), "fp")
-    packed = blocks.mapInPandas(_packer(hash_bits, buckets), PACKED)
-    return packed.groupBy("bucket").applyInPandas(_linker(hash_bits), "a long, b long")
+    return _meetings(prints.select("fp"), prints.count(), False)
+
+
+def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): wide prints (`fp`, `words`) that meet in a part and differ in as few bits as `similarity` allows.
+
+    Shingle sets of Jaccard similarity s have a cosine of 2s / (1 + s), and a bit differs with the
+    probability angle / pi; one standard deviation of that count is allowed for.
+    """
+    total = TABLES * PART_BITS
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.floor(total * share + math.sqrt(total * share * (1 - share)))
+    met = _meetings(prints.select("fp", "words"), prints.count(), True).distinct()
+    pairs = met.join(prints.select(F.col("fp").alias("a"), F.col("words").alias("left")), "a").join(
+        prints.select(F.col("fp").alias("b"), F.col("words").alias("right")), "b"
+    )
+    differing = F.aggregate(
+        F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    return pairs.where(differing <= most).select("a", "b")
+
+
+def wide_column(text: Column, width: int, seed: int = SEED) -> Column:
+    @pandas_udf("array<long>")
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([wide_print(t, width, seed).view(np.int64) for t in texts])
 
+    return marked(F.coalesce(text, F.lit("")))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").isNull(), F.coalesce("text", F.lit("")))
 
-def _labels(docs: DataFrame, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and one row per distinct fingerprint: fp, root, component_id
-    and `chosen`, which is true for one fingerprint of each group that holds the component_id."""
+
+def _labels(docs: DataFrame, width: int, seed: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and one row per distinct fingerprint: fp, root, component_id,
+    `chosen` (true for one fingerprint of each group that holds the component_id) and `text_hash`
+    of one of its texts with the smallest id."""
     bounded_batches(docs.sparkSession)
-    marked = materialize(docs.select("doc_id", fingerprint_column(F.col("text"), width, seed).alias("fp")), "prints")
-    prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    roots = components(links(prints.select("fp"))).withColumnRenamed("node", "fp")
-    member = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
+    if similarity is None:
+        rows = rows.select("doc_id", "text_hash", fingerprint_column(F.col("text"), width, seed).alias("fp"))
+        marked, more = materialize(rows, "prints"), []
+    else:
+        rows = rows.select("doc_id", "text_hash", wide_column(F.col("text"), width, seed).alias("words"))
+        marked, more = materialize(rows.withColumn("fp", F.xxhash64("words")), "prints"), [F.first("words").alias("words")]
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
+    prints = marked.groupBy("fp").agg(F.min(order).alias("first"), *more)
+    prints = materialize(prints, "distinct-prints")
+    found = links(prints) if similarity is None else similar_links(prints, similarity)
+    roots = components(found).withColumnRenamed("node", "fp")
+    member = prints.drop("words").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = materialize(member, "members")
-    order = F.struct(F.col("first_id").isNull(), "first_id", "fp")
-    named = member.groupBy("root").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("n"))
-    several = named.where("n > 1").select("root", F.col("least.first_id").alias("least_id"), F.col("least.fp").alias("least_fp"))
+    named = member.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("least"), F.count(F.lit(1)).alias("n"))
+    several = named.where("n > 1").select("root", "least")
     labels = member.join(several, "root", "left").select(
         "fp",
         "root",
-        F.when(F.col("least_fp").isNull(), F.col("first_id")).otherwise(F.col("least_id")).alias("component_id"),
-        (F.coalesce("least_fp", "fp") == F.col("fp")).alias("chosen"),
+        F.coalesce("least.first", "first")["doc_id"].alias("component_id"),
+        (F.coalesce("least.fp", "fp") == F.col("fp")).alias("chosen"),
+        F.col("first.text_hash").alias("text_hash"),
     )
     return marked, labels
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, root, component_id) of every row; `root` names the group where ids are all NULL."""
-    marked, labels = _labels(docs, width, seed)
-    return marked.join(labels, "fp").select("doc_id", "fp", "root", "component_id")
+def near_duplicates(docs: DataFrame, width: int = WIDTH, seed: int = SEED, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; `root` names the group where ids are all NULL.
+
+    Without `similarity`, 64-bit fingerprints are linked at NEAR bits. With it, texts are linked at about that
+    Jaccard similarity of their shingles, through the parts of wide prints; `fp` then is a hash of the wide print.
+    """
+    marked, labels = _labels(docs, width, seed, similarity)
+    return marked.select("doc_id", "fp").join(labels, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, seed: int = SEED, similarity: float | None = None) -> DataFrame:
     """One row of each group of near duplicates, with the columns as they came.
 
-    The row with the group's smallest doc_id stays. If several texts of the group have that id, the
-    text of the smallest fingerprint stays; of several rows with that id and fingerprint, any one.
-    Rows meet the choice by fingerprint and id together, so a group's size makes no key hot.
+    The row with the group's smallest doc_id stays. If several texts of the group have that id, one of them
+    stays (that of the smallest hash); of equal rows, any one. Rows meet the choice by id and text hash together, so
+    a group's size makes no key hot and no text is marked twice.
     """
-    _, labels = _labels(docs, width, seed)
-    fp, key, missing = (free_name(docs, n) for n in ("fp", "key", "missing"))
+    _, labels = _labels(docs, width, seed, similarity)
+    key, missing, hashed = (free_name(docs, n) for n in ("key", "missing", "text_hash"))
     choice = labels.where("chosen").select(
-        F.col("fp").alias(fp),
         F.coalesce(F.col("component_id").cast("long"), F.lit(0)).alias(key),
         F.col("component_id").isNull().alias(missing),
+        F.col("text_hash").alias(hashed),
     )
     keyed = docs.withColumns({
-        fp: fingerprint_column(F.col("text"), width, seed),
         key: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
         missing: F.col("doc_id").isNull(),
+        hashed: _text_hash(),
     })
-    kept = keyed.join(choice, [fp, key, missing], "left_semi")
-    return kept.dropDuplicates([fp, key, missing]).select(*[f"`{c}`" for c in docs.columns])
+    kept = keyed.join(choice, [key, missing, hashed], "left_semi")
+    return kept.dropDuplicates([key, missing, hashed]).select(*[f"`{c}`" for c in docs.columns])

@@ -105,3 +105,28 @@ def test_one_of_each(make_docs, odd_docs, no_docs):
     # NULL, empty and blank texts are one group, the repeated rows another.
     assert s.one_of_each(odd_docs).count() == odd_docs.count() - 4
     assert s.one_of_each(no_docs).count() == 0 and s.near_duplicates(no_docs).count() == 0
+
+
+def test_similar_texts_meet_in_parts(make_docs):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, groups = [], {}
+    for group in range(40):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        for copy in range(1 + group % 4):
+            changed = list(words)
+            for _ in range(copy + copy // 2):  # 4 of 300 words: similarity 0.87
+                changed[rng.randrange(300)] = rng.choice(vocabulary)
+            groups[len(rows)] = group
+            rows.append((len(rows), " ".join(changed)))
+    rows += [(1000, None), (1001, ""), (None, "short text")]
+    found = s.near_duplicates(make_docs(rows), width=5, similarity=0.8).collect()
+    assert len(found) == len(rows)
+    by_id = {r["doc_id"]: r["component_id"] for r in found}
+    first = {g: min(i for i in groups if groups[i] == g) for g in set(groups.values())}
+    linked = sum(by_id[i] == first[g] for i, g in groups.items())
+    assert linked >= 0.97 * len(groups)
+    assert all(groups[by_id[i]] == g for i, g in groups.items())  # no link between different groups
+    assert by_id[1000] == by_id[1001] == 1000
+    kept = s.one_of_each(make_docs(rows), width=5, similarity=0.8)
+    assert kept.count() == len(set(by_id.values()))
