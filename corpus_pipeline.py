@@ -22,8 +22,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; five-word shingles."""
-    return simhash.one_of_each(docs, width=5)
+    """One document of each group, the one with the smallest id: five-word shingles, similarity of 0.8 or more."""
+    return simhash.one_of_each(docs, width=5, similarity=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
