@@ -400,7 +400,7 @@ def describe_by(spark, folder):
 )
 def top_per_status(spark, folder):
     order = [F.col("score").desc(), F.col("unique_id"), F.col("capability")]
-    picked = serve.top_per_status(_evidence(spark, folder), "evidence_status", order)
+    picked = serve.top_per_status(_evidence(spark, folder), "evidence_status", order, 5)
     return picked.select("evidence_status", "unique_id", "capability", "trust_score_pct", "rank")
 
 

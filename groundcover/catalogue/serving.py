@@ -244,7 +244,7 @@ def coverage_kpis(spark, folder):
 FROM region_coverage GROUP BY state ORDER BY pct DESC, state LIMIT 5"""),
 )
 def state_leaderboard(spark, folder):
-    return coverage.state_leaderboard(_coverage(spark, folder))
+    return coverage.state_leaderboard(_coverage(spark, folder), 5)
 
 
 @query(
@@ -382,7 +382,7 @@ def region_facilities(spark, folder):
 WHERE latitude IS NOT NULL AND longitude IS NOT NULL ORDER BY trust_score_pct DESC, unique_id LIMIT 72"""),
 )
 def preview_markers(spark, folder):
-    return serve.preview_markers(_merged(spark, folder), "ICU").select(
+    return serve.preview_markers(_merged(spark, folder), "ICU", config.PREVIEW_MARKERS).select(
         "unique_id", "trust_score_pct", "latitude", "longitude"
     )
 
@@ -436,7 +436,7 @@ ORDER BY f.name, f.unique_id, capability, evidence_status, trust_score, trust_sc
     ),
 )
 def facility_listing(spark, folder):
-    records = serve.list_facilities(_facilities(spark, folder), _evidence(spark, folder), " icu", state="ASIA ")
+    records = serve.list_facilities(_facilities(spark, folder), _evidence(spark, folder), " icu", state="ASIA ", limit=config.LISTING_LIMIT)
     claim = F.col("capability_evidence")[0]
     return records.select(
         *_flat(records).columns[:2], "location.state", "location.district", "location.pin", "location.lat",
@@ -755,6 +755,23 @@ SELECT scenario_id, section, row_number() OVER (PARTITION BY scenario_id, sectio
 )
 
 
+@query(
+    "rejected_events",
+    with_inputs(
+        """
+SELECT scenario_id, event_id, CASE WHEN kind NOT IN ('create', 'note', 'shortlist') THEN 'unknown kind'
+    WHEN kind = 'create' AND length(name) NOT BETWEEN 1 AND 120 THEN 'name length'
+    WHEN kind = 'note' AND length(note) NOT BETWEEN 1 AND 4000 THEN 'note length' ELSE 'no facility' END AS problem
+FROM ev WHERE NOT ((kind = 'create' AND length(name) BETWEEN 1 AND 120) OR (kind = 'note' AND length(note) BETWEEN 1 AND 4000
+    AND length(facility_id) > 0) OR (kind = 'shortlist' AND length(facility_id) > 0))""",
+        ev=inputs.PLANNER_EVENTS,
+    ),
+)
+def rejected_events(spark, folder):
+    out = planner.rejected_events(derive(spark, folder, inputs.PLANNER_EVENTS))
+    return out.select("scenario_id", "event_id", "problem")
+
+
 @query("fold_scenarios", ITEMS_SQL)
 def fold_scenarios(spark, folder):
     out = planner.scenario_items(derive(spark, folder, inputs.PLANNER_EVENTS))
@@ -796,13 +813,18 @@ def shortlist_lookup(spark, folder):
 
 @query("publish_audited", coverage_sql(" SELECT * FROM region_coverage"))
 def publish_audited(spark, folder):
+    regions = coverage.resolved_facilities(_facilities(spark, folder)).select("region_name", "state").distinct().count()
     return sinks.publish_audited(
-        _coverage(spark, folder),
-        scratch_path(spark, "published"),
-        [gates.not_skewed, lambda df: gates.domain(df, {"coverage_status": config.COVERAGE_STATUSES})],
+        _coverage(spark, folder), scratch_path(spark, "published"), sinks.coverage_gates(regions)
     )
 
 
+@query("publish_evidence", with_inputs("SELECT unique_id, capability, evidence_status, trust_score_pct FROM evidence", **BOTH))
+def publish_evidence(spark, folder):
+    rows = _evidence(spark, folder).select("unique_id", "capability", "evidence_status", "trust_score_pct")
+    return sinks.publish_evidence(rows, scratch_path(spark, "evidence"))
+
+
 @query(
     "publish_self_read",
     "SELECT c_custkey, c_name, lower(c_mktsegment) AS segment, c_acctbal * 2 AS doubled FROM customer",
@@ -813,4 +835,4 @@ def publish_self_read(spark, folder):
     changed = first.select(
         "c_custkey", "c_name", norm_name("c_mktsegment").alias("segment"), (F.col("c_acctbal") * 2).alias("doubled")
     )
-    return sinks.publish(changed, path, self_read=True)
+    return sinks.publish(changed, path)

@@ -154,7 +154,7 @@ def coverage_kpis(coverage: DataFrame) -> DataFrame:
     )
 
 
-def state_leaderboard(coverage: DataFrame, k: int = 5) -> DataFrame:
+def state_leaderboard(coverage: DataFrame, k: int) -> DataFrame:
     """Best states by share of verified rows; facilities count once per capability."""
     return (
         coverage.groupBy("state")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundcover.plans.prefix import prefix_sums
@@ -13,16 +13,34 @@ from groundcover.plans.topk import top_k
 # facility_id, note. (ts, event_id) orders the events.
 
 
-def valid_events(events: DataFrame) -> DataFrame:
-    """Events with a name of 1..120 or a note of 1..4000 characters and a facility."""
-    facility = F.length("facility_id") >= 1
-    return events.where(
-        ((F.col("kind") == "create") & F.length("name").between(1, 120))
-        | ((F.col("kind") == "note") & F.length("note").between(1, 4000) & facility)
-        | ((F.col("kind") == "shortlist") & facility)
+def _problem() -> Column:
+    """Why an event can't be applied; NULL if it can."""
+    def within(name: str, most: int) -> Column:
+        return F.coalesce(F.length(name).between(1, most), F.lit(False))
+
+    facility = F.coalesce(F.length("facility_id") >= 1, F.lit(False))
+    kind = F.col("kind")
+    return (
+        F.when(~F.coalesce(kind.isin("create", "note", "shortlist"), F.lit(False)), "unknown kind")
+        .when((kind == "create") & ~within("name", 120), "name length")
+        .when((kind == "note") & ~within("note", 4000), "note length")
+        .when((kind != "create") & ~facility, "no facility")
     )
 
 
+def valid_events(events: DataFrame) -> DataFrame:
+    """Events with a name of 1..120 or a note of 1..4000 characters and a facility.
+
+    All others are in `rejected_events`.
+    """
+    return events.where(_problem().isNull())
+
+
+def rejected_events(events: DataFrame) -> DataFrame:
+    """Events that are not applied, with `problem`: unknown kind, name length, note length or no facility."""
+    return events.withColumn("problem", _problem()).where(F.col("problem").isNotNull())
+
+
 def _applied(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Scenarios, and the note and shortlist events that came after their creation."""
     valid = valid_events(events)

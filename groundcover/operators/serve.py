@@ -73,7 +73,7 @@ def list_facilities(
     capability: str | None = None,
     district: str | None = None,
     state: str | None = None,
-    limit: int = config.LISTING_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Facility records by name. With a capability, one record per matching evidence row."""
     rows = filter_ci(facilities, nfhs_district_name=district, nfhs_state_ut=state)
@@ -84,7 +84,8 @@ def list_facilities(
         )
         rows = skew_safe_join(wanted, rows, ["unique_id"], "inner")
         claim = "_claim"
-    page = rows.orderBy(F.col("name"), F.col("unique_id"), *(["_claim"] if claim else [])).limit(limit)
+    page = rows.orderBy(F.col("name"), F.col("unique_id"), *(["_claim"] if claim else []))
+    page = page if limit is None else page.limit(limit)
     return facility_record(page, claim)
 
 
@@ -240,7 +241,7 @@ def region_facilities(
 
 
 def preview_markers(
-    merged: DataFrame, capability: str, k: int = config.PREVIEW_MARKERS, matched: Sequence[str] = ()
+    merged: DataFrame, capability: str, k: int, matched: Sequence[str] = ()
 ) -> DataFrame:
     """Facilities to draw: the matched ones, else the best `k` with finite coordinates."""
     rows = with_claim(merged, capability)
@@ -260,7 +261,7 @@ def shortlist_lookup(shortlists: DataFrame, facilities: DataFrame) -> DataFrame:
 
 
 def top_per_status(
-    df: DataFrame, status: str, order: Sequence[Column], n: int = 5, statuses: Sequence[str] = ("verified", "likely", "weak_signal")
+    df: DataFrame, status: str, order: Sequence[Column], n: int, statuses: Sequence[str] = ("verified", "likely", "weak_signal")
 ) -> DataFrame:
     """Best `n` rows of each status."""
     return top_k(df.where(F.col(status).isin(*statuses)), [status], order, n, rank="rank")

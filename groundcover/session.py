@@ -45,8 +45,31 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+_written: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/groundcover-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; `cleanup` removes it."""
+    path = f"{scratch_root(spark)}/groundcover-{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Deletes all scratch tables of this application; returns their number.
+
+    Results built on them can't be read afterwards, so write or collect those first.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

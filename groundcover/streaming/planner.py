@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.operators.planner import valid_events
+from groundcover.operators.planner import rejected_events, valid_events
 from groundcover.plans.topk import top_k
 
 
@@ -13,12 +13,13 @@ def append_events(stream: DataFrame, log_path: str, checkpoint: str):
     """Streams planner events into a log folder; returns the finished query.
 
     Each micro-batch overwrites its own folder, so a batch that is replayed after a
-    failure is stored once. Reading the log back and folding it gives the same result
+    failure is stored once; events that can't be applied go to its folder under `rejected`. Reading the log back and folding it gives the same result
     as folding all events at once, whatever order they arrived in.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         valid_events(batch).write.mode("overwrite").parquet(f"{log_path}/batch={batch_id}")
+        rejected_events(batch).write.mode("overwrite").parquet(f"{log_path}/rejected/batch={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(store)

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from groundcover import config
+from groundcover import config, session
 from groundcover.operators import clean, coverage, gates, lookup, planner, serve
 from groundcover.operators import corroborate as web
 from groundcover.sources import publish as sinks
@@ -113,8 +113,8 @@ def test_claims_and_merge(spark):
     assert [(r["unique_id"], r["status"]) for r in region] == [("f1", "weak_signal"), ("f2", "no_signal")]
     assert [r["unique_id"] for r in serve.region_facilities(merged, "north", "ICU", best_first=False).collect()] == ["f2", "f1"]
     assert serve.region_facilities(merged, "north", "ICU", status="no_signal").count() == 1
-    assert [r["unique_id"] for r in serve.preview_markers(merged, "ICU").collect()] == ["f1"]
-    assert [r["unique_id"] for r in serve.preview_markers(merged, "ICU", matched=["f2"]).collect()] == ["f2"]
+    assert [r["unique_id"] for r in serve.preview_markers(merged, "ICU", 72).collect()] == ["f1"]
+    assert [r["unique_id"] for r in serve.preview_markers(merged, "ICU", 72, matched=["f2"]).collect()] == ["f2"]
 
 
 def test_review_sample(spark):
@@ -179,8 +179,43 @@ def test_self_overwrite_keeps_rows(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.publish(spark.range(100), path)
     grown = spark.read.parquet(path).withColumn("extra", F.lit("x"))
-    assert sinks.publish(grown, path, self_read=True).count() == 100
+    assert sinks.publish(grown, path).count() == 100
     assert spark.read.parquet(path).columns == ["id", "extra"]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_failed_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.publish(spark.range(100), path)
+    broken = spark.range(10).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.publish(broken, path)
+    assert spark.read.parquet(path).count() == 100
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_coverage_gates_and_cleanup(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "_written", {})  # other tests' tables stay
+    rows = [(f"r{i}", c, s, 50) for i in range(4) for c, s in zip(config.CAPABILITY_QUERIES, [*config.COVERAGE_STATUSES, *config.COVERAGE_STATUSES])]
+    df = spark.createDataFrame(rows, "region_id string, capability_queried string, coverage_status string, avg_trust_score_pct int")
+    path = str(tmp_path / "c")
+    assert sinks.publish_audited(df, path, sinks.coverage_gates(4)).count() == len(rows)
+    for bad in (df.limit(5), df.withColumn("capability_queried", F.lit("ICU")), df.withColumn("coverage_status", F.lit("x")), df.withColumn("avg_trust_score_pct", F.lit(101))):
+        with pytest.raises(gates.GateError):
+            sinks.publish_audited(bad, path, sinks.coverage_gates(4))
+    assert spark.read.parquet(path).count() == len(rows)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["c"]
+    session.materialize(df, "kept")
+    assert session.cleanup(spark) >= 1 and session.cleanup(spark) == 0
+
+
+def test_rejected_events_are_kept(spark):
+    kind = "scenario_id string, event_id long, ts timestamp, kind string, name string, facility_id string, note string"
+    rows = [("s", 1, None, "create", "x" * 121, None, None), ("s", 2, None, "note", None, "f", ""), ("s", 3, None, "shortlist", None, None, None), ("s", 4, None, None, None, None, None), ("s", 5, None, "shortlist", None, "f", None)]
+    events = spark.createDataFrame(rows, kind)
+    got = {r["event_id"]: r["problem"] for r in planner.rejected_events(events).collect()}
+    assert got == {1: "name length", 2: "note length", 3: "no facility", 4: "unknown kind"}
+    assert planner.valid_events(events).count() == 1
 
 
 def test_failed_gate_writes_nothing(spark, tmp_path):
