@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundcover import config
-from groundcover.plans.skew import skew_safe_join
 from groundcover.plans.topk import top_k
 from groundcover.session import materialize
 
@@ -80,11 +79,11 @@ def similar_pairs(
 
     Both similarities need a minimum number of shared letters. If two names share
     at least `t` of their `n` letters they also share one of the first `n - t + 1`
-    letters of each in any common order, so only those letters are join keys. Length
-    limits and the letter count then cut the pairs further. No true match is lost. All
-    pairs of a name end in one partition; `bound` is their highest possible ratio.
+    letters of each in any common order, so only those letters are join keys. The join itself
+    lets a pair pass once, at the first letter that both have: there, only the letters after it can
+    still be shared, which with the lengths rules out most pairs before letters are counted. No true
+    match is lost. All pairs of a name end in one partition; `bound` is their highest possible ratio.
     """
-    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if method == "ratio":
         shortest = cutoff / (2 - cutoff)  # of the longer length
         shared = lambda a, b: F.ceil(F.lit(cutoff) * (a + b) / 2 - 1e-9)
@@ -97,24 +96,30 @@ def similar_pairs(
         at_least = shared(size, F.ceil(size * F.lit(shortest) - 1e-9))
         keys = F.greatest(size - at_least + 1, F.lit(0)).cast("int")
         return (
-            df.select("block", name, F.length(name).alias(f"{prefix}_size"))
+            df.select(F.col("block").alias(f"{prefix}_block"), name, F.length(name).alias(f"{prefix}_size"))
             .withColumn(f"{prefix}_letters", _letters(F.col(name)))
-            .withColumn("letter_key", F.explode(F.slice(letters, F.lit(1), keys)))
+            .select("*", F.posexplode(F.slice(letters, F.lit(1), keys)).alias(f"{prefix}_at", f"{prefix}_key"))
         )
 
     a = keyed(left, "name", "a")
     b = keyed(right, "candidate", "b")
-    pairs = skew_safe_join(a, b, ["block", "letter_key"], "inner")
-    longer = F.greatest("a_size", "b_size")
-    common = F.size(F.array_intersect("a_letters", "b_letters"))
+    a_size, b_size = F.col("a_size"), F.col("b_size")
+    wanted = shared(a_size, b_size)
+    after = F.least(a_size - F.col("a_at"), b_size - F.col("b_at"))  # with the letter itself
+    common = F.array_intersect("a_letters", "b_letters")
+    pairs = a.join(
+        b,
+        (F.col("a_block") == F.col("b_block"))
+        & (F.col("a_key") == F.col("b_key"))
+        & (F.least(a_size, b_size) >= F.lit(shortest) * F.greatest(a_size, b_size) - 1e-9)
+        & (after >= wanted)
+        & (F.size(common) >= wanted)
+        & (F.get(common, F.lit(0)) == F.col("a_key")),
+    )
     return (
-        pairs.where(F.least("a_size", "b_size") >= F.lit(shortest) * longer - 1e-9)
-        .withColumn("_common", common)
-        .where(F.col("_common") >= shared(F.col("a_size"), F.col("b_size")))
-        .withColumn("bound", F.lit(2.0) * F.col("_common") / (F.col("a_size") + F.col("b_size")))
-        .select(*PAIR_COLUMNS)
-        .repartition(partitions, "block", "name")  # a set number: comparing is slow, rows are few
-        .distinct()
+        pairs.withColumn("bound", F.lit(2.0) * F.size(common) / (a_size + b_size))
+        .select(F.col("a_block").alias("block"), "name", "candidate", "bound")
+        .repartition("block", "name")  # Spark chooses the number from what it has
     )
 
 
