@@ -15,14 +15,21 @@ def parse_list_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.from_json(F.col(c), STRINGS) for c in columns})
 
 
+def _literal(col: Column) -> Column:
+    """A Python-style list or tuple as JSON text: round brackets become square, None becomes null."""
+    square = F.regexp_replace(col, r"(?s)^\s*\((.*),\s*\)\s*$", "[$1]")
+    square = F.regexp_replace(square, r"(?s)^\s*\((.*,.*)\)\s*$", "[$1]")
+    return F.regexp_replace(square, r"(?<=[\[,]\s{0,9})None(?=\s*[,\]])", "null")
+
+
 def parse_list_any(col: Column | str) -> Column:
-    """Array from JSON or quoted-list text; any other text is a list of one.
+    """Array from JSON, a quoted list or a tuple; any other text is a list of one.
 
     Items are trimmed and blank or NULL items dropped; missing text is an empty list.
     """
     col = F.col(col) if isinstance(col, str) else col
     single = F.array(F.coalesce(F.get_json_object(col, "$"), col))
-    items = F.coalesce(F.from_json(col, STRINGS), single)
+    items = F.coalesce(F.from_json(col, STRINGS), F.from_json(_literal(col), STRINGS), single)
     cleaned = F.filter(F.transform(items, lambda item: F.trim(item)), lambda item: item != "")
     return F.when(F.trim(col) != "", cleaned).otherwise(F.array().cast(STRINGS))
 

@@ -85,8 +85,8 @@ def topojson_edges(docs: DataFrame, name_prop: str = "district", parent_prop: st
         (F.sum(F.col("d")[1]).over(walked) * F.col("scale")[1] + F.col("shift")[1]).alias("y"),
     )
 
-    first_object = F.map_values("t.objects")[0]["geometries"]
-    shapes = parsed.select("doc_id", F.posexplode(first_object).alias("shape", "g"))
+    geometries = F.filter(F.transform(F.map_values("t.objects"), lambda o: o["geometries"]), lambda g: g.isNotNull())
+    shapes = parsed.select("doc_id", F.posexplode(F.flatten(geometries)).alias("shape", "g"))  # of all objects
     rings = (
         shapes.select(
             "doc_id",

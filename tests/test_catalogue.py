@@ -1,5 +1,7 @@
 """Every registered query against its SQL counterpart on the smallest tables."""
 
+import re
+
 import pytest
 
 import check
@@ -23,5 +25,10 @@ def test_every_oracle_has_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
+def test_every_query_of_the_library_has_an_oracle():
+    own = {n for n in queries() if not re.match(r"op\d+_|pipeline$", n)}
+    assert own <= set(oracle_sql())
+
+
 def test_entry(spark):
     assert entry(spark).count() > 0

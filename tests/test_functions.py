@@ -82,6 +82,11 @@ def test_tolerant_lists(spark):
     assert out(df, lists.parse_list_any("v")) == [["120", "b"], ["x", "y"], ["http://a.org"], ["alone"], [], []]
 
 
+def test_tuples_and_missing_items(spark):
+    df = column(spark, ["('a','b')", "('a',)", "['a', None, 'b']", "(None, 'x')", "(see note)", "(one, two)", "['None']", "(1, 2)"])
+    assert out(df, lists.parse_list_any("v")) == [["a", "b"], ["a"], ["a", "b"], ["x"], ["(see note)"], ["(one, two)"], ["None"], ["1", "2"]]
+
+
 def test_richness_prior_modes(spark):
     df = spark.createDataFrame(
         [(0, 4, 5, True, True), (1, 1, 1, False, False), (2, 1, 1, None, True), (3, 0, 0, None, None)],
