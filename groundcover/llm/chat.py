@@ -14,7 +14,6 @@ number, NULL last, ties by role and text; repeated rows are one turn; rows witho
 their own; an empty transcript has no turns; without labelled turns all probabilities are even, apart from the markers.
 """
 
-
 import re
 from collections.abc import Iterator
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from groundcover.llm.common import bounded_batches
+from groundcover.llm.common import bounded_batches, slices
 
 PASSAGE_WORDS = 64
 SAMPLE_DOCS = 6000
@@ -50,7 +50,14 @@ FEATURES = CLASSES * CLASSES + 6
 
 
 def encode(text: str) -> np.ndarray:
-    """One row of FEATURES numbers per passage; every word of the text is in one passage."""
+    """One row of FEATURES numbers per passage; every word of the text is in one passage.
+
+    Very long texts are encoded slice by slice, so memory stays bounded.
+    """
+    return np.concatenate([_encode(piece) for piece in slices(text)])
+
+
+def _encode(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     if not len(data):
         return np.zeros((1, FEATURES), np.float32)

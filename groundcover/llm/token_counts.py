@@ -223,10 +223,13 @@ def count_column(text: Column, spark, tokenizer_path: str, limit: int = LIMIT) -
     @pandas_udf("n_tokens long, fitting_chars long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         counter = _counter(shared.value)
-        for texts in batches:
-            counts = [counter.count(t) for t in texts]
-            fitting = [len(t) if n <= limit else counter.fitting(t, limit) for t, n in zip(texts, counts)]
-            yield pd.DataFrame({"n_tokens": counts, "fitting_chars": fitting})
+        try:
+            for texts in batches:
+                counts = [counter.count(t) for t in texts]
+                fitting = [len(t) if n <= limit else counter.fitting(t, limit) for t, n in zip(texts, counts)]
+                yield pd.DataFrame({"n_tokens": counts, "fitting_chars": fitting})
+        finally:
+            counter.counts.clear()  # a worker lives on and may serve other stages
 
     return counted(F.coalesce(text, F.lit("")))
 
