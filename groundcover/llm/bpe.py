@@ -26,7 +26,7 @@ from pyspark.sql.pandas.functions import pandas_udf
 from groundcover.llm.common import bounded_batches
 
 SHORT_WORD = 200  # parts; above it merging uses a heap
-CACHED_WORDS = 500_000  # about 120 MB
+CACHED_WORDS = 400_000  # about 100 MB in a worker while it has a partition
 CACHED_LENGTH = 64
 NO_RANK = 1 << 60
 
@@ -182,9 +182,12 @@ def codec_column(text: Column, spark, tokenizer_path: str) -> Column:
     @pandas_udf("ids array<int>, decoded string")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(shared.value)
-        for texts in batches:
-            ids = [codec.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(i) for i in ids]})
+        try:
+            for texts in batches:
+                ids = [codec.encode(t) for t in texts]
+                yield pd.DataFrame({"ids": ids, "decoded": [codec.decode(i) for i in ids]})
+        finally:
+            codec.cache.clear()  # a worker lives on and may serve other stages
 
     return encoded(F.coalesce(text, F.lit("")))
 
