@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating star contractions.
 
-Every round points the neighbours of each node at its smallest neighbour, first the larger
-ones, then the smaller ones. Paths shorten by about half per round, the number of edges never grows,
+Every round points the neighbours of each node at its smallest neighbour, first the smaller
+ones, then the larger ones. Paths shorten by about half per round, the number of edges never grows,
 and no group is ever collected: a node's smallest neighbour is a partial aggregate, and its edges
 meet it in a join that Spark may split where a node is hot. Each round is written to the shared
 folder, so lineage stays short and lost executors cost one round at most.
@@ -36,10 +36,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     current = materialize(current, "edges")
     before = None
     for _ in range(MAX_ROUNDS):
-        both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # Smaller neighbours first: links of a node to several centres become links between centres, which are few.
+        narrow = _to_smallest(current, "smaller").where("u > v").distinct()
+        both = narrow.union(narrow.select(F.col("v").alias("u"), F.col("u").alias("v")))
         wide = _to_smallest(both, "larger").where("u > v").distinct()
-        narrow = _to_smallest(wide, "smaller").where("u > v").distinct()
-        current = materialize(narrow, "edges")
+        current = materialize(wide, "edges")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
