@@ -28,6 +28,7 @@ texts share a fingerprint. A component is named by its smallest doc_id; NULL ids
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -49,6 +50,7 @@ PLACE_BITS = 13
 HASHED = 4096  # shingles at a time
 HASH_SLACK = 6
 BUCKET_ENTRIES = 4_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> tuple[int, Iterator[np.ndarray]]:
@@ -120,7 +122,9 @@ VARIANTS = len(MASKS)
 
 # A wide print has TABLES parts of PART_BITS bits. Texts of similarity 0.8 differ in about 15 % of the bits, so
 # somewhere two parts agree within 2 bits; all bits together then tell how similar the texts are.
-TABLES, PART_BITS = 32, 40
+TABLES, PART_BITS = 48, 40
+TABLES_AT_ONCE = 12  # one pass after another, so neither memory nor disk ever holds the variants of all tables
+DEVIATIONS = 4  # of the differing bits, above what a similarity makes them on average
 WIDE_WORDS = TABLES * PART_BITS // 64
 PART_MASKS = np.array([0, *(1 << i for i in range(PART_BITS))], np.uint64)
 _STREAMS = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * _ODD
@@ -202,11 +206,11 @@ def _variants(prints: np.ndarray, points: np.ndarray, masks: np.ndarray, hash_bi
         yield pd.DataFrame(rows, columns=["bucket", "first", "width", "low", "top", "prints"])
 
 
-def _packer(hash_bits: int, buckets: int, wide: bool = False):
+def _packer(hash_bits: int, buckets: int, wide: bool = False, tables: slice = slice(None)):
     masks = PART_MASKS if wide else MASKS
 
     def points(prints: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
-        return parts_of(np.stack(batch["words"]).view(np.uint64)) if wide else prints[:, None]
+        return parts_of(np.stack(batch["words"]).view(np.uint64))[:, tables] if wide else prints[:, None]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -284,13 +288,13 @@ def _linker(hash_bits: int, wide: bool = False):
     return link
 
 
-def _meetings(prints: DataFrame, n: int, wide: bool) -> DataFrame:
-    """(a, b) of fingerprints that meet in a variant; `n` of them in all."""
-    variants = TABLES * len(PART_MASKS) if wide else VARIANTS
+def _meetings(prints: DataFrame, n: int, wide: bool, tables: slice = slice(None)) -> DataFrame:
+    """(a, b) of fingerprints that meet in a variant (of these tables); `n` of them in all."""
+    variants = len(range(TABLES)[tables]) * len(PART_MASKS) if wide else VARIANTS
     hash_bits = min(50, max(16, (n * variants).bit_length() + HASH_SLACK))
     buckets = max(1, math.ceil(n * variants / BUCKET_ENTRIES))
     blocks = prints.repartition(max(1, math.ceil(n / BLOCK)), "fp")
-    packed = blocks.mapInPandas(_packer(hash_bits, buckets, wide), PACKED)
+    packed = blocks.mapInPandas(_packer(hash_bits, buckets, wide, tables), PACKED)
     return packed.groupBy("bucket").applyInPandas(_linker(hash_bits, wide), "a long, b long")
 
 
@@ -303,16 +307,36 @@ def links(prints: DataFrame) -> DataFrame:
     return _meetings(prints.select("fp"), prints.count(), False)
 
 
+def most_bits(similarity: float) -> int:
+    """Bits in which wide prints of texts of this similarity may differ."""
+    total = TABLES * PART_BITS
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(total * share + DEVIATIONS * math.sqrt(total * share * (1 - share)))
+
+
+def _materialized(df: DataFrame, label: str) -> DataFrame:
+    """`materialize`, with the shuffle files deleted as soon as the table is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, label)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+
+
 def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
     """(a, b): wide prints (`fp`, `words`) that meet in a part and differ in as few bits as `similarity` allows.
 
     Shingle sets of Jaccard similarity s have a cosine of 2s / (1 + s), and a bit differs with the
-    probability angle / pi; one standard deviation of that count is allowed for.
+    probability angle / pi; DEVIATIONS standard deviations of that count are allowed for. The tables are
+    hashed in passes, each written before the next begins.
     """
-    total = TABLES * PART_BITS
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.floor(total * share + math.sqrt(total * share * (1 - share)))
-    met = _meetings(prints.select("fp", "words"), prints.count(), True).distinct()
+    most, n, written = most_bits(similarity), prints.count(), []
+    for start in range(0, TABLES, TABLES_AT_ONCE):
+        met = _meetings(prints.select("fp", "words"), n, True, slice(start, start + TABLES_AT_ONCE))
+        written.append(_materialized(met.distinct(), "meetings"))
+    met = reduce(DataFrame.union, written).distinct()
     pairs = met.join(prints.select(F.col("fp").alias("a"), F.col("words").alias("left")), "a").join(
         prints.select(F.col("fp").alias("b"), F.col("words").alias("right")), "b"
     )

@@ -130,3 +130,33 @@ def test_similar_texts_meet_in_parts(make_docs):
     assert by_id[1000] == by_id[1001] == 1000
     kept = s.one_of_each(make_docs(rows), width=5, similarity=0.8)
     assert kept.count() == len(set(by_id.values()))
+
+
+def jaccard(a, b, width=5):
+    """Of the sets of shingles."""
+    sets = [{tuple(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def pairs_of_texts(count, low, high):
+    """Pairs of texts whose similarity is from `low` to `high`, no text like one of another pair."""
+    rng, out = random.Random(8), []
+    while len(out) < count:
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 400))]
+        changed = list(words)
+        for place in rng.sample(range(len(words)), max(1, round(len(words) * (1 - low) / 9))):
+            changed[place] = f"w{rng.randrange(5000)}"
+        if low <= jaccard(a := " ".join(words), b := " ".join(changed)) <= high:
+            out.append((a, b))
+    return out
+
+
+def paired(make_docs, pairs):
+    rows = [(2 * i + j, text) for i, pair in enumerate(pairs) for j, text in enumerate(pair)]
+    found = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(make_docs(rows), width=5, similarity=0.8).collect()}
+    return sum(found[2 * i] == found[2 * i + 1] for i in range(len(pairs)))
+
+
+def test_lone_pairs_of_little_above_the_similarity_are_found(make_docs):
+    assert paired(make_docs, pairs_of_texts(200, 0.8, 0.82)) >= 0.86 * 200
+    assert paired(make_docs, pairs_of_texts(200, 0.82, 0.85)) >= 0.92 * 200
