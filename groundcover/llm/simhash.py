@@ -87,12 +87,19 @@ def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
     return int.from_bytes(_majority(count, parts), "big") if count else 0
 
 
+def shingle_set(text: str, width: int, seed: int = SEED) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles."""
+    _, parts = shingle_hashes(text, width, seed)
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
+
+
 def wide_print(text: str, width: int, seed: int = SEED) -> np.ndarray:
-    """WIDE_WORDS numbers of 64 bits each: the same vote over as many hashes of each shingle."""
-    count, parts = shingle_hashes(text, width, seed)
-    if not count:
+    """WIDE_WORDS numbers of 64 bits each: the same vote over as many hashes of each distinct shingle."""
+    shingles = shingle_set(text, width, seed)
+    if not len(shingles):
         return np.zeros(WIDE_WORDS, np.uint64)
-    votes = _majority(count, (_scrambled(part[:, None] + _STREAMS) for part in parts))
+    parts = (shingles[i : i + HASHED] for i in range(0, len(shingles), HASHED))
+    votes = _majority(len(shingles), (_scrambled(part[:, None] + _STREAMS) for part in parts))
     return np.frombuffer(votes, ">u8").astype(np.uint64)
 
 
@@ -325,25 +332,51 @@ def _materialized(df: DataFrame, label: str) -> DataFrame:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
-def similar_links(prints: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): wide prints (`fp`, `words`) that meet in a part and differ in as few bits as `similarity` allows.
+def _near_pairs(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose wide prints differ in as few bits as `similarity` allows."""
+    both = pairs.join(prints.select(F.col("fp").alias("a"), F.col("words").alias("left")), "a").join(
+        prints.select(F.col("fp").alias("b"), F.col("words").alias("right")), "b"
+    )
+    differing = F.aggregate(
+        F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
+    )
+    return both.where(differing <= most_bits(similarity)).select("a", "b")
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets (`fp`, `shingles`) have this Jaccard similarity or more."""
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("left")), "a").join(
+        sets.select(F.col("fp").alias("b"), F.col("shingles").alias("right")), "b"
+    )
+    common = F.size(F.array_intersect("left", "right"))
+    return both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
+
+
+def similar_links(prints: DataFrame, similarity: float, sets_of) -> DataFrame:
+    """(a, b): wide prints (`fp`, `words`) that meet in a part and whose texts have this similarity.
 
     Shingle sets of Jaccard similarity s have a cosine of 2s / (1 + s), and a bit differs with the
-    probability angle / pi; DEVIATIONS standard deviations of that count are allowed for. The tables are
-    hashed in passes, each written before the next begins.
+    probability angle / pi; pairs over DEVIATIONS standard deviations above are put aside, of the others the
+    shingles are compared (`sets_of` adds them to a table of `fp`). The tables are hashed in passes, each written before
+    the next begins.
     """
-    most, n, written = most_bits(similarity), prints.count(), []
+    n, written = prints.count(), []
     for start in range(0, TABLES, TABLES_AT_ONCE):
         met = _meetings(prints.select("fp", "words"), n, True, slice(start, start + TABLES_AT_ONCE))
         written.append(_materialized(met.distinct(), "meetings"))
-    met = reduce(DataFrame.union, written).distinct()
-    pairs = met.join(prints.select(F.col("fp").alias("a"), F.col("words").alias("left")), "a").join(
-        prints.select(F.col("fp").alias("b"), F.col("words").alias("right")), "b"
-    )
-    differing = F.aggregate(
-        F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
-    )
-    return pairs.where(differing <= most).select("a", "b")
+    near = _materialized(_near_pairs(reduce(DataFrame.union, written).distinct(), prints, similarity), "near")
+    nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    sets = _materialized(sets_of(nodes), "shingles")
+    return _materialized(_similar_pairs(near, sets, similarity), "similar")
+
+
+def shingle_column(text: Column, width: int, seed: int = SEED) -> Column:
+    @pandas_udf("array<long>")
+    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([shingle_set(t, width, seed).view(np.int64) for t in texts])
+
+    return marked(F.coalesce(text, F.lit("")))
 
 
 def wide_column(text: Column, width: int, seed: int = SEED) -> Column:
@@ -359,6 +392,18 @@ def _text_hash() -> Column:
     return F.xxhash64(F.col("text").isNull(), F.coalesce("text", F.lit("")))
 
 
+KEYS = ["key", "missing", "hashed"]
+
+
+def _keyed(rows: DataFrame, text_hash: str) -> DataFrame:
+    """With KEYS, by which rows of the same id and text meet, ids that are NULL included."""
+    return rows.withColumns({
+        "key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        "missing": F.col("doc_id").isNull(),
+        "hashed": F.col(text_hash),
+    })
+
+
 def _labels(docs: DataFrame, width: int, seed: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and one row per distinct fingerprint: fp, root, component_id,
     `chosen` (true for one fingerprint of each group that holds the component_id) and `text_hash`
@@ -374,7 +419,14 @@ def _labels(docs: DataFrame, width: int, seed: int, similarity: float | None = N
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
     prints = marked.groupBy("fp").agg(F.min(order).alias("first"), *more)
     prints = materialize(prints, "distinct-prints")
-    found = links(prints) if similarity is None else similar_links(prints, similarity)
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        chosen = _keyed(prints.join(nodes, "fp", "left_semi").select("fp", "first.doc_id", "first.text_hash"), "text_hash")
+        texts = _keyed(docs.select("doc_id", "text", _text_hash().alias("text_hash")), "text_hash").select(*KEYS, "text")
+        one = texts.join(chosen.select(*KEYS, "fp"), KEYS).groupBy("fp").agg(F.first("text").alias("text"))
+        return one.select("fp", shingle_column(F.col("text"), width, seed).alias("shingles"))
+
+    found = links(prints) if similarity is None else similar_links(prints, similarity, sets_of)
     roots = components(found).withColumnRenamed("node", "fp")
     member = prints.drop("words").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = materialize(member, "members")

@@ -160,3 +160,12 @@ def paired(make_docs, pairs):
 def test_lone_pairs_of_little_above_the_similarity_are_found(make_docs):
     assert paired(make_docs, pairs_of_texts(200, 0.8, 0.82)) >= 0.86 * 200
     assert paired(make_docs, pairs_of_texts(200, 0.82, 0.85)) >= 0.92 * 200
+
+
+def test_pairs_below_the_similarity_are_never_linked(make_docs):
+    pairs = pairs_of_texts(60, 0.76, 0.799)
+    rng = random.Random(9)
+    for _ in range(20):  # much the same by count, hardly by set
+        line = " ".join(f"l{rng.randrange(5000)}" for _ in range(12))
+        pairs.append(tuple(" ".join([line] * 60 + [f"w{rng.randrange(5000)}" for _ in range(80)]) for _ in range(2)))
+    assert paired(make_docs, pairs) == 0
