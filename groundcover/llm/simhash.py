@@ -131,6 +131,7 @@ VARIANTS = len(MASKS)
 # somewhere two parts agree within 2 bits; all bits together then tell how similar the texts are.
 TABLES, PART_BITS = 48, 40
 TABLES_AT_ONCE = 12  # one pass after another, so neither memory nor disk ever holds the variants of all tables
+CENTRES = 16  # of a point in the second round, that many times more in each round after it
 DEVIATIONS = 4  # of the differing bits, above what a similarity makes them on average
 WIDE_WORDS = TABLES * PART_BITS // 64
 PART_MASKS = np.array([0, *(1 << i for i in range(PART_BITS))], np.uint64)
@@ -214,7 +215,7 @@ def _variants(prints: np.ndarray, points: np.ndarray, masks: np.ndarray, hash_bi
 
 
 def _packer(hash_bits: int, buckets: int, wide: bool = False, tables: slice = slice(None)):
-    masks = PART_MASKS if wide else MASKS
+    masks, kept = (PART_MASKS, 2) if wide else (MASKS, 1)  # wide prints travel with their component
 
     def points(prints: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
         return parts_of(np.stack(batch["words"]).view(np.uint64))[:, tables] if wide else prints[:, None]
@@ -224,15 +225,16 @@ def _packer(hash_bits: int, buckets: int, wide: bool = False, tables: slice = sl
         size = 0
         for batch in batches:
             prints = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            held.append(np.concatenate([prints[:, None], points(prints, batch)], axis=1))
+            carried = batch[["fp", "comp"][:kept]].to_numpy(np.int64).view(np.uint64)
+            held.append(np.concatenate([carried, points(prints, batch)], axis=1))
             size += len(batch)
             while size >= 2 * BLOCK:
                 rows = np.concatenate(held)
                 held, size = [rows[BLOCK:]], size - BLOCK
-                yield from _variants(rows[:BLOCK, 0].copy(), rows[:BLOCK, 1:], masks, hash_bits, buckets)
+                yield from _variants(rows[:BLOCK, :kept].copy(), rows[:BLOCK, kept:], masks, hash_bits, buckets)
         if size:
             rows = np.concatenate(held)
-            yield from _variants(rows[:, 0].copy(), rows[:, 1:], masks, hash_bits, buckets)
+            yield from _variants(rows[:, :kept].copy(), rows[:, kept:], masks, hash_bits, buckets)
 
     return pack
 
@@ -263,24 +265,43 @@ def _stars(hashes: np.ndarray, prints: np.ndarray, hash_bits: int) -> tuple[np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def _pairs(hashes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of prints that meet in one hash, each with the smallest."""
-    ordered = np.lexsort((prints, hashes))
-    hashes, prints = hashes[ordered], prints[ordered]
+def _pairs(hashes: np.ndarray, prints: np.ndarray, comps: np.ndarray, centres: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of prints that meet in one hash, each with the first `centres` of other components, those of components with
+    few prints there coming first; and (print, print) for all in a hash where pairs are left over."""
+    ordered = np.lexsort((prints, comps, hashes))
+    hashes, prints, comps = hashes[ordered], prints[ordered], comps[ordered]
+    once = np.r_[True, (hashes[1:] != hashes[:-1]) | (prints[1:] != prints[:-1])]
+    hashes, prints, comps = hashes[once], prints[once], comps[once]
+    runs = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (comps[1:] != comps[:-1])])
+    lengths = np.diff(np.r_[runs, len(hashes)])
+    ordered = np.lexsort((prints, comps, np.repeat(lengths, lengths), hashes))
+    hashes, prints, comps = hashes[ordered], prints[ordered], comps[ordered]
     begins = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    centres = np.repeat(prints[begins], np.diff(np.r_[begins, len(hashes)]))
-    other = centres != prints
-    return centres[other], prints[other]
-
-
-def _linker(hash_bits: int, wide: bool = False):
+    sizes = np.diff(np.r_[begins, len(hashes)])
+    start = np.repeat(begins, sizes)
+    place = np.arange(len(hashes)) - start
+    held, rows = np.empty((0, 2), np.uint64), np.arange(len(hashes))
+    for j in range(min(centres, int(sizes.max(initial=1)) - 1)):
+        rows = rows[place[rows] > j]
+        centre = start[rows] + j
+        other = comps[rows] != comps[centre]
+        pair = np.stack([prints[centre[other]], prints[rows[other]]], axis=1)
+        pair.sort(axis=1)
+        held = np.unique(np.concatenate([held, pair]), axis=0)
+    left = np.zeros(len(hashes), bool)
+    left[1:] = (place[1:] > centres) & (comps[1:] != comps[:-1])
+    some = np.repeat(np.logical_or.reduceat(left, begins), sizes) if len(begins) else left
+    return np.r_[held[:, 0], prints[some]], np.r_[held[:, 1], prints[some]]
+
+
+def _linker(hash_bits: int, wide: bool = False, centres: int = 1):
     def link(group: pd.DataFrame) -> pd.DataFrame:
         hashes, prints = [], []
         for first, width, low, top, used in zip(*(group[c] for c in ("first", "width", "low", "top", "prints"))):
             entries = _unpack(first, width, low, top)
             hashes.append(entries >> np.uint64(PLACE_BITS))
             places = (entries & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-            prints.append(np.frombuffer(used, np.uint64)[places])
+            prints.append(np.frombuffer(used, np.uint64).reshape(-1, 2 if wide else 1)[places])
         hashes, prints = np.concatenate(hashes), np.concatenate(prints)
         ordered = np.sort(hashes)
         met = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
@@ -288,21 +309,22 @@ def _linker(hash_bits: int, wide: bool = False):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         meets = met[np.minimum(np.searchsorted(met, hashes), len(met) - 1)] == hashes
         met_hashes, met_prints = hashes[meets], prints[meets]
-        left, right = _pairs(met_hashes, met_prints) if wide else _stars(met_hashes, met_prints, hash_bits)
+        first = met_prints[:, 0]
+        left, right = _pairs(met_hashes, first, met_prints[:, 1], centres) if wide else _stars(met_hashes, first, hash_bits)
         links = pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)})
         return links.drop_duplicates()
 
     return link
 
 
-def _meetings(prints: DataFrame, n: int, wide: bool, tables: slice = slice(None)) -> DataFrame:
+def _meetings(prints: DataFrame, n: int, wide: bool, tables: slice = slice(None), centres: int = 1) -> DataFrame:
     """(a, b) of fingerprints that meet in a variant (of these tables); `n` of them in all."""
     variants = len(range(TABLES)[tables]) * len(PART_MASKS) if wide else VARIANTS
     hash_bits = min(50, max(16, (n * variants).bit_length() + HASH_SLACK))
     buckets = max(1, math.ceil(n * variants / BUCKET_ENTRIES))
     blocks = prints.repartition(max(1, math.ceil(n / BLOCK)), "fp")
     packed = blocks.mapInPandas(_packer(hash_bits, buckets, wide, tables), PACKED)
-    return packed.groupBy("bucket").applyInPandas(_linker(hash_bits, wide), "a long, b long")
+    return packed.groupBy("bucket").applyInPandas(_linker(hash_bits, wide, centres), "a long, b long")
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -359,15 +381,44 @@ def similar_links(prints: DataFrame, similarity: float, sets_of) -> DataFrame:
     probability angle / pi; pairs over DEVIATIONS standard deviations above are put aside, of the others the
     shingles are compared (`sets_of` adds them to a table of `fp`). The tables are hashed in passes, each written before
     the next begins.
+
+    In the first round each print of a point is compared with one of them. Points whose prints are not all in one component
+    by then come again, and prints of different components are compared with more and more of their point, until
+    no pair of different components is left.
     """
-    n, written = prints.count(), []
-    for start in range(0, TABLES, TABLES_AT_ONCE):
-        met = _meetings(prints.select("fp", "words"), n, True, slice(start, start + TABLES_AT_ONCE))
-        written.append(_materialized(met.distinct(), "meetings"))
-    near = _materialized(_near_pairs(reduce(DataFrame.union, written).distinct(), prints, similarity), "near")
-    nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = _materialized(sets_of(nodes), "shingles")
-    return _materialized(_similar_pairs(near, sets, similarity), "similar")
+    n, centres = prints.count(), 1
+    rest, size = prints.select("fp", "words", F.col("fp").alias("comp")), n
+    tried, linked, sets = None, None, None
+    while size:
+        at_once = TABLES_AT_ONCE * max(1, min(TABLES // TABLES_AT_ONCE, n // size))
+        written = []
+        for start in range(0, TABLES, at_once):
+            met = _meetings(rest, size, True, slice(start, start + at_once), centres)
+            written.append(_materialized(met.distinct(), "meetings"))
+        met = reduce(DataFrame.union, written).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met = _materialized(met.distinct(), "met")
+        fresh = met.where("a < b")
+        if tried is None:
+            tried = fresh
+        else:
+            fresh = _materialized(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
+            tried = tried.union(fresh)
+        near = _materialized(_near_pairs(fresh, prints, similarity), "near")
+        nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+        if sets is not None:
+            nodes = nodes.join(sets.select("fp"), "fp", "left_anti")
+        more = _materialized(sets_of(nodes), "shingles")
+        sets = more if sets is None else sets.union(more)
+        found = _materialized(_similar_pairs(near, sets, similarity), "similar")
+        linked = found if linked is None else linked.union(found)
+        left_over = met.where("a = b").select(F.col("a").alias("fp"))
+        size = left_over.count()
+        if size:
+            roots = components(linked).withColumnRenamed("node", "fp")
+            rest = prints.select("fp", "words").join(left_over, "fp", "left_semi").join(roots, "fp", "left")
+            rest = _materialized(rest.select("fp", "words", F.coalesce("root", "fp").alias("comp")), "rest")
+        centres *= CENTRES
+    return prints.sparkSession.createDataFrame([], "a long, b long") if linked is None else linked
 
 
 def shingle_column(text: Column, width: int, seed: int = SEED) -> Column:

@@ -169,3 +169,29 @@ def test_pairs_below_the_similarity_are_never_linked(make_docs):
         line = " ".join(f"l{rng.randrange(5000)}" for _ in range(12))
         pairs.append(tuple(" ".join([line] * 60 + [f"w{rng.randrange(5000)}" for _ in range(80)]) for _ in range(2)))
     assert paired(make_docs, pairs) == 0
+
+
+def test_like_prints_meet_beside_an_unlike_smaller_one():
+    hashes, prints = np.repeat(np.uint64(5), 40), np.arange(1, 41, dtype=np.uint64)
+    left, right = s._pairs(hashes, prints, prints, 1)
+    assert {(a, b) for a, b in zip(left.tolist(), right.tolist()) if a != b} == {(1, b) for b in range(2, 41)}
+    assert {a for a, b in zip(left.tolist(), right.tolist()) if a == b} == set(range(1, 41))  # not settled yet
+    seen, comps = set(), np.where(prints > 4, 5, prints).astype(np.uint64)  # 5 to 40 are one component by now
+    left, right = s._pairs(hashes, prints, comps, 16)
+    assert {(a, b) for a, b in zip(left.tolist(), right.tolist())} == {(a, b) for a in range(1, 5) for b in range(a + 1, 41)}
+
+
+def test_families_from_one_template_are_resolved(make_docs):
+    rng = random.Random(12)
+    template, rows = [f"w{rng.randrange(5000)}" for _ in range(300)], []
+    for member in range(30):  # unlike each other (about 0.6), each with a near copy of its own
+        words = list(template)
+        for place in rng.sample(range(300), 9):
+            words[place] = f"m{member}x{place}"
+        copy = list(words)
+        for place in rng.sample(range(300), 3):
+            copy[place] = f"c{member}x{place}"
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    expected = brute_groups([i for i, _ in rows], lambda a, b: jaccard(rows[a][1], rows[b][1]) >= 0.8)
+    found = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(make_docs(rows), width=5, similarity=0.8).collect()}
+    assert len(set(expected.values())) >= 25 and found == expected
