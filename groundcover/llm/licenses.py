@@ -18,8 +18,10 @@ from groundcover.llm.common import free_name
 NAMES = {
     "MIT": ["MIT License", "MIT Licence", "MIT"],
     "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0"],
-    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPL-2.0"],
-    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPL-3.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPL-2.0", "GPL-2.0-only"],
+    "GPL-2.0-or-later": ["GPL-2.0-or-later"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPL-3.0", "GPL-3.0-only"],
+    "GPL-3.0-or-later": ["GPL-3.0-or-later"],
     "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "LGPL-2.1"],
     "LGPL-3.0": ["GNU Lesser General Public License, version 3", "LGPL-3.0"],
     "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL-3.0"],
@@ -44,8 +46,14 @@ SENTENCES = {
     "bsd.grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd.source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd.binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd.names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "apache.header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
     "apache.use": "You may not use this file except in compliance with the License.",
     "apache.copy": "You may obtain a copy of the License at",
+    "apache.url": "http://www.apache.org/licenses/LICENSE-2.0",
+    "apache.warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "apache.see": "See the License for the specific language governing permissions and limitations under the License.",
+    "gpl2.free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl.free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl.warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
 }
@@ -53,18 +61,29 @@ SENTENCES = {
 RULES = [
     ("MIT", ["mit.permission", "mit.notice", "mit.warranty"]),
     ("MIT", ["mit.permission", "mit.notice"]),
+    ("BSD-3-Clause", ["bsd.grant", "bsd.source", "bsd.binary", "bsd.names"]),
     ("BSD-2-Clause", ["bsd.grant", "bsd.source", "bsd.binary"]),
+    ("Apache-2.0", ["apache.header", "apache.copy"]),
+    ("Apache-2.0", ["apache.header"]),
     ("Apache-2.0", ["grant.Apache-2.0", "apache.use", "apache.copy"]),
     ("Apache-2.0", ["grant.Apache-2.0", "apache.use"]),
     ("GPL-3.0-or-later", ["gpl.free", "gpl.warranty"]),
     ("GPL-3.0-or-later", ["gpl.free"]),
+    ("GPL-2.0-or-later", ["gpl2.free", "gpl.warranty"]),
+    ("GPL-2.0-or-later", ["gpl2.free"]),
     ("MIT", ["mit.permission"]),
     *[(name, [f"grant.{name}"]) for name in NAMES],
 ]
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # on lower-cased text
 BREAK = r"[.!?:][ \t\r\n]+|\n+"
-WRAPPED = (r'([a-z,;])\r?\n[ \t]*([a-z("])', r'([A-Z,])\r?\n[ \t]*([A-Z("])')  # lines of one sentence
+WRAPPED = (
+    r'([a-z,;])\r?\n[ \t]*([a-z("])', r'([A-Z,])\r?\n[ \t]*([A-Z("])',  # lines of one sentence
+    r"(warranty of)\r?\n[ \t]*(MERCHANTABILITY)",
+    # BREAK would cut known sentences at these colons; a list number is no sentence.
+    r"((?i:SPDX-License-Identifier)):[ \t]+([A-Za-z0-9(])", r"((?i:free software)):[ \t\r\n]+((?i:you can redistribute))",
+    r"(^|\n)[ \t]*\(?[0-9]{1,2}[.)][ \t]+([A-Z])",
+)
 MENTION = r"(^| )(licen[cs]e[ds]?|copyright|warranty)( |$)"
 
 

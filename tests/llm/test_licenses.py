@@ -58,3 +58,62 @@ def test_odd_documents(odd_docs, no_docs):
     rows = l.scan(odd_docs).collect()
     assert len(rows) == odd_docs.count() and not any(r["licenses"] for r in rows)
     assert l.scan(no_docs).count() == 0
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_canonical_texts(make_docs):
+    texts = {
+        "// SPDX-License-Identifier: MIT\ncode": ["MIT"], "/* SPDX-License-Identifier: GPL-3.0-or-later */": ["GPL-3.0-or-later"],
+        "# spdx-license-identifier: apache-2.0": ["Apache-2.0"], "# SPDX-License-Identifier: Nobody-1.0": [],
+        APACHE: ["Apache-2.0"], GPL: ["GPL-3.0-or-later"], BSD: ["BSD-2-Clause"], BSD + NAMES: ["BSD-3-Clause"],
+        BSD.replace("1. ", "").replace("2. ", "") + NAMES.replace("3. ", ""): ["BSD-3-Clause"],
+        GPL.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2"): ["GPL-2.0-or-later"],
+    }
+    rows = {r["doc_id"]: r for r in l.scan(make_docs(list(enumerate(texts)))).collect()}
+    assert [rows[i]["licenses"] for i in range(len(texts))] == list(texts.values())
+    assert rows[3]["unknown"] and not rows[0]["unknown"] and not rows[4]["unknown"]
+    assert " gpl.free  gpl.warranty " in rows[5]["sequence"]
+
+
+def test_no_known_sentence_is_cut(make_docs):
+    known = [*l.SENTENCES.values(), *(grant.format(n) for names in l.NAMES.values() for n in names for grant in l.GRANTS)]
+    for row in l.scan(make_docs(list(enumerate(known)))).collect():
+        assert row["n_sentences"] == 1 and "-" not in row["sequence"].split(), known[row["doc_id"]]
