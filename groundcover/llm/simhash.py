@@ -16,8 +16,9 @@ task depends on the size of a group of copies.
 
 4 of 64 bits is a similarity near 0.95. For a lower one (`similarity`), wide prints of TABLES parts are
 hashed part by part in the same way: every part emits its variants within 1 of PART_BITS bits, prints that
-meet are compared in all bits, and those near enough are linked (of texts at 0.8 about three in four
-meet directly, at 0.85 19 in 20, at 0.9 practically all).
+meet are compared in all bits, and of those near enough the distinct shingles are compared exactly (by binomial
+arithmetic, of texts at 0.8 about nine in ten meet directly, at 0.82 19 in 20). There a point has no bound of its own:
+all different prints that agree in a part within 1 bit go to one task.
 
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles are `width`
 consecutive words (repeats included) joined by a blank; fewer words give one shingle; no words
