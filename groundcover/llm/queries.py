@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import ann, bpe, chat, decontaminate, language_id, licenses, quality, secret_scan, simhash, token_counts
+from groundcover.llm import ann, bpe, chat, decontaminate, language_id, licenses, quality, secret_scan, simhash, token_counts, whitening
 from groundcover.llm.common import documents, fold
 from groundcover.sources.tables import load_table
 
@@ -181,3 +181,12 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc_words LEFT JOIN hits USING (r) LEFT JOIN items USING (r)
 """
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    white = whitening.whiten(load_table(spark, folder, "embeddings"))
+    return white.select(
+        "vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened", "explained", "identity_error",
+    )
