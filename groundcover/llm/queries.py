@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import ann, bpe, chat, decontaminate, language_id, licenses, quality, secret_scan, simhash, token_counts, whitening
+from groundcover.llm import ann, bpe, chat, decontaminate, language_id, licenses, quality, resample, secret_scan, simhash, token_counts, whitening
 from groundcover.llm.common import documents, fold
 from groundcover.sources.tables import load_table
 
@@ -190,3 +190,54 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"),
         "whitened", "explained", "identity_error",
     )
+
+
+@query
+def op12_importance_resample(spark: SparkSession, folder: str) -> DataFrame:
+    found = resample.resample(documents(spark, folder), load_table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLES["op12_importance_resample"] = r"""
+WITH steps AS (SELECT generate_series AS i, generate_series AS c, 0 AS step FROM generate_series(0, 255)),
+table_ AS (
+  WITH RECURSIVE r AS (
+    SELECT i, CAST(c AS BIGINT) AS c, step FROM steps
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM r WHERE step < 8)
+  SELECT list(c ORDER BY i) AS t FROM r WHERE step = 8),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+doc_words AS (SELECT r, unnest(w) AS word FROM docs),
+item_words AS (SELECT unnest(w) AS word FROM items),
+words AS (SELECT word FROM doc_words UNION SELECT word FROM item_words),
+bytes AS (
+  SELECT word, list_transform(generate_series(0, octet_length(encode(word)) - 1),
+    lambda k: CAST('0x' || substr(hex(encode(word)), CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT)) AS b FROM words),
+buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b),
+    lambda crc, x: xor(crc >> 8, t[(xor(crc, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, table_),
+doc_buckets AS (SELECT r, bucket FROM doc_words JOIN buckets USING (word)),
+item_buckets AS (SELECT bucket FROM item_words JOIN buckets USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM doc_buckets GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM item_buckets GROUP BY bucket),
+sums AS (SELECT (SELECT count(*) FROM doc_buckets) AS all_s, (SELECT count(*) FROM item_buckets) AS all_t),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (all_s + 10000) AS DOUBLE)
+    / CAST((s + 1) * (all_t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket), sums),
+weights AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM doc_buckets JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' ||
+      coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (r)),
+ranked AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST, r) AS rank, count(*) OVER () AS n
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN CAST(rank AS BIGINT) END AS rank
+FROM scored LEFT JOIN ranked USING (r)
+"""
