@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundcover.llm import ann, bpe, chat, decontaminate, language_id, licenses, quality, resample, secret_scan, simhash, token_counts, whitening
+from groundcover.llm import ann, bpe, chat, decontaminate, language_id, licenses, quality, quality_rules, resample, secret_scan, simhash, token_counts, whitening
 from groundcover.llm.common import documents, fold
 from groundcover.sources.tables import load_table
 
@@ -241,3 +241,12 @@ ranked AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN CAST(rank AS BIGINT) END AS rank
 FROM scored LEFT JOIN ranked USING (r)
 """
+
+
+@query
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_rules.check(load_table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.exp("log_perplexity").alias("perplexity"),
+    )
