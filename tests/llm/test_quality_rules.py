@@ -117,6 +117,13 @@ def test_numbering_with_and_without_a_table(monkeypatch, dense):
     assert ngram_model._numbered(codes[:0])[0] == 0
 
 
+def test_words_of_any_script_and_blank():
+    for blank in map(chr, [*range(33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]):
+        for text in (f"a{blank}b c", f"{blank}漢 é{blank}", blank):
+            assert ngram_model.words_of(text) == WORD.findall(text)
+    assert ngram_model.plain("A\x02 1\n 29Ü ") == "a\x01 0 00ü"
+
+
 def measured(text):
     """The five measures as they are defined."""
     text = text or ""
@@ -154,10 +161,11 @@ def test_bands_by_the_definition(spark):
 
 
 def test_other_languages_and_noise_are_rejected(spark, make_docs):
-    good = [(i, t * 2, "en") for i, t in enumerate(prose(200, 1, "abcdefgh")) if len(t) > 100]
+    good = [(i, t, "en") for i, t in enumerate(prose(200, 1, "abcdefgh")) if len(t) > 100]
     alphabets = ["rstuvwxyz", "αβγδεζηθ", "абвгдежз", "0#%&*+=~", "٠١٢٣٤٥٦٧"]  # one text of each
     other = [(1000 + i, max(prose(30, 2, letters), key=len), "en") for i, letters in enumerate(alphabets)]
     got = {r["doc_id"]: r for r in quality_rules.check(make_docs(good + other)).collect()}
+    assert sum(got[i]["kept"] for i, _, _ in good) > 50
     assert all(got[i]["kept"] != got[i]["base_failed"] for i, _, _ in good)
     rest = [got[i] for i, _, _ in other if not got[i]["base_failed"]]
     assert rest and not any(r["kept"] for r in rest)
