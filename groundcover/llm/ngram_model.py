@@ -35,16 +35,26 @@ BLOCK_CHARS = 12_000_000
 PIECE_CHARS = 2_000_000  # of a block that are looked at together
 SHARD_ENTRIES = 50_000
 BLOCKS_PER_TASK = 2_000  # whose questions to a shard one task answers
+BROADCAST_ROWS = 100_000
 DENSE = 1 << 24
 
 PAD = "\x02"  # stands before a text ORDER - 1 times; not a character of texts
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DIGIT = re.compile(r"[1-9]")
+# What str.split() takes for a blank and the word pattern doesn't.
+OTHER_BLANKS = [chr(c) for c in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def words_of(text: str) -> list[str]:
+    """Words between blanks, tabs and line ends."""
+    return WORD.findall(text) if any(c in text for c in OTHER_BLANKS) else text.split()
 
 
 def plain(text: str | None) -> str:
     """What the models see of a text: lower case, single blanks, digits all alike."""
-    return DIGIT.sub("0", " ".join(WORD.findall(text or "")).lower().replace(PAD, "\x01"))
+    text = " ".join(words_of(text or "")).lower().replace(PAD, "\x01")
+    for digit in "123456789":
+        text = text.replace(digit, "0")
+    return text
 
 
 def distinct_grams(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -123,6 +133,11 @@ class NgramModels:
     shards: int
 
 
+def _with_few(df: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join with a written table; one of at most BROADCAST_ROWS rows goes to all tasks, so that no key has to go to one."""
+    return df.join(F.broadcast(few) if few.count() <= BROADCAST_ROWS else few, on)
+
+
 def train(
     docs: DataFrame, text: str, model: str, block_chars: int = BLOCK_CHARS, shard_entries: int = SHARD_ENTRIES
 ) -> NgramModels:
@@ -145,7 +160,7 @@ def train(
         "model", "k", "kinds", *[_discount(f"n{i}", f"n{i + 1}", i).alias(f"d{i}") for i in range(1, 4)]
     )
     taken = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.join(discounts, ["model", "k"]).select(
+    rows = _with_few(counts, materialize(discounts, "discounts"), ["model", "k"]).select(
         "model", "k", "gram", "n", taken.alias("d"), "kinds", F.expr("substring(gram, 1, k - 1)").alias("context")
     )
     contexts = rows.groupBy("model", "k", "context").agg(

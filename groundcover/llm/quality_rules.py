@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundcover.llm import ngram_model
-from groundcover.llm.ngram_model import WORD
+from groundcover.llm.ngram_model import WORD, words_of
 from groundcover.session import materialize
 
 LEAST_WORDS = 20
@@ -32,6 +32,7 @@ SYMBOLS = "#*$%&|<>"
 BAND = 6.0
 LEAST_REACH = 1.0  # of log perplexity, a factor of e per character: uniform languages have narrow deviations
 STEPS = 100
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MEASURES = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long>"
 
 
@@ -39,14 +40,20 @@ def repeated_words(words: Sequence[str], run: int = RUN) -> int:
     """Words inside runs of `run` (a power of two) words that the text holds twice or more."""
     if len(words) <= run:
         return 0
+    # Equal runs have equal hashes: mostly no two are equal, and that is all there is to know.
+    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    sums = np.zeros(len(words) - run + 1, np.uint64)
+    for i in range(run):
+        sums = sums * _FACTOR + hashes[i : len(words) - run + 1 + i]
+    sums.sort()
+    if (sums[1:] != sums[:-1]).all():
+        return 0
     number = pd.factorize(np.array(words, object))[0].astype(np.int64)
     width = 1
     while width < run:
         pairs = number[: len(number) - width] * (int(number.max()) + 1) + number[width:]
         _, number, times = np.unique(pairs, return_inverse=True, return_counts=True)
         width *= 2
-        if times.max() == 1:
-            return 0  # shorter runs that occur once can't be parts of longer ones that occur twice
     twice = np.flatnonzero(times[number] > 1)
     edges = np.zeros(len(words) + 1, np.int64)
     edges[twice] += 1
@@ -57,13 +64,13 @@ def repeated_words(words: Sequence[str], run: int = RUN) -> int:
 def measures(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     text = text or ""
-    words = WORD.findall(text)
+    words = words_of(text)
     seen, copies = set(), 0
     for line in text.split("\n"):
         if WORD.search(line):
             copies += line in seen
             seen.add(line)
-    return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), copies, repeated_words(words)
+    return len(words), len(text) - sum(map(text.count, " \t\n\v\f\r")), sum(map(text.count, SYMBOLS)), copies, repeated_words(words)
 
 
 def failed(m: Column) -> Column:
