@@ -396,3 +396,45 @@ def geojson_edges(spark, folder):
     return geojson_edges(docs).drop("doc_id", "region_id")
 
 
+
+
+# One region per supplier, of eight kinds: a box with a hole; a hole outside its shell; a hole in a hole; a polygon within
+# another; an island in the lake of another; two overlapping polygons; crossing edges; two boxes that touch.
+SHAPES = [
+    "[[[0,0],[9,0],[9,9],[0,9],[0,0]],[[2,2],[2,4],[4,4],[2,2]]]",
+    "[[[0,0],[9,0],[9,9],[0,9],[0,0]],[[12,2],[12,4],[14,4],[12,2]]]",
+    "[[[0,0],[9,0],[9,9],[0,9],[0,0]],[[1,1],[1,8],[8,8],[8,1],[1,1]],[[2,2],[2,4],[4,4],[2,2]]]",
+    "[[[0,0],[9,0],[9,9],[0,9],[0,0]]],[[[2,2],[4,2],[4,4],[2,2]]]",
+    "[[[0,0],[9,0],[9,9],[0,9],[0,0]],[[1,1],[1,8],[8,8],[8,1],[1,1]]],[[[2,2],[4,2],[4,4],[2,2]]]",
+    "[[[0,0],[9,0],[9,9],[0,9],[0,0]]],[[[5,0],[14,0],[14,9],[5,9],[5,0]]]",
+    "[[[0,0],[9,9],[9,0],[0,9],[0,0]]]",
+    "[[[0,0],[9,0],[9,9],[0,9],[0,0]]],[[[9,0],[14,0],[14,9],[9,9],[9,0]]]",
+]
+VALID_SHAPES = (0, 4, 7)
+
+
+@query(
+    "valid_regions",
+    f"""
+SELECT s_name AS region_name, s_suppkey % {len(SHAPES)} AS kind,
+  CAST(CASE s_suppkey % {len(SHAPES)} WHEN 0 THEN 7 WHEN 4 THEN 11 ELSE 8 END AS BIGINT) AS edges
+FROM supplier WHERE s_suppkey % {len(SHAPES)} IN {VALID_SHAPES}""",
+)
+def valid_regions(spark, folder):
+    from groundcover.session import materialize
+    from groundcover.sources.boundaries import geojson_edges, valid_regions
+
+    kind = F.col("s_suppkey") % len(SHAPES)
+    shape = F.array(*[F.lit(s) for s in SHAPES])[kind.cast("int")]
+    several = shape.startswith("[[[") & shape.contains("]]],[[[")
+    json = F.concat(
+        F.lit('{"type":"Feature","properties":{"shapeName":"'), F.col("s_name"), F.lit('"},"geometry":{"type":'),
+        F.when(several, F.concat(F.lit('"MultiPolygon","coordinates":['), shape, F.lit("]")))
+        .otherwise(F.concat(F.lit('"Polygon","coordinates":'), shape)), F.lit("}}"),
+    )
+    suppliers = load_table(spark, folder, "supplier")
+    docs = suppliers.select(F.col("s_suppkey").cast("string").alias("doc_id"), json.alias("json"))
+    edges = materialize(geojson_edges(docs), "edges")
+    return valid_regions(edges).groupBy("doc_id", "region_name").agg(F.count(F.lit(1)).alias("edges")).select(
+        "region_name", (F.col("doc_id").cast("long") % len(SHAPES)).alias("kind"), "edges"
+    )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from groundcover import config
 from groundcover.functions.geo import haversine_km
+from groundcover.plans.cells import LEAF_EDGES, cover, locate
 from groundcover.plans.skew import skew_safe_join
 from groundcover.plans.topk import top_k
 from groundcover.session import materialize
@@ -112,60 +113,24 @@ def nearest_within(
 def points_in_polygons(
     points: DataFrame,
     edges: DataFrame,
-    cell: float = 0.25,
     point: Sequence[str] = ("unique_id", "longitude", "latitude"),
     region: str = "region_id",
+    leaf_edges: int = LEAF_EDGES,
 ) -> DataFrame:
     """(point id, region) for every point inside a region; holes are outside.
 
-    A ray to the east crosses an odd number of a polygon's edges exactly when the
-    point is inside; edges own their lower end (`(y1 > y) != (y2 > y)`). Edges are laid
-    out per grid cell of their polygon's box, so a point is joined only to edges at its
-    own height of polygons around it, and only crossings leave the join. If regions
-    overlap, the smallest region wins.
+    A ray to the east crosses an odd number of a polygon's edges exactly when the point is inside; edges own their lower
+    end (`(y1 > y) != (y2 > y)`). Polygons are covered by a hierarchy of cells (`plans.cells`): a point in a cell within a polygon
+    meets no edge at all, one at its border meets only the few edges of its own cell. If regions overlap, the smallest region wins.
     """
     pid, px, py = point
-    size = F.lit(float(cell))
-    where = points.select(
-        F.col(pid).alias("_pid"), F.col(px).alias("_x"), F.col(py).alias("_y")
-    ).dropna()
-    where = where.withColumns({"_cx": F.floor(F.col("_x") / size), "_cy": F.floor(F.col("_y") / size)})
-
-    lines = edges.select(
-        F.col(region).alias("_region"), "poly_id", "x1", "y1", "x2", "y2"
-    ).where(F.col("y1") != F.col("y2"))
-    boxes = lines.groupBy("_region", "poly_id").agg(
-        F.floor(F.min(F.least("x1", "x2")) / size).alias("_first_cx")
-    )
-    # A ray to the east never meets edges that end west of the cell.
-    lines = lines.join(boxes, ["_region", "poly_id"])
-    laid_out = lines.withColumn(
-        "_cy",
-        F.explode(
-            F.sequence(F.floor(F.least("y1", "y2") / size), F.floor(F.greatest("y1", "y2") / size))
-        ),
-    ).withColumn(
-        "_cx", F.explode(F.sequence(F.col("_first_cx"), F.floor(F.greatest("x1", "x2") / size)))
-    )
-    laid_out = laid_out.select("_cx", "_cy", "_region", "poly_id", "x1", "y1", "x2", "y2")
-
-    crossing = ((F.col("y1") > F.col("_y")) != (F.col("y2") > F.col("_y"))) & (
-        F.col("_x")
-        < (F.col("x2") - F.col("x1")) * (F.col("_y") - F.col("y1")) / (F.col("y2") - F.col("y1"))
-        + F.col("x1")
-    )
-    crossings = (
-        skew_safe_join(where, laid_out, ["_cx", "_cy"], "inner")
-        .where(crossing)
-        .groupBy("_pid", "_region", "poly_id")
-        .agg(F.count(F.lit(1)).alias("_crossings"))
-    )
-    return (
-        crossings.where(F.col("_crossings") % 2 == 1)
-        .groupBy("_pid")
-        .agg(F.min("_region").alias(region))
-        .withColumnRenamed("_pid", pid)
-    )
+    where = points.select(F.col(pid).alias("_pid"), F.col(px).alias("_x"), F.col(py).alias("_y")).dropna()
+    lines = edges.select(F.col(region).alias("_region"), "poly_id", "x1", "y1", "x2", "y2")
+    shapes = cover(lines, ["_region", "poly_id"], leaf_edges)
+    if shapes is None:
+        return where.select(F.col("_pid").alias(pid), F.lit(None).cast(edges.schema[region].dataType).alias(region)).where(F.lit(False))
+    inside = locate(where, shapes).where("inside")
+    return inside.groupBy("_pid").agg(F.min("shape._region").alias(region)).withColumnRenamed("_pid", pid)
 
 
 def region_bbox(edges: DataFrame, regions: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundcover.functions.names import norm_name
+from groundcover.plans.cells import cover, locate, x_at
 from groundcover.session import materialize
 
 EDGE_COLUMNS = [
@@ -47,14 +48,13 @@ def documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFra
 def load_topojson(
     spark: SparkSession, path: str, name_prop: str = "district", parent_prop: str = "st_nm", per_line: bool = False
 ) -> DataFrame:
-    edges = topojson_edges(documents(spark, path, per_line), name_prop, parent_prop)
-    return drop_crossing(materialize(edges, "edges"))
+    return valid_regions(materialize(topojson_edges(documents(spark, path, per_line), name_prop, parent_prop), "edges"))
 
 
 def load_geojson(
     spark: SparkSession, path: str, name_prop: str = "shapeName", parent_prop: str | None = None, per_line: bool = False
 ) -> DataFrame:
-    return geojson_edges(documents(spark, path, per_line), name_prop, parent_prop)
+    return valid_regions(materialize(geojson_edges(documents(spark, path, per_line), name_prop, parent_prop), "edges"))
 
 
 def _polygons(kind: Column, nested: Column, item: str) -> Column:
@@ -67,8 +67,8 @@ def _polygons(kind: Column, nested: Column, item: str) -> Column:
 def topojson_edges(docs: DataFrame, name_prop: str = "district", parent_prop: str = "st_nm") -> DataFrame:
     """Decodes arcs (deltas, scale, translation), stitches rings and returns their edges.
 
-    A negative arc index is the arc `~index` walked backwards. Only the first object of
-    a document is read. Without a transform coordinates stand as they are.
+    A negative arc index is the arc `~index` walked backwards. All objects of a document
+    are read. Without a transform coordinates stand as they are.
     """
     parsed = docs.select("doc_id", F.from_json("json", TOPOLOGY).alias("t"))
     scale = F.coalesce(F.col("t.transform.scale"), F.array(F.lit(1.0), F.lit(1.0)))
@@ -168,35 +168,102 @@ def _edges(points: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def drop_crossing(edges: DataFrame, cell: float = 0.25) -> DataFrame:
-    """Leaves out regions whose edges cross each other; touching is allowed.
+def valid_regions(edges: DataFrame) -> DataFrame:
+    """Edges of the regions that are valid shapes: no edges cross, and rings are nested as they should be.
 
-    Edges meet only edges of their own region in the same grid cell.
+    `edges` should be a written table, it is read several times.
     """
-    size = F.lit(float(cell))
+    return drop_misnested(materialize(drop_crossing(edges), "uncrossed"))
+
+
+def drop_crossing(edges: DataFrame) -> DataFrame:
+    """Leaves out regions whose edges cross each other; touching is allowed.
 
-    def cells(a: str, b: str) -> Column:
-        return F.explode(F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)))
+    Every edge lies on the grid level whose cells are as wide as the edge is long, in four cells at most, and looks for the edges of
+    its own and of coarser levels in the cells around itself. So a dense coast meets its few neighbours and the long edges
+    nearby, however many edges share one part of the map.
+    """
+    own = "int(ceil(log2(greatest(abs(x2 - x1), abs(y2 - y1)))))"
+    lines = edges.selectExpr("region_id", "struct(poly_id, ring_id, seq) AS edge", "x1", "y1", "x2", "y2", f"{own} AS own")
+    levels = lines.groupBy("region_id").agg(F.collect_set("own").alias("levels"))  # at most one per power of two
+
+    def cells(axis: str) -> str:
+        low, high = f"least({axis}1, {axis}2) / pow(2D, level)", f"greatest({axis}1, {axis}2) / pow(2D, level)"
+        return f"explode(sequence(floor({low}), floor({high}))) AS c{axis}"
+
+    keys = ["region_id", "level", "cx", "cy"]
+    hosts = lines.withColumn("level", F.col("own")).selectExpr("*", cells("x")).selectExpr("*", cells("y")).drop("own")
+    hosts = hosts.withColumnsRenamed({c: f"o_{c}" for c in ("edge", "x1", "y1", "x2", "y2")})
+    visitors = lines.join(levels, "region_id").selectExpr("*", "explode(filter(levels, l -> l >= own)) AS level").drop("levels")
+    visitors = visitors.selectExpr("*", cells("x")).selectExpr("*", cells("y"))
+
+    def side(line: str, x: str, y: str) -> str:
+        """Which side of an edge a point is on."""
+        return f"signum(({line}x2 - {line}x1) * ({y} - {line}y1) - ({line}y2 - {line}y1) * ({x} - {line}x1))"
+
+    crosses = F.expr(
+        f"{side('', 'o_x1', 'o_y1')} * {side('', 'o_x2', 'o_y2')} < 0 AND {side('o_', 'x1', 'y1')} * {side('o_', 'x2', 'y2')} < 0"
+    )
+    once = F.expr("own < level OR edge < o_edge")
+    invalid = visitors.join(hosts, keys).where(once & crosses).select("region_id").distinct()
+    return edges.join(invalid, "region_id", "left_anti").select(*edges.columns)
 
-    laid_out = edges.select("region_id", "poly_id", "ring_id", "seq", "x1", "y1", "x2", "y2")
-    laid_out = laid_out.withColumn("_cx", cells("x1", "x2")).withColumn("_cy", cells("y1", "y2"))
-    keys = ["region_id", "_cx", "_cy"]
-    others = laid_out.withColumnsRenamed({c: f"o_{c}" for c in laid_out.columns if c not in keys})
 
-    def side(ax, ay, bx, by, px, py) -> Column:
-        """Which side of the line a→b the point p is on."""
-        a, b, p = (F.col(ax), F.col(ay)), (F.col(bx), F.col(by)), (F.col(px), F.col(py))
-        return F.signum((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]))
+def drop_misnested(edges: DataFrame) -> DataFrame:
+    """Leaves out regions with a hole that isn't inside its shell, holes inside each other, or polygons that overlap.
 
-    mine, theirs = ("x1", "y1", "x2", "y2"), ("o_x1", "o_y1", "o_x2", "o_y2")
-    crosses = (side(*mine, *theirs[:2]) * side(*mine, *theirs[2:]) < 0) & (
-        side(*theirs, *mine[:2]) * side(*theirs, *mine[2:]) < 0
+    Edges must not cross. The middle of every edge and one point inside every ring are looked up in the region's other rings
+    (`plans.cells`): those of a hole must be in or on its shell and in no other hole, those of a polygon in no other polygon, but an
+    island in a hole is one. Rings may touch. Two polygons of a region that only share a border are kept.
+    """
+    ring = ["region_id", "poly_id", "ring_id"]
+    boxes = edges.groupBy(*ring).agg(
+        F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"),
+        F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north"),
+    )
+    several = boxes.groupBy("region_id").count().where("count > 1").select("region_id")
+    some = materialize(edges.join(several, "region_id", "left_semi").select(*ring, "seq", "x1", "y1", "x2", "y2"), "rings")
+    shapes = cover(some, ring)
+    if shapes is None:
+        return edges
+    middles = some.selectExpr("region_id", f"struct({', '.join(ring)}, seq) AS _pid", "(x1 + x2) / 2 AS _x", "(y1 + y2) / 2 AS _y")
+    polygon_points = _inner_points(some, ["region_id", "poly_id"]).withColumn("ring_id", F.lit(0))
+    hole_points = _inner_points(some.where("ring_id > 0"), ring)
+    inner = polygon_points.unionByName(hole_points).selectExpr("region_id", f"struct({', '.join(ring)}, -1 AS seq) AS _pid", "_x", "_y")
+    points = materialize(middles.unionByName(inner), "ring_points")
+    met = materialize(locate(points, shapes, ["region_id"]), "ring_hits")
+    other = met.selectExpr(
+        "_pid", "_pid.region_id", "_pid.poly_id", "_pid.ring_id", "shape.poly_id AS in_poly", "shape.ring_id AS in_ring", "inside", "`on`"
+    ).where("(inside OR `on`) AND (poly_id <> in_poly OR ring_id <> in_ring)")
+    in_shell = other.where("ring_id > 0 AND poly_id = in_poly AND in_ring = 0").select("_pid").distinct()
+    outside = points.where("_pid.ring_id > 0").join(in_shell, "_pid", "left_anti").select("region_id")
+    in_hole = other.where("ring_id > 0 AND poly_id = in_poly AND in_ring > 0 AND NOT `on`").select("region_id")
+    overlap = (
+        other.where("ring_id = 0 AND poly_id <> in_poly")
+        .groupBy("region_id", "_pid", "in_poly")
+        .agg(F.bool_or(F.expr("in_ring = 0 AND NOT `on`")).alias("deep"), F.bool_or(F.expr("in_ring > 0")).alias("lake"))
+        .where("deep AND NOT lake").select("region_id")
     )
-    once = F.struct("poly_id", "ring_id", "seq") < F.struct("o_poly_id", "o_ring_id", "o_seq")
-    invalid = laid_out.join(others, keys).where(once & crosses).select("region_id").distinct()
+    shells = boxes.where("ring_id = 0").drop("ring_id")
+    as_wide = boxes.where("ring_id > 0").join(shells, ["region_id", "poly_id", "west", "east", "south", "north"]).select("region_id")
+    invalid = outside.unionByName(in_hole).unionByName(overlap).unionByName(as_wide).distinct()
     return edges.join(invalid, "region_id", "left_anti").select(*edges.columns)
 
 
+def _inner_points(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _x, _y): a point inside each shape, between its lowest two heights and its first two edges there."""
+    heights = edges.selectExpr(*keys, "explode(array(y1, y2)) AS y")
+    lowest = heights.groupBy(*keys).agg(F.min("y").alias("lowest"))
+    lines = heights.join(lowest, keys).where("y > lowest").groupBy(*keys, "lowest").agg(F.min("y").alias("next"))
+    crossed = edges.join(lines.selectExpr(*keys, "(lowest + next) / 2 AS _y"), keys).where("(y1 > _y) <> (y2 > _y)").selectExpr(
+        *keys, "_y", f"{x_at('_y')} AS x"
+    )
+    first = crossed.groupBy(*keys).agg(F.min("x").alias("first"))
+    return crossed.join(first, keys).where("x > first").groupBy(*keys, "_y", "first").agg(F.min("x").alias("second")).selectExpr(
+        *keys, "(first + second) / 2 AS _x", "_y"
+    )
+
+
 def region_names(edges: DataFrame) -> DataFrame:
     """One row per region with the keys used to match it to reference districts."""
     return edges.select("region_id", "region_name", "parent_name").distinct().select(
