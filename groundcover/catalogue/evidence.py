@@ -195,9 +195,8 @@ def span_search(spark, folder):
     embedded = spans.embed_spans(built).where(~F.col("embedding_failed"))
     names = list(config.CAPABILITY_QUERIES)
     vectors = dict(zip(names, spans.hashed_words(list(config.CAPABILITY_QUERIES.values())), strict=True))
-    facts = embedded.select("span_id", "unique_id", "field_source", F.length("text_span").alias("chars"))
-    found = retrieve.vector_topk(embedded, vectors, k=None)
-    return retrieve.attach_spans(found, facts).select(
+    facts = embedded.select("span_id", "unique_id", "field_source", F.length("text_span").alias("chars"), "embedding")
+    return retrieve.vector_topk(facts, vectors, k=None, carry=["unique_id", "field_source", "chars"]).select(
         "capability", "span_id", "unique_id", "field_source", F.round("score", 6).alias("score"), "chars"
     )
 

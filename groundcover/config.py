@@ -75,6 +75,9 @@ TOP_K = 4000
 CHUNK_ITEMS = 4
 SPAN_CHARS = 2000
 EMBED_BATCH = 10
+EMBED_WORKERS = 6
+EMBED_SECONDS = 20
+EMBED_RETRY_SECONDS = 60
 LISTING_LIMIT = 500
 PREVIEW_MARKERS = 72
 EARTH_RADIUS_KM = 6371.0

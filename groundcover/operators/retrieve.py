@@ -24,12 +24,13 @@ def vector_topk(
     key: str = "span_id",
     vector: str = "embedding",
     query: str = "capability",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """The `k` best spans per query: (query, key, score, rank); equal scores by key.
+    """The `k` best spans per query: (query, key, the `carry` columns, score, rank); equal scores by key.
 
     Each task multiplies Arrow batches with the few query vectors, decides equal scores by
     key like the final ranking, and passes on its own best `k` per query once, at its end. Only
-    keys and scores are shuffled. `k=None` scores every span and ranks none (no `rank` column).
+    keys, scores and `carry` are shuffled. `k=None` scores every span and ranks none (no `rank` column).
     NULL vectors are not searched.
     Metrics: dot, cosine, l2_sim = 1 / (1 + squared distance).
     """
@@ -39,11 +40,11 @@ def vector_topk(
     if not names:
         raise ValueError("vector_topk needs at least one query vector")
     wanted = np.asarray([queries[n] for n in names], dtype="float64")
-    key_type = spans.schema[key].dataType
+    kept = [key, *carry]
     schema = T.StructType(
         [
             T.StructField(query, T.StringType()),
-            T.StructField(key, key_type),
+            *[T.StructField(c, spans.schema[c].dataType) for c in kept],
             T.StructField("score", T.DoubleType()),
         ]
     )
@@ -58,43 +59,43 @@ def vector_topk(
             values = np.divide(values, norms, out=np.zeros_like(values), where=norms > 0)
         return values
 
-    def table(i: int, keys: pa.Array, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([names[i]] * len(keys), pa.string()), keys, pa.array(values)], names=[query, key, "score"]
-        )
+    def table(i: int, rows: pa.Table, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        named = pa.array([names[i]] * len(values), pa.string())
+        yield from pa.table([named, *rows.columns, pa.array(values)], [query, *kept, "score"]).to_batches()
 
-    def best_of(keys: pa.Array, values: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    def best_of(rows: pa.Table, values: np.ndarray) -> tuple[pa.Table, np.ndarray]:
         order = pc.sort_indices(
-            pa.table({"key": keys, "score": values}), sort_keys=[("score", "descending"), ("key", "ascending")]
+            pa.table({"key": rows[key], "score": values}), sort_keys=[("score", "descending"), ("key", "ascending")]
         )[:k]
-        return keys.take(order), values[order.to_numpy()]
+        return rows.take(order), values[order.to_numpy()]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[pa.Array, np.ndarray] | None] = [None] * len(names)
+        best: list[tuple[pa.Table, np.ndarray] | None] = [None] * len(names)
         for batch in batches:
-            vectors = batch.column(1)
+            vectors = batch.column(0)
             if len(vectors) == 0:
                 continue
-            rows = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
-            rows = rows.reshape(len(vectors), wanted.shape[1])
+            numbers = vectors.flatten().to_numpy(zero_copy_only=False).astype("float64")
+            numbers = numbers.reshape(len(vectors), wanted.shape[1])
+            whole = pa.table(batch.columns[1:], kept)
             for i, target in enumerate(wanted):
-                keys, values = batch.column(0), values_of(rows, target)
+                rows, values = whole, values_of(numbers, target)
                 if k is None:
-                    yield table(i, keys, values)
+                    yield from table(i, rows, values)
                     continue
                 if best[i] is not None:
-                    if len(best[i][0]) == k:
+                    if len(best[i][1]) == k:
                         # Rows under the last one kept can't enter; equal ones are settled by key.
                         near = values >= best[i][1][-1]
-                        keys, values = keys.filter(pa.array(near)), values[near]
-                    keys = pa.concat_arrays([best[i][0], keys])
+                        rows, values = rows.filter(pa.array(near)), values[near]
+                    rows = pa.concat_tables([best[i][0], rows])
                     values = np.concatenate([best[i][1], values])
-                best[i] = best_of(keys, values)
+                best[i] = best_of(rows, values)
         for i, found in enumerate(best):
-            if found is not None and len(found[0]):
-                yield table(i, *found)
+            if found is not None and len(found[1]):
+                yield from table(i, *found)
 
-    searched = spans.where(F.col(vector).isNotNull()).select(key, vector)
+    searched = spans.where(F.col(vector).isNotNull()).select(vector, *kept)
     scored = searched.mapInArrow(score, schema)
     if k is None:
         return scored
@@ -102,9 +103,9 @@ def vector_topk(
 
 
 def attach_spans(matches: DataFrame, spans: DataFrame, key: str = "span_id") -> DataFrame:
-    """Span columns for the retrieved rows; `spans` is unique on the key.
+    """Span columns for the retrieved rows; `spans` is a written table, unique on the key.
 
-    The matched keys go to the spans first: a semi-join that Spark broadcasts while they are few,
+    Columns of the searched rows themselves come along with `carry` of `vector_topk`, without any join; this is for others. The matched keys go to the spans first: a semi-join that Spark broadcasts while they are few,
     so texts that nobody asked for are not shuffled.
     """
     wanted = spans.join(matches.select(key).distinct(), key, "left_semi")

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import re
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from hashlib import md5
+from queue import Empty, SimpleQueue
+from threading import Thread
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
 
 from groundcover import config
 
@@ -114,9 +118,9 @@ def spans_by(df: DataFrame, granularity: str, **options) -> DataFrame:
     return GRANULARITIES[granularity](df, **options)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=500_000)
 def _place(word: str, dim: int) -> int:
-    return int(md5(word.encode()).hexdigest()[:8], 16) % dim
+    return int.from_bytes(md5(word.encode()).digest()[:4], "big") % dim
 
 
 def hashed_words(texts: list[str], dim: int = 64) -> list[list[float]]:
@@ -124,65 +128,99 @@ def hashed_words(texts: list[str], dim: int = 64) -> list[list[float]]:
 
     Words are split at blanks, tabs and line ends; the place of a word follows from its md5.
     """
-    out = np.zeros((len(texts), dim), dtype="float64")
-    for row, text in enumerate(texts):
-        for word in re.split(r"[ \t\r\n]+", text.lower()):
-            if word:
-                out[row, _place(word, dim)] += 1.0
+    words = [[w for w in _BLANKS.split(text.lower()) if w] for text in texts]
+    places = np.fromiter((_place(w, dim) for line in words for w in line), np.int64)
+    rows = np.repeat(np.arange(len(texts)), [len(line) for line in words])
+    out = np.bincount(rows * dim + places, minlength=len(texts) * dim).reshape(len(texts), dim).astype("float64")
     length = np.sqrt((out**2).sum(axis=1, keepdims=True))
     return (out / np.where(length == 0, 1.0, length)).tolist()
 
 
-def embed_spans(
-    spans: DataFrame,
-    embedder: Embedder = hashed_words,
+_BLANKS = re.compile(r"[ \t\r\n]+")
+
+
+def _attempt(embedder: Embedder, chunks: list[list[str]], workers: int, limit: float) -> list[list | None]:
+    """The vectors of each chunk, None for one that failed, gave another number of vectors or took longer than `limit` seconds.
+
+    Up to `workers` calls run at a time. A call that hangs can't be stopped, but it is left behind on its own thread (which
+    doesn't keep the process alive) and its place goes to the next chunk.
+    """
+    done: SimpleQueue = SimpleQueue()
+    results: list[list | None] = [None] * len(chunks)
+    waiting, running = deque(range(len(chunks))), {}
+
+    def call(i: int) -> None:
+        try:
+            vectors = list(embedder(chunks[i]))
+            done.put((i, vectors if len(vectors) == len(chunks[i]) else None))
+        except Exception:  # noqa: BLE001 - any failure of the callable is tried again
+            done.put((i, None))
+
+    while waiting or running:
+        while waiting and len(running) < workers:
+            i = waiting.popleft()
+            running[i] = time.monotonic() + limit
+            Thread(target=call, args=(i,), daemon=True).start()
+        try:
+            i, vectors = done.get(timeout=max(0.0, min(running.values()) - time.monotonic()))
+        except Empty:
+            now = time.monotonic()
+            running = {i: end for i, end in running.items() if end > now}
+            continue
+        if running.pop(i, None) is not None:  # else its time was over
+            results[i] = vectors
+    return results
+
+
+def embed_texts(
+    texts: list[str],
+    embedder: Embedder,
     batch: int = config.EMBED_BATCH,
+    workers: int = config.EMBED_WORKERS,
+    limit: float = config.EMBED_SECONDS,
+    patience: float = config.EMBED_RETRY_SECONDS,
     retry_wait: float = 0.0,
-    text: str = "text_span",
-) -> DataFrame:
-    """Adds `embedding` and `embedding_failed`.
+) -> list:
+    """One vector per text, None where the embedder gives none.
 
-    Texts go to the embedder in small batches inside the tasks. A failing batch is tried
-    once more, then text by text; a text that still fails keeps a NULL vector and the
-    flag, so it can never be searched by accident.
+    Small batches side by side first, each within `limit` seconds; those that failed once more, one after another after
+    `retry_wait` and within `patience` seconds; then text by text, so that a text the embedder fails or hangs on costs only itself.
     """
-    schema = T.StructType(
-        [
-            *spans.schema.fields,
-            T.StructField("embedding", T.ArrayType(T.FloatType())),
-            T.StructField("embedding_failed", T.BooleanType()),
-        ]
-    )
+    chunks = [texts[i : i + batch] for i in range(0, len(texts), batch)]
+    found = _attempt(embedder, chunks, workers, limit)
+    if retry_wait and None in found:
+        time.sleep(retry_wait)
+    for i, chunk in enumerate(chunks):
+        if found[i] is None:
+            found[i] = _attempt(embedder, [chunk], 1, patience)[0]
+        if found[i] is None:
+            alone = _attempt(embedder, [[one] for one in chunk], 1, limit)
+            found[i] = [vectors[0] if vectors else None for vectors in alone]
+    return [vector for vectors in found for vector in vectors]
+
+
+def embed_spans(spans: DataFrame, embedder: Embedder = hashed_words, text: str = "text_span", **calls) -> DataFrame:
+    """Adds `embedding` and `embedding_failed`; `calls` are the options of `embed_texts`.
+
+    Only the text goes to Python. A text that fails all attempts keeps a NULL vector and the flag, so it can never be searched by
+    accident; a NULL text isn't sent and counts as failed.
+    """
+
+    @pandas_udf("struct<embedding: array<float>, embedding_failed: boolean>")
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            vectors = np.full(len(series), None, object)
+            sent = np.flatnonzero(series.notna())
+            for i, vector in zip(sent, embed_texts(series.iloc[sent].tolist(), embedder, **calls)):
+                vectors[i] = vector
+            yield pd.DataFrame({"embedding": vectors, "embedding_failed": [v is None for v in vectors]})
 
-    def embed(texts: list[str]) -> list:
-        for attempt in range(2):
-            try:
-                return list(embedder(texts))
-            except Exception:  # noqa: BLE001 - any failure of the callable is retried
-                if attempt == 0 and retry_wait:
-                    time.sleep(retry_wait)
-        singles = []
-        for one in texts:
-            try:
-                singles.append(list(embedder([one]))[0])
-            except Exception:  # noqa: BLE001
-                singles.append(None)
-        return singles
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            texts = frame[text].tolist()
-            vectors: list = []
-            for start in range(0, len(texts), batch):
-                vectors.extend(embed(texts[start : start + batch]))
-            yield frame.assign(
-                embedding=vectors, embedding_failed=[vector is None for vector in vectors]
-            )
-
-    return spans.mapInPandas(run, schema)
+    # Not deterministic: neither repeated by the optimizer, as for a filter on the flag, nor moved.
+    found = spans.withColumn("_embedded", embed.asNondeterministic()(text))
+    return found.select(*spans.columns, "_embedded.embedding", "_embedded.embedding_failed")
 
 
 __all__ = [
-    "GRANULARITIES", "SPAN_COLUMNS", "build_spans", "embed_spans", "hashed_words",
+    "GRANULARITIES", "SPAN_COLUMNS", "build_spans", "embed_spans", "embed_texts", "hashed_words",
     "spans_by", "spans_chunked", "spans_simple", "truncate_span",
 ]

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +61,55 @@ def test_embedding_failures_keep_null_vectors(spark):
     assert found.count() == 5
 
 
+def test_hanging_and_failing_calls_cost_one_text(spark):
+    """A call that never returns, one that fails, one that answers short: the others of their batches get vectors, the task goes on."""
+
+    def difficult(texts):
+        if "hang" in texts:
+            time.sleep(3600)
+        if "fail" in texts:
+            raise RuntimeError("no")
+        return [[float(len(t)), 1.0] for t in texts][: 1 if "short" in texts else None]
+
+    texts = ["hang" if i == 7 else "fail" if i == 23 else "short" if i in (31, 32) else None if i == 40 else "x" * i for i in range(50)]
+    df = spark.createDataFrame([(i, t, i * 2) for i, t in enumerate(texts)], "span_id int, text_span string, extra int").coalesce(1)
+    started = time.time()
+    out = spans.embed_spans(df, difficult, batch=5, limit=0.5, patience=0.5)
+    assert out.columns == ["span_id", "text_span", "extra", "embedding", "embedding_failed"]
+    rows = {r["span_id"]: r for r in out.collect()}
+    assert time.time() - started < 30
+    assert len(rows) == 50 and all(r["extra"] == 2 * i for i, r in rows.items())
+    assert {i for i, r in rows.items() if r["embedding_failed"]} == {7, 23, 40}
+    assert all((r["embedding"] is None) == r["embedding_failed"] for r in rows.values())
+    assert all(list(r["embedding"]) == [float(len(texts[i])), 1.0] for i, r in rows.items() if r["embedding"])
+
+
+def test_calls_run_side_by_side_and_in_order():
+    running, most = [], []
+
+    def slow(texts):
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.05 if "0" in texts else 0.01)
+        running.pop()
+        return [[float(t)] for t in texts]
+
+    texts = [str(i) for i in range(200)]
+    assert spans.embed_texts(texts, slow, batch=10, workers=6) == [[float(i)] for i in range(200)]
+    assert 2 <= max(most) <= 6
+    assert spans.embed_texts([], slow) == []
+
+
+def test_a_filter_on_the_flag_embeds_once(spark):
+    df = spark.createDataFrame([(str(i), "x") for i in range(10)], "span_id string, text_span string")
+    found = spans.embed_spans(df).where("NOT embedding_failed").select("span_id", "embedding", "text_span")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and found.count() == 10
+    carried = retrieve.vector_topk(found, {"q": [1.0] + [0.0] * 63}, 4, "dot", carry=["text_span"])
+    assert carried.columns == ["capability", "span_id", "text_span", "score", "rank"]
+    assert [tuple(r)[1:3] for r in carried.orderBy("rank").collect()] == [(str(i), "x") for i in range(4)]
+
+
 @pytest.mark.parametrize("k", [3, 1200])
 def test_vector_topk_ties_and_nulls(spark, k):
     data = [(f"s{i:05d}", [float(i % 50), 1.0]) for i in range(3000)] + [("null", None)]
