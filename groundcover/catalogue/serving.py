@@ -13,6 +13,7 @@ from groundcover.operators import coverage, explain, gates, planner, rules, serv
 from groundcover.plans.skew import skew_safe_join
 from groundcover.session import scratch_path
 from groundcover.sources import publish as sinks
+from groundcover.sources import versions
 from groundcover.sources.tables import load_table
 from groundcover.streaming import planner as stream
 
@@ -785,8 +786,7 @@ def fold_scenarios_stream(spark, folder):
     shaped = spark.sql(inputs.PLANNER_EVENTS, events=events)
     log = scratch_path(spark, "planner-log")
     stream.append_events(shaped, log, scratch_path(spark, "planner-offsets"))
-    out = planner.scenario_items(stream.read_events(spark, log))
-    return out.withColumn("ts", F.col("ts").cast("string"))
+    return stream.read_items(spark, log).withColumn("ts", F.col("ts").cast("string"))
 
 
 SHORTLISTS = """
@@ -825,6 +825,18 @@ def publish_evidence(spark, folder):
     return sinks.publish_evidence(rows, scratch_path(spark, "evidence"))
 
 
+@query(
+    "publish_version",
+    "SELECT c_custkey, upper(c_mktsegment) AS segment, c_acctbal * 2 AS doubled FROM customer",
+)
+def publish_version(spark, folder):
+    """Two versions of one table, the second made of the first with other columns."""
+    path = scratch_path(spark, "versions")
+    first = versions.publish_version(load_table(spark, folder, "customer"), path)
+    changed = first.select("c_custkey", F.upper("c_mktsegment").alias("segment"), (F.col("c_acctbal") * 2).alias("doubled"))
+    return versions.publish_version(changed, path)
+
+
 @query(
     "publish_self_read",
     "SELECT c_custkey, c_name, lower(c_mktsegment) AS segment, c_acctbal * 2 AS doubled FROM customer",

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from groundcover import config, session
 from groundcover.operators import clean, coverage, gates, lookup, planner, serve
 from groundcover.operators import corroborate as web
 from groundcover.sources import publish as sinks
+from groundcover.sources import versions
 from groundcover.sources.tables import load_table
 from groundcover.streaming import planner as stream
 
@@ -175,6 +177,88 @@ def test_stream_equals_batch_in_any_order(spark, tmp_path, rows):
     assert rows(planner.scenario_list(log)) == rows(planner.scenario_list(events))
 
 
+def _scenario_events(n, seed):
+    rng = random.Random(seed)
+    start = dt.datetime(2024, 1, 1)
+    out = []
+    for i in range(n):
+        scenario, kind = f"s{rng.choice([0, 0, 0, *range(40)])}", rng.choice(["create", "note", "shortlist", "shortlist", "bad"])
+        ts = start + dt.timedelta(minutes=rng.randrange(n // 2))
+        out.append((scenario, i, ts, kind, f"name {i}", f"F{rng.randrange(9)}", f"note {i}"))
+    return out
+
+
+def test_every_batch_leaves_the_whole_fold(spark, tmp_path, rows):
+    """Late, repeated and differing deliveries, a replayed batch, one that failed, and a second source."""
+    kind = "scenario_id string, event_id long, ts timestamp, kind string, name string, facility_id string, note string"
+    data = _scenario_events(400, 1)
+    first, second, late = data[200:], data[100:260], data[:120]
+    other = [(*r[:6], "another note") for r in data[40:60]]
+    log = str(tmp_path / "log")
+    seen = []
+    for batch_id, (source, part) in enumerate([("a", first), ("a", second), ("b", late), ("b", other)]):
+        batch = spark.createDataFrame(part, kind)
+        assert stream.apply_events(batch, batch_id, log, source, buckets=7)
+        assert not stream.apply_events(batch, batch_id, log, source, buckets=7)  # replayed
+        seen += part
+        kept = {}
+        for row in sorted(seen):
+            kept.setdefault((row[0], row[1]), row)
+        events = spark.createDataFrame(list(kept.values()), kind)
+        assert rows(stream.read_items(spark, log)) == rows(planner.scenario_items(events))
+        assert rows(stream.read_scenarios(spark, log)) == rows(planner.scenario_list(events))
+    assert rows(stream.read_events(spark, log), *events.columns) == rows(planner.valid_events(events), *events.columns)
+    broken = spark.createDataFrame(data[:5], kind).withColumn("note", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        stream.apply_events(broken, 9, log, "b")
+    assert rows(stream.read_items(spark, log)) == rows(planner.scenario_items(events))
+    assert spark.read.parquet(f"{log}/rejected").select("event_id").distinct().count() == sum(r[3] == "bad" for r in data)
+
+
+def test_a_batch_rewrites_only_what_it_touches(spark, tmp_path, rows):
+    kind = "scenario_id string, event_id long, ts timestamp, kind string, name string, facility_id string, note string"
+    data = _scenario_events(300, 2)
+    log = str(tmp_path / "log")
+    stream.apply_events(spark.createDataFrame(data, kind), 0, log, "a", buckets=16)
+    before = versions.read_pointer(spark, log)[1]["folders"]
+    more = [("s5", 1000, data[0][2], "note", None, "F1", "late note")]
+    stream.apply_events(spark.createDataFrame(more, kind), 1, log, "a")
+    after = versions.read_pointer(spark, log)[1]["folders"]
+    assert sum(before[b] != after[b] for b in after) == 1
+    events = spark.createDataFrame(data + more, kind)
+    assert rows(stream.read_items(spark, log)) == rows(planner.scenario_items(events))
+    one = stream.read_items(spark, log, "s5")
+    assert rows(one) == rows(planner.scenario_items(events.where("scenario_id = 's5'")))
+    assert len(one.inputFiles()) <= len(stream.read_items(spark, log).inputFiles()) / 4
+
+
+def test_a_reader_always_finds_a_whole_version(spark, tmp_path):
+    """Polled while other versions are published."""
+    from threading import Thread
+
+    path = str(tmp_path / "t")
+    versions.publish_version(spark.range(1000).withColumn("v", F.lit(0)), path)
+    seen, stop = [], []
+
+    def poll():
+        while not stop:
+            seen.append(versions.read_version(spark, path).agg(F.count("*"), F.min("v"), F.max("v")).first())
+
+    reader = Thread(target=poll)
+    reader.start()
+    for v in range(1, 6):
+        versions.publish_version(versions.read_version(spark, path).withColumn("v", F.lit(v)), path, kept=4)
+    stop.append(1)
+    reader.join()
+    assert len(seen) > 1 and all(n == 1000 and low == high for n, low, high in seen)
+    with pytest.raises(Exception, match="no"):
+        versions.publish_version(spark.range(3).select(F.raise_error(F.lit("no")).alias("id")), path)
+    assert versions.read_version(spark, path).select(F.max("v")).first()[0] == 5
+    with pytest.raises(RuntimeError, match="another writer"):
+        versions.write_pointer(spark, path, versions.read_pointer(spark, path)[0], {})
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v")]) == 4
+
+
 def test_self_overwrite_keeps_rows(spark, tmp_path):
     path = str(tmp_path / "t")
     sinks.publish(spark.range(100), path)
