@@ -383,45 +383,57 @@ def similar_links(prints: DataFrame, similarity: float, sets_of) -> DataFrame:
     shingles are compared (`sets_of` adds them to a table of `fp`). The tables are hashed in passes, each written before
     the next begins.
 
-    In the first round each print of a point is compared with one of them. Points whose prints are not all in one component
-    by then come again, and prints of different components are compared with more and more of their point, until
-    no pair of different components is left.
+    After each pass the pairs found are contracted to components, and later passes only compare prints of different ones: a group of
+    like texts is one component after the first pass, and its points give no pairs any more. In the first round each print of a
+    point is compared with one of them. Prints of points that hold more than that come again, and are compared with more and
+    more of their point, until no pair of different components is left.
     """
     n, centres = prints.count(), 1
+    comps = prints.select("fp", F.col("fp").alias("comp"))
     rest, size = prints.select("fp", "words", F.col("fp").alias("comp")), n
     tried, linked, sets = None, None, None
     while size:
         at_once = TABLES_AT_ONCE * max(1, min(TABLES // TABLES_AT_ONCE, n // size))
-        written = []
+        left_over = []
         for start in range(0, TABLES, at_once):
             met = _meetings(rest, size, True, slice(start, start + at_once), centres)
-            written.append(_materialized(met.distinct(), "meetings"))
-        met = reduce(DataFrame.union, written).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        met = _materialized(met.distinct(), "met")
-        fresh = met.where("a < b")
-        if tried is None:
-            tried = fresh
-        else:
-            fresh = _materialized(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-            tried = tried.union(fresh)
-        near = _materialized(_near_pairs(fresh, prints, similarity), "near")
-        nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("fp"), "fp", "left_anti")
-        more = _materialized(sets_of(nodes), "shingles")
-        sets = more if sets is None else sets.union(more)
-        found = _materialized(_similar_pairs(near, sets, similarity), "similar")
-        linked = found if linked is None else linked.union(found)
-        left_over = met.where("a = b").select(F.col("a").alias("fp"))
-        size = left_over.count()
+            met = _materialized(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+            left_over.append(met.where("a = b").select(F.col("a").alias("fp")))
+            fresh = met.where("a < b")
+            if tried is None:
+                tried = fresh
+            else:
+                fresh = _materialized(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
+                tried = tried.union(fresh)
+            near = _materialized(_near_pairs(fresh, prints, similarity), "near")
+            nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+            if sets is not None:
+                nodes = nodes.join(sets.select("fp"), "fp", "left_anti")
+            more = _materialized(sets_of(nodes), "shingles")
+            sets = more if sets is None else sets.union(more)
+            found = _materialized(_similar_pairs(near, sets, similarity), "similar")
+            linked = found if linked is None else linked.union(found)
+            if not found.isEmpty():
+                comps = _contracted(comps, found)
+                rest = _materialized(rest.select("fp", "words").join(comps, "fp"), "rest")
+        again = reduce(DataFrame.union, left_over).distinct()
+        size = again.count()
         if size:
-            roots = components(linked).withColumnRenamed("node", "fp")
-            rest = prints.select("fp", "words").join(left_over, "fp", "left_semi").join(roots, "fp", "left")
-            rest = _materialized(rest.select("fp", "words", F.coalesce("root", "fp").alias("comp")), "rest")
+            rest = _materialized(rest.join(again, "fp", "left_semi"), "rest")
         centres *= CENTRES
     return prints.sparkSession.createDataFrame([], "a long, b long") if linked is None else linked
 
 
+def _contracted(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """The components (`fp`, `comp`) after these links."""
+    ends = found.join(comps.select(F.col("fp").alias("a"), F.col("comp").alias("x")), "a").join(
+        comps.select(F.col("fp").alias("b"), F.col("comp").alias("y")), "b"
+    )
+    roots = components(ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    merged = comps.join(roots.withColumnRenamed("node", "comp"), "comp", "left")
+    return _materialized(merged.select("fp", F.coalesce("root", "comp").alias("comp")), "comps")
+
+
 def shingle_column(text: Column, width: int, seed: int = SEED) -> Column:
     @pandas_udf("array<long>")
     def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
