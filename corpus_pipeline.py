@@ -1,15 +1,13 @@
 """A training corpus from raw documents: quality, one of each near duplicate, no benchmark
 passages, no secrets, token ids. Every stage works on all rows that its predecessor kept."""
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundcover.llm import bpe, decontaminate, quality, secret_scan, simhash
 from groundcover.llm.common import free_name
-from groundcover.session import scratch_root
+from groundcover.session import materialize
 from groundcover.sources.tables import load_table
 
 
@@ -22,8 +20,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id: five-word shingles, similarity of 0.8 or more."""
-    return simhash.one_of_each(docs, width=5, similarity=0.8)
+    """One document of each group, the one with the smallest id: four-word shingles, at most 4 differing bits."""
+    return simhash.one_of_each(docs, width=simhash.WIDTH)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +53,7 @@ ORACLE_SQL = None  # a trained classifier and a tokenizer; tests compare with br
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written to the shared folder and read again."""
-    folder = f"{scratch_root(spark)}/corpus-{uuid.uuid4().hex}"
     docs = load_table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = materialize(stage(spark, docs, sf_dir), f"corpus-{number}")
     return docs

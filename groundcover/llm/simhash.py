@@ -14,22 +14,17 @@ point where not all members are within 4 bits is resolved by its true variants.
 about BUCKET_ENTRIES variants whatever the input, and one point holds at most 2081 fingerprints, so no
 task depends on the size of a group of copies.
 
-4 of 64 bits is a similarity near 0.95. For a lower one (`similarity`), wide prints of TABLES parts are
-hashed part by part in the same way: every part emits its variants within 1 of PART_BITS bits, prints that
-meet are compared in all bits, and of those near enough the distinct shingles are compared exactly (by binomial
-arithmetic, of texts at 0.8 about nine in ten meet directly, at 0.82 19 in 20). There a point has no bound of its own:
-all different prints that agree in a part within 1 bit go to one task.
-
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles are `width`
 consecutive words (repeats included) joined by a blank; fewer words give one shingle; no words
 (NULL and empty texts) give fingerprint 0, linked like any other. Repeated rows and equal
-texts share a fingerprint. A component is named by its smallest doc_id; NULL ids never name one.
+texts share a fingerprint. A component is named by its smallest doc_id (of any type that has an order); NULL ids never name one.
+
+4 of 64 bits is a similarity near 0.95; copies changed more than that are another operator's work.
 """
 
 import math
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -51,7 +46,6 @@ PLACE_BITS = 13
 HASHED = 4096  # shingles at a time
 HASH_SLACK = 6
 BUCKET_ENTRIES = 4_000_000
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> tuple[int, Iterator[np.ndarray]]:
@@ -74,34 +68,14 @@ def shingle_hashes(text: str, width: int, seed: int) -> tuple[int, Iterator[np.n
     return len(starts), parts()
 
 
-def _majority(count: int, parts: Iterator[np.ndarray]) -> bytes:
-    """Bits set in over half of the rows of 64-bit numbers, most significant first."""
-    ones: np.ndarray | int = np.int64(0)
-    for part in parts:
-        rows = part.reshape(len(part), -1).astype(">u8").view(np.uint8)
-        ones = ones + np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.uint16)
-    return np.packbits(ones * 2 > count).tobytes()
-
-
 def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
+    """Bits set in over half of the shingles' hashes; 0 without words."""
     count, parts = shingle_hashes(text, width, seed)
-    return int.from_bytes(_majority(count, parts), "big") if count else 0
-
-
-def shingle_set(text: str, width: int, seed: int = SEED) -> np.ndarray:
-    """Sorted hashes of a text's distinct shingles."""
-    _, parts = shingle_hashes(text, width, seed)
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
-
-
-def wide_print(text: str, width: int, seed: int = SEED) -> np.ndarray:
-    """WIDE_WORDS numbers of 64 bits each: the same vote over as many hashes of each distinct shingle."""
-    shingles = shingle_set(text, width, seed)
-    if not len(shingles):
-        return np.zeros(WIDE_WORDS, np.uint64)
-    parts = (shingles[i : i + HASHED] for i in range(0, len(shingles), HASHED))
-    votes = _majority(len(shingles), (_scrambled(part[:, None] + _STREAMS) for part in parts))
-    return np.frombuffer(votes, ">u8").astype(np.uint64)
+    ones = np.zeros(64, np.int64)
+    for part in parts:
+        rows = part.astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(rows, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > count).tobytes(), "big")
 
 
 def fingerprint_column(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
@@ -128,32 +102,6 @@ MASKS = _masks()
 VARIANTS = len(MASKS)
 
 
-# A wide print has TABLES parts of PART_BITS bits. Texts of similarity 0.8 differ in about 15 % of the bits, so
-# somewhere two parts agree within 2 bits; all bits together then tell how similar the texts are.
-TABLES, PART_BITS = 48, 40
-TABLES_AT_ONCE = 12  # one pass after another, so neither memory nor disk ever holds the variants of all tables
-CENTRES = 16  # of a point in the second round, that many times more in each round after it
-DEVIATIONS = 4  # of the differing bits, above what a similarity makes them on average
-WIDE_WORDS = TABLES * PART_BITS // 64
-PART_MASKS = np.array([0, *(1 << i for i in range(PART_BITS))], np.uint64)
-_STREAMS = np.arange(1, WIDE_WORDS + 1, dtype=np.uint64) * _ODD
-
-
-def _scrambled(numbers: np.ndarray) -> np.ndarray:
-    """A well-mixed one-to-one image of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        numbers = (numbers ^ (numbers >> np.uint64(32))) * _ODD
-        numbers = (numbers ^ (numbers >> np.uint64(29))) * _ODD
-        return numbers ^ (numbers >> np.uint64(32))
-
-
-def parts_of(wide: np.ndarray) -> np.ndarray:
-    """(n, TABLES): the parts of wide prints (n, WIDE_WORDS), each with the number of its table above its bits."""
-    bits = np.unpackbits(wide.astype(">u8").view(np.uint8), axis=1).reshape(len(wide), TABLES, PART_BITS)
-    values = bits.astype(np.uint64) @ (np.uint64(1) << np.arange(PART_BITS, dtype=np.uint64))
-    return values | np.arange(TABLES, dtype=np.uint64) << np.uint64(PART_BITS)
-
-
 def _mixed(points: np.ndarray, hash_bits: int) -> np.ndarray:
     """The top `hash_bits` bits of a hash of 64-bit points."""
     with np.errstate(over="ignore"):
@@ -186,13 +134,12 @@ def _unpack(first: int, width: int, low: bytes, top: bytes) -> np.ndarray:
 PACKED = "bucket int, first long, width int, low binary, top binary, prints binary"
 
 
-def _variants(prints: np.ndarray, points: np.ndarray, masks: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Packed rows of the variants of one block's `points` (n, tables), a few buckets at a time."""
-    entries = np.empty((points.shape[1], len(masks), len(prints)), np.uint64)
+def _variants(prints: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """Packed rows of the variants of one block, a few buckets at a time."""
+    entries = np.empty((VARIANTS, len(prints)), np.uint64)
     place = np.arange(len(prints), dtype=np.uint64)
-    for table, column in enumerate(points.T):
-        for i, mask in enumerate(masks):
-            entries[table, i] = _mixed(column ^ mask, hash_bits) << np.uint64(PLACE_BITS) | place
+    for i, mask in enumerate(MASKS):
+        entries[i] = _mixed(prints ^ mask, hash_bits) << np.uint64(PLACE_BITS) | place
     entries = entries.ravel()
     entries.sort()
     edges = [((b << hash_bits) // buckets) << PLACE_BITS for b in range(1, buckets)]
@@ -215,27 +162,19 @@ def _variants(prints: np.ndarray, points: np.ndarray, masks: np.ndarray, hash_bi
         yield pd.DataFrame(rows, columns=["bucket", "first", "width", "low", "top", "prints"])
 
 
-def _packer(hash_bits: int, buckets: int, wide: bool = False, tables: slice = slice(None)):
-    masks, kept = (PART_MASKS, 2) if wide else (MASKS, 1)  # wide prints travel with their component
-
-    def points(prints: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
-        return parts_of(np.stack(batch["words"]).view(np.uint64))[:, tables] if wide else prints[:, None]
-
+def _packer(hash_bits: int, buckets: int):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            prints = batch["fp"].to_numpy(np.int64).view(np.uint64)
-            carried = batch[["fp", "comp"][:kept]].to_numpy(np.int64).view(np.uint64)
-            held.append(np.concatenate([carried, points(prints, batch)], axis=1))
+            held.append(batch["fp"].to_numpy(np.int64).view(np.uint64))
             size += len(batch)
             while size >= 2 * BLOCK:
-                rows = np.concatenate(held)
-                held, size = [rows[BLOCK:]], size - BLOCK
-                yield from _variants(rows[:BLOCK, :kept].copy(), rows[:BLOCK, kept:], masks, hash_bits, buckets)
+                prints = np.concatenate(held)
+                held, size = [prints[BLOCK:]], size - BLOCK
+                yield from _variants(prints[:BLOCK], hash_bits, buckets)
         if size:
-            rows = np.concatenate(held)
-            yield from _variants(rows[:, :kept].copy(), rows[:, kept:], masks, hash_bits, buckets)
+            yield from _variants(np.concatenate(held), hash_bits, buckets)
 
     return pack
 
@@ -266,221 +205,55 @@ def _stars(hashes: np.ndarray, prints: np.ndarray, hash_bits: int) -> tuple[np.n
     return np.concatenate(left), np.concatenate(right)
 
 
-def _pairs(hashes: np.ndarray, prints: np.ndarray, comps: np.ndarray, centres: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of prints that meet in one hash, each with the first `centres` of other components, those of components with
-    few prints there coming first; and (print, print) for all in a hash where pairs are left over."""
-    ordered = np.lexsort((prints, comps, hashes))
-    hashes, prints, comps = hashes[ordered], prints[ordered], comps[ordered]
-    once = np.r_[True, (hashes[1:] != hashes[:-1]) | (prints[1:] != prints[:-1])]
-    hashes, prints, comps = hashes[once], prints[once], comps[once]
-    runs = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (comps[1:] != comps[:-1])])
-    lengths = np.diff(np.r_[runs, len(hashes)])
-    ordered = np.lexsort((prints, comps, np.repeat(lengths, lengths), hashes))
-    hashes, prints, comps = hashes[ordered], prints[ordered], comps[ordered]
-    begins = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-    sizes = np.diff(np.r_[begins, len(hashes)])
-    start = np.repeat(begins, sizes)
-    place = np.arange(len(hashes)) - start
-    held, rows = np.empty((0, 2), np.uint64), np.arange(len(hashes))
-    for j in range(min(centres, int(sizes.max(initial=1)) - 1)):
-        rows = rows[place[rows] > j]
-        centre = start[rows] + j
-        other = comps[rows] != comps[centre]
-        pair = np.stack([prints[centre[other]], prints[rows[other]]], axis=1)
-        pair.sort(axis=1)
-        held = np.unique(np.concatenate([held, pair]), axis=0)
-    left = np.zeros(len(hashes), bool)
-    left[1:] = (place[1:] > centres) & (comps[1:] != comps[:-1])
-    some = np.repeat(np.logical_or.reduceat(left, begins), sizes) if len(begins) else left
-    return np.r_[held[:, 0], prints[some]], np.r_[held[:, 1], prints[some]]
-
-
-def _linker(hash_bits: int, wide: bool = False, centres: int = 1):
+def _linker(hash_bits: int):
     def link(group: pd.DataFrame) -> pd.DataFrame:
         hashes, prints = [], []
         for first, width, low, top, used in zip(*(group[c] for c in ("first", "width", "low", "top", "prints"))):
             entries = _unpack(first, width, low, top)
             hashes.append(entries >> np.uint64(PLACE_BITS))
             places = (entries & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-            prints.append(np.frombuffer(used, np.uint64).reshape(-1, 2 if wide else 1)[places])
+            prints.append(np.frombuffer(used, np.uint64)[places])
         hashes, prints = np.concatenate(hashes), np.concatenate(prints)
         ordered = np.sort(hashes)
         met = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         if not len(met):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         meets = met[np.minimum(np.searchsorted(met, hashes), len(met) - 1)] == hashes
-        met_hashes, met_prints = hashes[meets], prints[meets]
-        first = met_prints[:, 0]
-        left, right = _pairs(met_hashes, first, met_prints[:, 1], centres) if wide else _stars(met_hashes, first, hash_bits)
-        links = pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)})
-        return links.drop_duplicates()
+        left, right = _stars(hashes[meets], prints[meets], hash_bits)
+        return pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)}).drop_duplicates()
 
     return link
 
 
-def _meetings(prints: DataFrame, n: int, wide: bool, tables: slice = slice(None), centres: int = 1) -> DataFrame:
-    """(a, b) of fingerprints that meet in a variant (of these tables); `n` of them in all."""
-    variants = len(range(TABLES)[tables]) * len(PART_MASKS) if wide else VARIANTS
-    hash_bits = min(50, max(16, (n * variants).bit_length() + HASH_SLACK))
-    buckets = max(1, math.ceil(n * variants / BUCKET_ENTRIES))
-    blocks = prints.repartition(max(1, math.ceil(n / BLOCK)), "fp")
-    packed = blocks.mapInPandas(_packer(hash_bits, buckets, wide, tables), PACKED)
-    return packed.groupBy("bucket").applyInPandas(_linker(hash_bits, wide, centres), "a long, b long")
-
-
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): links that connect all distinct fingerprints (column `fp`) within NEAR bits.
 
     Each fingerprint within NEAR bits of another is connected to it, directly or through
     others that are truly linked.
     """
-    return _meetings(prints.select("fp"), prints.count(), False)
-
-
-def most_bits(similarity: float) -> int:
-    """Bits in which wide prints of texts of this similarity may differ."""
-    total = TABLES * PART_BITS
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(total * share + DEVIATIONS * math.sqrt(total * share * (1 - share)))
-
-
-def _materialized(df: DataFrame, label: str) -> DataFrame:
-    """`materialize`, with the shuffle files deleted as soon as the table is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
-    try:
-        return materialize(df, label)
-    finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
-
-
-def _near_pairs(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose wide prints differ in as few bits as `similarity` allows."""
-    both = pairs.join(prints.select(F.col("fp").alias("a"), F.col("words").alias("left")), "a").join(
-        prints.select(F.col("fp").alias("b"), F.col("words").alias("right")), "b"
-    )
-    differing = F.aggregate(
-        F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x
-    )
-    return both.where(differing <= most_bits(similarity)).select("a", "b")
-
-
-def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets (`fp`, `shingles`) have this Jaccard similarity or more."""
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("fp").alias("b"), F.col("shingles").alias("right")), "b"
-    )
-    common = F.size(F.array_intersect("left", "right"))
-    return both.where(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
-
-
-def similar_links(prints: DataFrame, similarity: float, sets_of) -> DataFrame:
-    """(a, b): wide prints (`fp`, `words`) that meet in a part and whose texts have this similarity.
-
-    Shingle sets of Jaccard similarity s have a cosine of 2s / (1 + s), and a bit differs with the
-    probability angle / pi; pairs over DEVIATIONS standard deviations above are put aside, of the others the
-    shingles are compared (`sets_of` adds them to a table of `fp`). The tables are hashed in passes, each written before
-    the next begins.
-
-    In the first round each print of a point is compared with one of them. Points whose prints are not all in one component
-    by then come again, and prints of different components are compared with more and more of their point, until
-    no pair of different components is left.
-    """
-    n, centres = prints.count(), 1
-    rest, size = prints.select("fp", "words", F.col("fp").alias("comp")), n
-    tried, linked, sets = None, None, None
-    while size:
-        at_once = TABLES_AT_ONCE * max(1, min(TABLES // TABLES_AT_ONCE, n // size))
-        written = []
-        for start in range(0, TABLES, at_once):
-            met = _meetings(rest, size, True, slice(start, start + at_once), centres)
-            written.append(_materialized(met.distinct(), "meetings"))
-        met = reduce(DataFrame.union, written).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        met = _materialized(met.distinct(), "met")
-        fresh = met.where("a < b")
-        if tried is None:
-            tried = fresh
-        else:
-            fresh = _materialized(fresh.join(tried, ["a", "b"], "left_anti"), "fresh")
-            tried = tried.union(fresh)
-        near = _materialized(_near_pairs(fresh, prints, similarity), "near")
-        nodes = near.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        if sets is not None:
-            nodes = nodes.join(sets.select("fp"), "fp", "left_anti")
-        more = _materialized(sets_of(nodes), "shingles")
-        sets = more if sets is None else sets.union(more)
-        found = _materialized(_similar_pairs(near, sets, similarity), "similar")
-        linked = found if linked is None else linked.union(found)
-        left_over = met.where("a = b").select(F.col("a").alias("fp"))
-        size = left_over.count()
-        if size:
-            roots = components(linked).withColumnRenamed("node", "fp")
-            rest = prints.select("fp", "words").join(left_over, "fp", "left_semi").join(roots, "fp", "left")
-            rest = _materialized(rest.select("fp", "words", F.coalesce("root", "fp").alias("comp")), "rest")
-        centres *= CENTRES
-    return prints.sparkSession.createDataFrame([], "a long, b long") if linked is None else linked
-
-
-def shingle_column(text: Column, width: int, seed: int = SEED) -> Column:
-    @pandas_udf("array<long>")
-    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([shingle_set(t, width, seed).view(np.int64) for t in texts])
-
-    return marked(F.coalesce(text, F.lit("")))
-
-
-def wide_column(text: Column, width: int, seed: int = SEED) -> Column:
-    @pandas_udf("array<long>")
-    def marked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([wide_print(t, width, seed).view(np.int64) for t in texts])
-
-    return marked(F.coalesce(text, F.lit("")))
+    n = prints.count()
+    hash_bits = min(50, max(16, (n * VARIANTS).bit_length() + HASH_SLACK))
+    buckets = max(1, math.ceil(n * VARIANTS / BUCKET_ENTRIES))
+    blocks = prints.select("fp").repartition(max(1, math.ceil(n / BLOCK)), "fp")
+    packed = blocks.mapInPandas(_packer(hash_bits, buckets), PACKED)
+    return packed.groupBy("bucket").applyInPandas(_linker(hash_bits), "a long, b long")
 
 
 def _text_hash() -> Column:
     return F.xxhash64(F.col("text").isNull(), F.coalesce("text", F.lit("")))
 
 
-KEYS = ["key", "missing", "hashed"]
-
-
-def _keyed(rows: DataFrame, text_hash: str) -> DataFrame:
-    """With KEYS, by which rows of the same id and text meet, ids that are NULL included."""
-    return rows.withColumns({
-        "key": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
-        "missing": F.col("doc_id").isNull(),
-        "hashed": F.col(text_hash),
-    })
-
-
-def _labels(docs: DataFrame, width: int, seed: int, similarity: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _labels(docs: DataFrame, width: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and one row per distinct fingerprint: fp, root, component_id,
     `chosen` (true for one fingerprint of each group that holds the component_id) and `text_hash`
     of one of its texts with the smallest id."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", "text", _text_hash().alias("text_hash"))
-    if similarity is None:
-        rows = rows.select("doc_id", "text_hash", fingerprint_column(F.col("text"), width, seed).alias("fp"))
-        marked, more = materialize(rows, "prints"), []
-    else:
-        rows = rows.select("doc_id", "text_hash", wide_column(F.col("text"), width, seed).alias("words"))
-        marked, more = materialize(rows.withColumn("fp", F.xxhash64("words")), "prints"), [F.first("words").alias("words")]
+    rows = docs.select("doc_id", _text_hash().alias("text_hash"), fingerprint_column(F.col("text"), width, seed).alias("fp"))
+    marked = materialize(rows, "prints")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")
-    prints = marked.groupBy("fp").agg(F.min(order).alias("first"), *more)
-    prints = materialize(prints, "distinct-prints")
-
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        chosen = _keyed(prints.join(nodes, "fp", "left_semi").select("fp", "first.doc_id", "first.text_hash"), "text_hash")
-        texts = _keyed(docs.select("doc_id", "text", _text_hash().alias("text_hash")), "text_hash").select(*KEYS, "text")
-        one = texts.join(chosen.select(*KEYS, "fp"), KEYS).groupBy("fp").agg(F.first("text").alias("text"))
-        return one.select("fp", shingle_column(F.col("text"), width, seed).alias("shingles"))
-
-    found = links(prints) if similarity is None else similar_links(prints, similarity, sets_of)
-    roots = components(found).withColumnRenamed("node", "fp")
-    member = prints.drop("words").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = materialize(marked.groupBy("fp").agg(F.min(order).alias("first")), "distinct-prints")
+    roots = components(links(prints)).withColumnRenamed("node", "fp")
+    member = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = materialize(member, "members")
     named = member.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("least"), F.count(F.lit(1)).alias("n"))
     several = named.where("n > 1").select("root", "least")
@@ -494,13 +267,9 @@ def _labels(docs: DataFrame, width: int, seed: int, similarity: float | None = N
     return marked, labels
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, seed: int = SEED, similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, root, component_id) of every row; `root` names the group where ids are all NULL.
-
-    Without `similarity`, 64-bit fingerprints are linked at NEAR bits. With it, texts are linked at about that
-    Jaccard similarity of their shingles, through the parts of wide prints; `fp` then is a hash of the wide print.
-    """
-    marked, labels = _labels(docs, width, seed, similarity)
+def near_duplicates(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; `root` names the group where ids are all NULL."""
+    marked, labels = _labels(docs, width, seed)
     return marked.select("doc_id", "fp").join(labels, "fp").select("doc_id", "fp", "root", "component_id")
 
 
@@ -508,22 +277,22 @@ def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, seed: int = SEED, similarity: float | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """One row of each group of near duplicates, with the columns as they came.
 
     The row with the group's smallest doc_id stays. If several texts of the group have that id, one of them
     stays (that of the smallest hash); of equal rows, any one. Rows meet the choice by id and text hash together, so
     a group's size makes no key hot and no text is marked twice.
     """
-    _, labels = _labels(docs, width, seed, similarity)
+    _, labels = _labels(docs, width, seed)
     key, missing, hashed = (free_name(docs, n) for n in ("key", "missing", "text_hash"))
     choice = labels.where("chosen").select(
-        F.coalesce(F.col("component_id").cast("long"), F.lit(0)).alias(key),
+        F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias(key),
         F.col("component_id").isNull().alias(missing),
         F.col("text_hash").alias(hashed),
     )
     keyed = docs.withColumns({
-        key: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)),
+        key: F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
         missing: F.col("doc_id").isNull(),
         hashed: _text_hash(),
     })

@@ -107,91 +107,21 @@ def test_one_of_each(make_docs, odd_docs, no_docs):
     assert s.one_of_each(no_docs).count() == 0 and s.near_duplicates(no_docs).count() == 0
 
 
-def test_similar_texts_meet_in_parts(make_docs):
-    rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    rows, groups = [], {}
-    for group in range(40):
-        words = [rng.choice(vocabulary) for _ in range(300)]
-        for copy in range(1 + group % 4):
-            changed = list(words)
-            for _ in range(copy + copy // 2):  # 4 of 300 words: similarity 0.87
-                changed[rng.randrange(300)] = rng.choice(vocabulary)
-            groups[len(rows)] = group
-            rows.append((len(rows), " ".join(changed)))
-    rows += [(1000, None), (1001, ""), (None, "short text")]
-    found = s.near_duplicates(make_docs(rows), width=5, similarity=0.8).collect()
-    assert len(found) == len(rows)
-    by_id = {r["doc_id"]: r["component_id"] for r in found}
-    first = {g: min(i for i in groups if groups[i] == g) for g in set(groups.values())}
-    linked = sum(by_id[i] == first[g] for i, g in groups.items())
-    assert linked >= 0.97 * len(groups)
-    assert all(groups[by_id[i]] == g for i, g in groups.items())  # no link between different groups
-    assert by_id[1000] == by_id[1001] == 1000
-    kept = s.one_of_each(make_docs(rows), width=5, similarity=0.8)
-    assert kept.count() == len(set(by_id.values()))
-
-
-def jaccard(a, b, width=5):
-    """Of the sets of shingles."""
-    sets = [{tuple(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in (a, b)]
-    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-
-
-def pairs_of_texts(count, low, high):
-    """Pairs of texts whose similarity is from `low` to `high`, no text like one of another pair."""
-    rng, out = random.Random(8), []
-    while len(out) < count:
-        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 400))]
-        changed = list(words)
-        for place in rng.sample(range(len(words)), max(1, round(len(words) * (1 - low) / 9))):
-            changed[place] = f"w{rng.randrange(5000)}"
-        if low <= jaccard(a := " ".join(words), b := " ".join(changed)) <= high:
-            out.append((a, b))
-    return out
-
-
-def paired(make_docs, pairs):
-    rows = [(2 * i + j, text) for i, pair in enumerate(pairs) for j, text in enumerate(pair)]
-    found = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(make_docs(rows), width=5, similarity=0.8).collect()}
-    return sum(found[2 * i] == found[2 * i + 1] for i in range(len(pairs)))
-
-
-def test_lone_pairs_of_little_above_the_similarity_are_found(make_docs):
-    assert paired(make_docs, pairs_of_texts(200, 0.8, 0.82)) >= 0.86 * 200
-    assert paired(make_docs, pairs_of_texts(200, 0.82, 0.85)) >= 0.92 * 200
-
-
-def test_pairs_below_the_similarity_are_never_linked(make_docs):
-    pairs = pairs_of_texts(60, 0.76, 0.799)
-    rng = random.Random(9)
-    for _ in range(20):  # much the same by count, hardly by set
-        line = " ".join(f"l{rng.randrange(5000)}" for _ in range(12))
-        pairs.append(tuple(" ".join([line] * 60 + [f"w{rng.randrange(5000)}" for _ in range(80)]) for _ in range(2)))
-    assert paired(make_docs, pairs) == 0
-
-
-def test_like_prints_meet_beside_an_unlike_smaller_one():
-    hashes, prints = np.repeat(np.uint64(5), 40), np.arange(1, 41, dtype=np.uint64)
-    left, right = s._pairs(hashes, prints, prints, 1)
-    assert {(a, b) for a, b in zip(left.tolist(), right.tolist()) if a != b} == {(1, b) for b in range(2, 41)}
-    assert {a for a, b in zip(left.tolist(), right.tolist()) if a == b} == set(range(1, 41))  # not settled yet
-    seen, comps = set(), np.where(prints > 4, 5, prints).astype(np.uint64)  # 5 to 40 are one component by now
-    left, right = s._pairs(hashes, prints, comps, 16)
-    assert {(a, b) for a, b in zip(left.tolist(), right.tolist())} == {(a, b) for a in range(1, 5) for b in range(a + 1, 41)}
-
-
-def test_families_from_one_template_are_resolved(make_docs):
-    rng = random.Random(12)
-    template, rows = [f"w{rng.randrange(5000)}" for _ in range(300)], []
-    for member in range(30):  # unlike each other (about 0.6), each with a near copy of its own
-        words = list(template)
-        for place in rng.sample(range(300), 9):
-            words[place] = f"m{member}x{place}"
-        copy = list(words)
-        for place in rng.sample(range(300), 3):
-            copy[place] = f"c{member}x{place}"
-        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
-    expected = brute_groups([i for i, _ in rows], lambda a, b: jaccard(rows[a][1], rows[b][1]) >= 0.8)
-    found = {r["doc_id"]: r["component_id"] for r in s.near_duplicates(make_docs(rows), width=5, similarity=0.8).collect()}
-    assert len(set(expected.values())) >= 25 and found == expected
+def test_text_ids_and_long_texts(spark, make_docs):
+    rng = random.Random(7)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [("b", long), ("a", long + " end"), ("c", "a short one"), (None, long)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert s.fingerprint(long) == brute_print(long, 4)
+    assert {r["doc_id"]: r["component_id"] for r in s.near_duplicates(docs).collect()} == {"a": "a", "b": "a", "c": "c", None: "a"}
+    assert sorted(r["doc_id"] for r in s.one_of_each(docs).collect()) == ["a", "c"]
+
+
+def test_one_row_of_each_brute_force_group_stays(make_docs):
+    rows = list({i: t for i, t in rows_with_copies()}.items())
+    prints = {i: brute_print(t, 4) for i, t in rows}
+    groups = brute_groups(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {}
+    for i, fp in prints.items():
+        least[groups[fp]] = min(i, least.get(groups[fp], i))
+    assert sorted(r["doc_id"] for r in s.one_of_each(make_docs(rows)).collect()) == sorted(least.values())
