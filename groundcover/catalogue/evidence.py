@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from groundcover import config
 from groundcover.catalogue import inputs
-from groundcover.catalogue.registry import derive, query, with_inputs
+from groundcover.catalogue.registry import ORACLES, derive, query, with_inputs
 from groundcover.functions.text import highlight_span
 from groundcover.operators import coverage, gates, retrieve, score, serve, spans
 from groundcover.plans.prefix import exact_quantiles
+from groundcover.session import scratch_path, staging
+from groundcover.sources.publish import publish
 from groundcover.sources.tables import load_table
 
 
@@ -345,6 +347,14 @@ def trust_score(spark, folder):
     return _evidence(spark, folder)
 
 
+@query("trust_score_published", ORACLES["trust_score"])
+def trust_score_published(spark, folder):
+    """The same, published; its candidate and staging tables are dropped before it is read."""
+    path = scratch_path(spark, "trust-score")
+    with staging(spark):
+        return publish(_evidence(spark, folder), path)
+
+
 @query(
     "status_pivot",
     chain(4, """ SELECT capability, verified, likely, weak_signal, no_signal,

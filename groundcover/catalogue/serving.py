@@ -11,7 +11,7 @@ from groundcover.functions.names import norm_name
 from groundcover.operators import corroborate as web
 from groundcover.operators import coverage, explain, gates, planner, rules, serve
 from groundcover.plans.skew import skew_safe_join
-from groundcover.session import scratch_path
+from groundcover.session import materialize, scratch_path
 from groundcover.sources import publish as sinks
 from groundcover.sources import versions
 from groundcover.sources.tables import load_table
@@ -377,6 +377,23 @@ def region_facilities(spark, folder):
     return rows.select("unique_id", "status", "trust_score_pct")
 
 
+@query(
+    "region_facilities_order",
+    claims_sql(" SELECT unique_id, status, trust_score_pct, row_number() OVER (ORDER BY trust_score_pct DESC, unique_id) AS best_first, "
+               "row_number() OVER (ORDER BY trust_score_pct, unique_id) AS worst_first FROM chosen WHERE district = 'NATION_3 0'"),
+)
+def region_facilities_order(spark, folder):
+    """Both orders of the list's sort switch, as positions."""
+    merged = materialize(_merged(spark, folder), "merged")
+    best, worst = (
+        serve.placed_facilities(merged, "nation_3 0", "ICU", best_first=first).withColumnRenamed("position", name)
+        for first, name in ((True, "best_first"), (False, "worst_first"))
+    )
+    return best.select("unique_id", "status", "trust_score_pct", "best_first").join(
+        worst.select("unique_id", "worst_first"), "unique_id"
+    )
+
+
 @query(
     "preview_markers",
     claims_sql(""" SELECT unique_id, trust_score_pct, latitude, longitude FROM chosen

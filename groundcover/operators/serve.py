@@ -12,7 +12,7 @@ from groundcover.functions.casting import as_bool, as_int, clean_text, first_non
 from groundcover.functions.names import same_name
 from groundcover.operators.coverage import filter_ci
 from groundcover.operators.rules import run_rules
-from groundcover.plans.prefix import exact_quantiles
+from groundcover.plans.prefix import exact_quantiles, positions
 from groundcover.plans.skew import skew_safe_join
 from groundcover.plans.topk import top_k
 
@@ -229,17 +229,28 @@ def with_claim(merged: DataFrame, capability: str) -> DataFrame:
     )
 
 
+def _in_region(merged: DataFrame, region: str, capability: str, status: str) -> DataFrame:
+    rows = with_claim(merged.where(same_name(F.col("district"), F.lit(region))), capability)
+    return rows if status == "all" else rows.where(F.col("status") == status)
+
+
 def region_facilities(
     merged: DataFrame, region: str, capability: str, status: str = "all", best_first: bool = True
 ) -> DataFrame:
     """Facilities of a region (accent-free name match), by the score of the chosen claim."""
-    rows = with_claim(merged.where(same_name(F.col("district"), F.lit(region))), capability)
-    if status != "all":
-        rows = rows.where(F.col("status") == status)
-    score = F.col("trust_score_pct")
+    rows, score = _in_region(merged, region, capability, status), F.col("trust_score_pct")
     return rows.orderBy(score.desc() if best_first else score.asc(), "unique_id")
 
 
+def placed_facilities(
+    merged: DataFrame, region: str, capability: str, status: str = "all", best_first: bool = True
+) -> DataFrame:
+    """`region_facilities` with each one's `position` in the list, for pages and for comparing orders."""
+    rows, score = _in_region(merged, region, capability, status), F.col("trust_score_pct").cast("long")
+    keyed = rows.withColumn("_by", -score if best_first else score)
+    return positions(keyed, ["_by", "unique_id"]).drop("_by")
+
+
 def preview_markers(
     merged: DataFrame, capability: str, k: int, matched: Sequence[str] = ()
 ) -> DataFrame:

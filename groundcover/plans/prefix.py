@@ -60,6 +60,16 @@ def prefix_sums(
     )
 
 
+def positions(df: DataFrame, order: Sequence[str], groups: Sequence[str] = (), out: str = "position") -> DataFrame:
+    """Adds each row's place (1, 2, 3, ...) in its group by `order`, whatever the size of the group.
+
+    `(groups, order)` must identify a row.
+    """
+    weight, total = f"_{out}_weight", f"_{out}_total"
+    placed = prefix_sums(df.withColumn(weight, F.lit(1)), order, weight, groups, out, total)
+    return placed.withColumn(out, F.col(out).cast("long") + 1).drop(weight, total)
+
+
 def ordered_counts(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row per (groups, value): `ties` rows have it, `before` of `total` are smaller."""
     counts = (

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,16 +48,56 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_roots[context.applicationId]
 
 
+_homes: dict[tuple[str, str], str] = {}
 _written: dict[str, list[str]] = {}
+_staged: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+def _home(spark: SparkSession) -> str:
+    """This application's folder in the shared one, deleted by Hadoop when the driver ends, after a failure too."""
+    root, application = scratch_root(spark), spark.sparkContext.applicationId
+    if (root, application) not in _homes:
+        path = f"{root}/groundcover-{application}-{uuid.uuid4().hex}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.mkdirs(place):
+            raise OSError(f"cannot make {path}")
+        files.deleteOnExit(place)
+        _homes[root, application] = path
+    return _homes[root, application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; `cleanup` removes it."""
-    path = f"{scratch_root(spark)}/groundcover-{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. `staging` removes it if it is asked for within one, else `cleanup`,
+    at the latest the end of the application."""
+    path = f"{_home(spark)}/{label}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    staged = _staged.get()
+    if staged is not None:
+        staged.append(path)
     return path
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables written within are removed at the end, also after an error.
+
+    Publish or collect what is to stay before the end: DataFrames that read the removed tables can't run any more.
+    Within an inner `staging` the inner one owns the tables; other threads' tables are left to `cleanup`.
+    """
+    mine: list[str] = []
+    token = _staged.set(mine)
+    try:
+        yield
+    finally:
+        _staged.reset(token)
+        written = _written.get(spark.sparkContext.applicationId, [])
+        for path in mine:
+            remove(spark, path)
+            if path in written:
+                written.remove(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder on whatever file system holds it."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,9 +1,11 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from groundcover.plans.prefix import positions
 from groundcover import config, session
 from groundcover.operators import clean, coverage, gates, lookup, planner, serve
 from groundcover.operators import corroborate as web
@@ -293,6 +295,56 @@ def test_coverage_gates_and_cleanup(spark, tmp_path, monkeypatch):
     assert session.cleanup(spark) >= 1 and session.cleanup(spark) == 0
 
 
+def test_staging_drops_its_tables_and_no_others(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(session, "_written", {})
+    before = session.materialize(spark.range(3), "before")
+    home = Path(session.scratch_path(spark, "x")).parent
+    here = {p.name for p in home.iterdir()}
+    with session.staging(spark):
+        outer = session.materialize(spark.range(4), "outer")
+        with session.staging(spark):
+            session.materialize(spark.range(5), "inner")
+        assert {p.name.split("-")[0] for p in home.iterdir() if p.name not in here} == {"outer"}
+        kept = sinks.publish(outer, str(tmp_path / "kept"))
+    assert {p.name for p in home.iterdir()} == here
+    assert kept.count() == 4 and before.count() == 3
+    with pytest.raises(ValueError), session.staging(spark):
+        session.materialize(spark.range(6), "lost")
+        raise ValueError
+    assert {p.name for p in home.iterdir()} == here
+    session.cleanup(spark)
+
+
+def test_scratch_is_gone_after_the_application(tmp_path):
+    import subprocess
+    import sys
+
+    for end in ("", "; raise SystemExit(3)"):
+        code = (
+            "from groundcover.session import get_session, materialize; "
+            f"spark = get_session('gone', 'local[1]', spark__checkpoint__dir={str(tmp_path)!r}, spark__ui__enabled='false'); "
+            f"assert materialize(spark.range(5), 'five').count() == 5{end}"
+        )
+        done = subprocess.run([sys.executable, "-c", code], capture_output=True, timeout=120)
+        assert done.returncode == (3 if end else 0), done.stderr[-2000:]
+        for _ in range(100):  # the driver's JVM ends a little after Python
+            if not (left := [p.name for p in tmp_path.iterdir() if p.name.startswith("groundcover-")]):
+                break
+            time.sleep(0.1)
+        assert not left
+
+
+def test_positions_in_groups_of_any_size(spark):
+    rows = [(g, i * 7 % 101) for g, n in (("a", 100), ("b", 3), (None, 2)) for i in range(n)]
+    got = positions(spark.createDataFrame(rows, "g string, v int"), ["v"], ["g"]).collect()
+    for group in ("a", "b", None):
+        values = sorted(v for g, v in rows if g == group)
+        assert {(r["v"], r["position"]) for r in got if r["g"] == group} == {(v, i + 1) for i, v in enumerate(values)}
+    assert positions(spark.createDataFrame([], "v int"), ["v"]).columns == ["v", "position"]
+
+
 def test_rejected_events_are_kept(spark):
     kind = "scenario_id string, event_id long, ts timestamp, kind string, name string, facility_id string, note string"
     rows = [("s", 1, None, "create", "x" * 121, None, None), ("s", 2, None, "note", None, "f", ""), ("s", 3, None, "shortlist", None, None, None), ("s", 4, None, None, None, None, None), ("s", 5, None, "shortlist", None, "f", None)]
