@@ -6,8 +6,8 @@ its ending and its beginning. The hidden state of a line is a role and whether t
 transition and observation probabilities are counted on transcripts with known roles; Viterbi finds the likeliest states,
 and the turns are rendered alike: `<|role|>`, the text without marker, `<|end|>`.
 
-`transcripts` makes raw transcripts from (conv_id, turn, role, text) rows, in blocks of BLOCK_TURNS turns, so a
-conversation of any size is never in one task.
+`transcripts` makes raw transcripts from (conv_id, turn, role, text) rows, in blocks of BLOCK_TURNS turns by their
+place in the conversation, so a conversation of any size is never in one task, whatever its turn numbers.
 
 Defined cases: NULL texts are empty turns; NULL roles and roles outside ROLES get no marker and don't train; turns come by
 number, NULL last, ties by role and text; repeated rows are one turn; rows without a conv_id are transcripts of
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from groundcover.llm.common import bounded_batches
+from groundcover.plans.prefix import positions
 
 ROLES = ("system", "user", "assistant")
 STATES = [(role, begins) for role in ROLES for begins in (True, False)]
@@ -146,8 +147,9 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     """
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS).cast("long"), F.lit(-1).cast("long"))
-    rows = rows.withColumns({"alone": alone, "block": block}).distinct()
+    rows = rows.withColumns({"alone": alone, "last": F.col("turn").isNull()}).distinct()
+    rows = positions(rows, ["last", "turn", "role", "text"], ["conv_id", "alone"], "place")
+    rows = rows.withColumn("block", F.floor((F.col("place") - 1) / BLOCK_TURNS).cast("long"))
     style = F.pmod(F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), F.lit(len(STYLES)))
     hidden = F.pmod(F.crc32(F.concat_ws(":", "conv_id", "turn", F.lit("marker"))), F.lit(4)) == 0
     name = F.lit("")
@@ -155,7 +157,7 @@ def transcripts(conversations: DataFrame) -> DataFrame:
         for role, text in (("user", user), ("assistant", assistant), ("system", system)):
             name = F.when((style == number) & (F.col("role") == role), text).otherwise(name)
     raw = F.concat(F.when(hidden, "").otherwise(name), F.col("text"))
-    turn = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "text", raw.alias("raw"))
+    turn = F.struct("place", "role", raw.alias("raw"))
     grouped = rows.groupBy("conv_id", "alone", "block").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return grouped.select(
         "conv_id", "block",

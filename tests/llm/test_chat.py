@@ -1,6 +1,9 @@
 import itertools
 
+from pyspark.sql import functions as F
+
 from groundcover.llm import chat
+from groundcover.llm.common import fold
 
 
 def small_model():
@@ -43,9 +46,11 @@ def test_markers():
 
 
 def test_roles_are_recovered(spark):
+    """The model is fitted on other conversations than those it is measured on."""
     table = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    blocks = chat.transcripts(table)
-    rows = chat.format_chats(blocks, chat.train(blocks)).drop("block").join(blocks.select("conv_id", "roles", "sizes"), "conv_id").collect()
+    held_out = fold(F.col("conv_id"), 3) == 0
+    blocks = chat.transcripts(table.where(held_out))
+    rows = chat.format_chats(blocks, chat.train(chat.transcripts(table.where(~held_out)))).drop("block").join(blocks.select("conv_id", "roles", "sizes"), "conv_id").collect()
     exact = [[t["role"] for t in r["turns"]] == list(r["roles"]) for r in rows]
     assert sum(exact) / len(exact) > 0.6
     right = total = 0
@@ -65,6 +70,19 @@ def test_marked_turns_come_back_whole(spark):
     assert model.turns("System: Be brief.\n\nUser: Hi\n\nAssistant: Yes") == [("system", "Be brief."), ("user", "Hi"), ("assistant", "Yes")]
 
 
+def test_blocks_hold_equally_many_turns(spark):
+    """Turns without a number, and many turns of one number, are cut by their place."""
+    turns = [(n, number, "user" if i % 2 else "assistant", f"{i:04}") for n, number in ((1, None), (2, 7), (3, -1)) for i in range(1500)]
+    turns += [(4, i // 3, "user", f"{i:04}") for i in range(1500)]
+    made = spark.createDataFrame(turns * 2, "conv_id long, turn long, role string, text string")
+    blocks = {(r["conv_id"], r["block"]): r for r in chat.transcripts(made).collect()}
+    assert {k: len(r["roles"]) for k, r in blocks.items()} == {(n, b): 512 if b < 2 else 476 for n in (1, 2, 3, 4) for b in range(3)}
+    for n in (1, 2, 3, 4):
+        expected = sorted((t for t in set(turns) if t[0] == n), key=lambda t: (t[1] or 0, t[2], t[3]))
+        found = [line[-4:] for b in range(3) for line in blocks[n, b]["text"].split("\n\n")]
+        assert found == [t[3] for t in expected]
+
+
 def test_odd_conversations(spark):
     kind = "conv_id long, turn long, role string, text string, turns string, block int"
     rows = [
@@ -73,7 +91,8 @@ def test_odd_conversations(spark):
     ]
     blocks = chat.transcripts(spark.createDataFrame(rows, kind))
     out = chat.format_chats(blocks, chat.train(blocks)).collect()
-    assert sorted((r["conv_id"] or 0, r["block"]) for r in out) == [(0, -1), (0, 0), (2, -1), (2, 0), (3, 0), (3, 9)]
-    assert {(r["conv_id"], r["block"]): len(r["turns"]) for r in out if r["conv_id"] == 3} == {(3, 0): 1, (3, 9): 1}
+    assert sorted((r["conv_id"] or 0, r["block"]) for r in out) == [(0, 0), (0, 0), (2, 0), (3, 0)]
+    whole = {r["conv_id"]: r["roles"] for r in blocks.collect() if r["conv_id"]}
+    assert whole == {2: ["tool", "user"], 3: ["user", "assistant"]}
     none = chat.transcripts(spark.createDataFrame([], kind))
     assert chat.format_chats(none, chat.train(none)).count() == 0
