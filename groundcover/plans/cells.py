@@ -18,7 +18,15 @@ LEAF_EDGES = 64  # a shape's cell with more edges is split
 LEVELS = 5
 
 EDGE = ("x1", "y1", "x2", "y2")
-INSIDE, BORDER, SPLIT = 0, 1, 2
+
+
+def merged(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join that never collects a side in the driver.
+
+    Before it runs Spark sizes a side by the compressed files below it. Edges of like shapes compress well and are then multiplied by
+    cells, so a side that looks small enough to broadcast can be a hundred times that.
+    """
+    return left.join(right.hint("merge"), list(keys), how)
 
 
 @dataclass
@@ -76,10 +84,11 @@ def _bits(first: str, last: str) -> str:
 
 @dataclass
 class Cover:
-    """Cells (level, cx, cy, shape, kind, state) and the edges of border cells.
+    """Rows of a parent's FAN cells (level, px, cy, shape, border, states) and the edges of border cells (level, cx, cy, shape, ...).
 
-    A cell of kind INSIDE lies in the shape and needs no edges. A BORDER cell has edges of the shape, and `state` says whether
-    its north-east corner is inside. Cells outside a shape and cells that were split are not kept.
+    Bit i stands for the cell cx = px * FAN + i. A `border` cell has edges of the shape, unless it was split; its bit in `states` says
+    whether its north-east corner is inside. A cell that is not border lies in the shape, and needs no edges, if its bit in `states` is set.
+    Rows without either are not kept. Cells are never listed one by one: there can be FAN x FAN of them for a shape of four edges.
     """
 
     frame: Frame
@@ -112,26 +121,24 @@ def cover(edges: DataFrame, keys: Sequence[str], leaf_edges: int = LEAF_EDGES) -
         laid_out, masks = _masks(frame, level, active, seeds)
         if not once:
             laid_out, masks = materialize(laid_out, "cells"), materialize(masks, "masks")
+        found.append(masks.where("(border | states) <> 0").selectExpr(f"{level} AS level", "px", f"py * {FAN} + j AS cy", "shape", "border", "states"))
+        levels.append(level)
+        place = [f"{level} AS level", f"px * {FAN} + i AS cx", f"py * {FAN} + j AS cy"]
+        if once or level == LEVELS:
+            kept.append(laid_out.selectExpr(*place, "shape", *EDGE))
+            break
         counted = laid_out.groupBy("shape", "px", "py", "j", "i").agg(F.count(F.lit(1)).alias("edges"))
-        bound = leaf_edges if level < LEVELS else (1 << 62)
-        border = counted.join(masks, ["shape", "px", "py", "j"]).selectExpr(
-            "shape", "px", "py", "i", "j", "shiftrightunsigned(states, i) & 1L = 1L AS state", f"if(edges > {bound}, {SPLIT}, {BORDER}) AS kind"
-        )
-        border = border if once else materialize(border, "border")
-        inside = masks.selectExpr("*", "states & ~border AS free").where("free <> 0").selectExpr(
-            "shape", "px", "py", f"explode(filter(sequence(0, {LAST}), i -> shiftrightunsigned(free, i) & 1L = 1L)) AS i", "j",
-            "true AS state", f"{INSIDE} AS kind",
+        border = merged(counted, masks, ["shape", "px", "py", "j"]).selectExpr(
+            "shape", "px", "py", "i", "j", "shiftrightunsigned(states, i) & 1L = 1L AS state", f"edges > {leaf_edges} AS split"
         )
-        place = [f"{level} AS level", f"px * {FAN} + i AS cx", f"py * {FAN} + j AS cy"]
-        found.append(inside.unionByName(border.where(f"kind = {BORDER}")).selectExpr(*place, "shape", "kind", "state"))
-        owned = laid_out.join(border, ["shape", "px", "py", "j", "i"])
-        kept.append(owned.where(f"kind = {BORDER}").selectExpr(*place, "shape", *EDGE))
-        levels.append(level)
-        dense = border.where(f"kind = {SPLIT}")
-        if once or level == LEVELS or dense.isEmpty():
+        border = materialize(border, "border")
+        owned = merged(laid_out, border, ["shape", "px", "py", "j", "i"])
+        kept.append(owned.where("NOT split").selectExpr(*place, "shape", *EDGE))
+        dense = border.where("split")
+        if dense.isEmpty():
             break
         down = [f"px * {FAN} + i AS px", f"py * {FAN} + j AS py"]
-        active = owned.where(f"kind = {SPLIT}").selectExpr("shape", *down, "state", *EDGE)
+        active = owned.where("split").selectExpr("shape", *down, "state", *EDGE)
         seeds = dense.where("state").selectExpr("shape", *down)
     return Cover(frame, reduce(DataFrame.unionByName, found), reduce(DataFrame.unionByName, kept), levels)
 
@@ -185,18 +192,28 @@ def locate(points: DataFrame, shapes: Cover, same: Sequence[str] = ()) -> DataFr
     lower and its left end. `on`: the point lies on an edge, as far as 64-bit numbers can tell.
     """
     frame = shapes.frame
-    cells = [f"struct({n} AS level, {frame.index('x', n, '_x')} AS cx, {frame.index('y', n, '_y')} AS cy)" for n in shapes.levels]
+    places = [f"struct({n} AS level, {frame.index('x', n, '_x')} AS cx, {frame.index('y', n, '_y')} AS cy)" for n in shapes.levels]
     around = points.where(
         F.col("_x").between(frame.x, frame.x + frame.size) & F.col("_y").between(frame.y, frame.y + frame.size)
-    ).selectExpr(*points.columns, f"inline(array({', '.join(cells)}))")
-    met = around.join(shapes.cells.selectExpr("*", *[f"shape.{k} AS {k}" for k in same]), ["level", "cx", "cy", *same])
-    sure = met.where(f"kind = {INSIDE}").selectExpr("_pid", "shape", "true AS inside", "false AS `on`")
-    open_ = met.where(f"kind = {BORDER}").select("_pid", "_x", "_y", "level", "cx", "cy", "shape", "state").distinct()
+    ).selectExpr(*points.columns, f"inline(array({', '.join(places)}))")
+    # Of the cells of a shape only those that hold points leave their row.
+    around, row = around.selectExpr("*", f"shiftright(cx, {SHIFT}) AS px"), ["level", "px", "cy", *same]
+    wanted = around.groupBy(*row).agg(F.expr(f"bit_or(shiftleft(1L, int(cx & {LAST})))").alias("wanted"))
+    rows = merged(shapes.cells.selectExpr("*", *[f"shape.{k} AS {k}" for k in same]), wanted, row)
+    cells = rows.selectExpr("*", "(border | states) & wanted AS here").where("here <> 0").selectExpr(
+        *row, "shape", "border", "states", f"explode(filter(sequence(0, {LAST}), i -> shiftrightunsigned(here, i) & 1L = 1L)) AS i"
+    ).selectExpr(
+        "level", f"px * {FAN} + i AS cx", "cy", *same, "shape",
+        "shiftrightunsigned(border, i) & 1L = 1L AS border", "shiftrightunsigned(states, i) & 1L = 1L AS state",
+    )
+    met = merged(around.drop("px"), cells, ["level", "cx", "cy", *same])
+    sure = met.where("NOT border AND state").selectExpr("_pid", "shape", "true AS inside", "false AS `on`")
+    open_ = met.where("border").select("_pid", "_x", "_y", "level", "cx", "cy", "shape", "state").distinct()
 
     def side(axis: str) -> str:
         return " ".join(["CASE level", *[f"WHEN {n} THEN {frame.side(axis, n, f'c{axis} + 1')}" for n in shapes.levels], "END"])
 
-    tested = open_.selectExpr("*", f"{side('x')} AS _east", f"{side('y')} AS _north").join(shapes.edges, ["level", "cx", "cy", "shape"])
+    tested = merged(open_.selectExpr("*", f"{side('x')} AS _east", f"{side('y')} AS _north"), shapes.edges, ["level", "cx", "cy", "shape"])
     tested = tested.selectExpr(
         "*", f"if((y1 > _y) <> (y2 > _y), {x_at('_y')}, NULL) AS crossing", f"if((x1 > _east) <> (x2 > _east), {y_at('_east')}, NULL) AS rise",
         "x2 - x1 AS dx", "y2 - y1 AS dy",

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundcover.functions.names import norm_name
-from groundcover.plans.cells import cover, locate, x_at
+from groundcover.plans.cells import cover, locate, merged, x_at
 from groundcover.session import materialize
 
 EDGE_COLUMNS = [
@@ -194,7 +194,7 @@ def drop_crossing(edges: DataFrame) -> DataFrame:
     keys = ["region_id", "level", "cx", "cy"]
     hosts = lines.withColumn("level", F.col("own")).selectExpr("*", cells("x")).selectExpr("*", cells("y")).drop("own")
     hosts = hosts.withColumnsRenamed({c: f"o_{c}" for c in ("edge", "x1", "y1", "x2", "y2")})
-    visitors = lines.join(levels, "region_id").selectExpr("*", "explode(filter(levels, l -> l >= own)) AS level").drop("levels")
+    visitors = merged(lines, levels, ["region_id"]).selectExpr("*", "explode(filter(levels, l -> l >= own)) AS level").drop("levels")
     visitors = visitors.selectExpr("*", cells("x")).selectExpr("*", cells("y"))
 
     def side(line: str, x: str, y: str) -> str:
@@ -205,7 +205,7 @@ def drop_crossing(edges: DataFrame) -> DataFrame:
         f"{side('', 'o_x1', 'o_y1')} * {side('', 'o_x2', 'o_y2')} < 0 AND {side('o_', 'x1', 'y1')} * {side('o_', 'x2', 'y2')} < 0"
     )
     once = F.expr("own < level OR edge < o_edge")
-    invalid = visitors.join(hosts, keys).where(once & crosses).select("region_id").distinct()
+    invalid = merged(visitors, hosts, keys).where(once & crosses).select("region_id").distinct()
     return edges.join(invalid, "region_id", "left_anti").select(*edges.columns)
 
 
@@ -222,7 +222,7 @@ def drop_misnested(edges: DataFrame) -> DataFrame:
         F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north"),
     )
     several = boxes.groupBy("region_id").count().where("count > 1").select("region_id")
-    some = materialize(edges.join(several, "region_id", "left_semi").select(*ring, "seq", "x1", "y1", "x2", "y2"), "rings")
+    some = materialize(merged(edges, several, ["region_id"], "left_semi").select(*ring, "seq", "x1", "y1", "x2", "y2"), "rings")
     shapes = cover(some, ring)
     if shapes is None:
         return edges
@@ -236,7 +236,7 @@ def drop_misnested(edges: DataFrame) -> DataFrame:
         "_pid", "_pid.region_id", "_pid.poly_id", "_pid.ring_id", "shape.poly_id AS in_poly", "shape.ring_id AS in_ring", "inside", "`on`"
     ).where("(inside OR `on`) AND (poly_id <> in_poly OR ring_id <> in_ring)")
     in_shell = other.where("ring_id > 0 AND poly_id = in_poly AND in_ring = 0").select("_pid").distinct()
-    outside = points.where("_pid.ring_id > 0").join(in_shell, "_pid", "left_anti").select("region_id")
+    outside = merged(points.where("_pid.ring_id > 0"), in_shell, ["_pid"], "left_anti").select("region_id")
     in_hole = other.where("ring_id > 0 AND poly_id = in_poly AND in_ring > 0 AND NOT `on`").select("region_id")
     overlap = (
         other.where("ring_id = 0 AND poly_id <> in_poly")
@@ -245,21 +245,21 @@ def drop_misnested(edges: DataFrame) -> DataFrame:
         .where("deep AND NOT lake").select("region_id")
     )
     shells = boxes.where("ring_id = 0").drop("ring_id")
-    as_wide = boxes.where("ring_id > 0").join(shells, ["region_id", "poly_id", "west", "east", "south", "north"]).select("region_id")
+    as_wide = merged(boxes.where("ring_id > 0"), shells, ["region_id", "poly_id", "west", "east", "south", "north"]).select("region_id")
     invalid = outside.unionByName(in_hole).unionByName(overlap).unionByName(as_wide).distinct()
-    return edges.join(invalid, "region_id", "left_anti").select(*edges.columns)
+    return merged(edges, invalid, ["region_id"], "left_anti").select(*edges.columns)
 
 
 def _inner_points(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _x, _y): a point inside each shape, between its lowest two heights and its first two edges there."""
     heights = edges.selectExpr(*keys, "explode(array(y1, y2)) AS y")
     lowest = heights.groupBy(*keys).agg(F.min("y").alias("lowest"))
-    lines = heights.join(lowest, keys).where("y > lowest").groupBy(*keys, "lowest").agg(F.min("y").alias("next"))
-    crossed = edges.join(lines.selectExpr(*keys, "(lowest + next) / 2 AS _y"), keys).where("(y1 > _y) <> (y2 > _y)").selectExpr(
+    lines = merged(heights, lowest, keys).where("y > lowest").groupBy(*keys, "lowest").agg(F.min("y").alias("next"))
+    crossed = merged(edges, lines.selectExpr(*keys, "(lowest + next) / 2 AS _y"), keys).where("(y1 > _y) <> (y2 > _y)").selectExpr(
         *keys, "_y", f"{x_at('_y')} AS x"
     )
     first = crossed.groupBy(*keys).agg(F.min("x").alias("first"))
-    return crossed.join(first, keys).where("x > first").groupBy(*keys, "_y", "first").agg(F.min("x").alias("second")).selectExpr(
+    return merged(crossed, first, keys).where("x > first").groupBy(*keys, "_y", "first").agg(F.min("x").alias("second")).selectExpr(
         *keys, "(first + second) / 2 AS _x", "_y"
     )
 

@@ -146,3 +146,24 @@ def test_rings_must_be_nested(spark):
     names = {r["region_id"] for r in kept.select("region_id").distinct().collect()}
     assert names == {"hole", "touching hole", "two holes", "island", "neighbours", "single"}
     assert boundaries.drop_misnested(edges.limit(0)).collect() == []
+
+
+def test_boxes_of_few_edges_send_nothing_to_the_driver(spark):
+    """Rows of like boxes: small files, many cells within. No side is broadcast, and cells are not listed."""
+    from groundcover.session import materialize
+    from groundcover.sources import boundaries
+
+    def box(a, b, size):
+        return [(a, b), (a + size, b), (a + size, b + size), (a, b + size)]
+
+    some = sum((ring(f"r{n}", 0, 0, box(0, 0, 9)) + ring(f"r{n}", 0, 1, box(2 + n % 2 * 20, 2, 2)) for n in range(40)), [])
+    edges = materialize(spark.createDataFrame(some, EDGES), "edges")
+    shapes = cells.cover(edges, ["region_id", "poly_id", "ring_id"])
+    assert shapes.cells.count() <= cells.FAN * 80
+    points = edges.selectExpr("region_id", "struct(region_id, ring_id, seq) AS _pid", "(x1 + x2) / 2 AS _x", "(y1 + y2) / 2 AS _y")
+    found = cells.locate(points, shapes, ["region_id"])
+    assert found.where("NOT `on` AND inside AND _pid.ring_id = 1 AND shape.ring_id = 0").count() == 20 * 4
+    kept = boundaries.drop_misnested(edges)
+    for each in (found, kept):
+        assert "Broadcast" not in each._jdf.queryExecution().executedPlan().toString()
+    assert {r[0] for r in kept.select("region_id").distinct().collect()} == {f"r{n}" for n in range(0, 40, 2)}
