@@ -13,9 +13,9 @@ Scoring goes by blocks of texts of about BLOCK_CHARS, fewer if they have many di
 and, per text, how often it has each. A block asks every shard for the grams of its words; the answers (no more than those grams' entries)
 meet the block again, each distinct word is scored once, and the texts add up their words.
 
-The score is a softmax of the cross-entropies at a temperature fitted on a bounded sample of training
-texts; `accepted` is false where the score is under 0.5 or the best cross-entropy is above what the
-sample shows for its language.
+The score is a softmax of the cross-entropies at a temperature fitted on all training texts, copies once;
+`accepted` is false where the score is under 0.5 or the best cross-entropy is above what the training texts
+of its language show. `learn_and_identify` scores texts that are both learned from and answered only once.
 
 Defined cases: NULL texts and texts without a letter get `und` with score 0; texts and languages that are NULL
 don't train; without training texts every language is `und`; repeated rows count and are answered
@@ -24,14 +24,14 @@ each; ties go to the first language by name; a run of over PORTION letters witho
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundcover.llm.common import bounded_batches, slices
@@ -39,7 +39,7 @@ from groundcover.session import materialize
 
 ORDER = 5
 DISCOUNT = 0.75
-CALIBRATION_DOCS = 2000
+TEMPERATURES = np.geomspace(0.01, 2, 25)
 ACCEPTED = 0.5
 UNKNOWN = "und"
 PORTION = 200_000  # letters at a time, about 40 MB
@@ -200,26 +200,33 @@ class Models:
     temperature: float = 1.0
     limits: np.ndarray = field(default_factory=lambda: np.array([]))
 
-    def calibrate(self, entropy: np.ndarray, truth: list[str]) -> None:
+    def calibrate(self, found: DataFrame) -> None:
         """Temperature of least log loss; limits at four deviations above a language's mean.
 
-        `entropy` has the cross-entropies of texts with a letter, `truth` their languages.
+        `found` has (lang, entropy) of texts with a letter: their language, and their cross-entropy in each one.
         """
         self.limits = np.full(len(self.languages), np.inf)
         number = {name: i for i, name in enumerate(self.languages)}
-        right = np.array([number.get(t, -1) for t in truth])
-        entropy, right = entropy[right >= 0], right[right >= 0]
-        if not len(right):
+
+        @F.pandas_udf("own double, losses array<double>")
+        def measured(lang: pd.Series, entropy: pd.Series) -> pd.DataFrame:
+            """Cross-entropy in a text's own language, and log loss at each temperature."""
+            every = np.array(entropy.tolist()).reshape(-1, len(number))
+            own, best = every[np.arange(len(every)), lang.map(number).to_numpy(int)], every.min(axis=1)
+            losses = [(own - best) / t + np.log(np.exp((best[:, None] - every) / t).sum(axis=1)) for t in TEMPERATURES]
+            return pd.DataFrame({"own": own, "losses": np.stack(losses, axis=1).tolist()})
+
+        known = found.where(F.col("lang").isin(self.languages)).select("lang", measured("lang", "entropy").alias("m"))
+        totals = [F.sum(F.col("m.losses")[i]).alias(f"t{i}") for i in range(len(TEMPERATURES))]
+        own = F.col("m.own")
+        rows = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg(own).alias("mean"), F.stddev_pop(own).alias("std"), *totals).collect()
+        if not rows:
             return
-        own = entropy[np.arange(len(right)), right]
-        losses = {}
-        for temperature in np.geomspace(0.01, 2, 25):
-            losses[temperature] = np.log(np.exp((own[:, None] - entropy) / temperature).sum(axis=1)).mean()
-        self.temperature = float(min(losses, key=losses.get))
-        for i in range(len(self.languages)):
-            mine = own[right == i]
-            if len(mine):
-                self.limits[i] = mine.mean() + 4 * mine.std() + (0.1 if len(mine) > 1 else 0.5)
+        rows.sort(key=lambda r: r["lang"])
+        losses = [sum(r[f"t{i}"] for r in rows) for i in range(len(TEMPERATURES))]
+        self.temperature = float(TEMPERATURES[int(np.argmin(losses))])
+        for r in rows:
+            self.limits[number[r["lang"]]] = r["mean"] + 4 * r["std"] + (0.1 if r["n"] > 1 else 0.5)
 
 
 def fit(docs: DataFrame, shard_entries: int = SHARD_ENTRIES) -> Models | None:
@@ -279,18 +286,19 @@ def fit(docs: DataFrame, shard_entries: int = SHARD_ENTRIES) -> Models | None:
     return Models(languages, vocabulary, materialize(table, "model"), shards)
 
 
+def _with_truth(docs: DataFrame, learned: Column) -> DataFrame:
+    """`lang` and a hash of language and text, `copy`, of the rows that are learned from; NULL in the others."""
+    learned = learned & F.col("text").isNotNull() & F.col("lang").isNotNull()
+    return docs.withColumns({"copy": F.when(learned, F.xxhash64("lang", "text")), "lang": F.when(learned, F.col("lang"))})
+
+
 def train(docs: DataFrame) -> Models | None:
     """Calibrated models of the languages in (text, lang); None without any text with a letter."""
     models = fit(docs)
     if models is None:
         return None
-    labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text")
-    share = min(1.0, CALIBRATION_DOCS / max(1, labelled.count()))
-    place = F.xxhash64("lang", "text")  # repeated texts count once
-    sample = labelled.withColumn("place", place).where(F.pmod("place", F.lit(1 << 20)) <= int(share * (1 << 20)))
-    found = entropies(sample.dropDuplicates(["place"]), models, "lang").where("size > 0").select("lang", "entropy").toPandas()
-    found = found.assign(key=found["entropy"].map(tuple)).sort_values(["lang", "key"])
-    models.calibrate(np.array(found["entropy"].tolist()).reshape(-1, len(models.languages)), list(found["lang"]))
+    labelled = _with_truth(docs.select("lang", "text"), F.lit(True)).where("copy IS NOT NULL").dropDuplicates(["copy"])
+    models.calibrate(entropies(labelled, models, ["lang"]).where("size > 0"))
     return models
 
 
@@ -351,14 +359,14 @@ def word_logs(
     return out
 
 
-def entropies(docs: DataFrame, models: Models, id_col: str = "doc_id", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(`id_col`, size, entropy) of each row's text: number of characters that were predicted, cross-entropy in each language."""
+def entropies(docs: DataFrame, models: Models, id_cols: Sequence[str] = ("doc_id",), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(`id_cols`, size, entropy) of each row's text: number of characters that were predicted, cross-entropy in each language."""
     spark, shards, languages, vocabulary = docs.sparkSession, models.shards, len(models.languages), models.vocabulary
-    kind = docs.schema[id_col].dataType.simpleString()
+    kinds_of_ids = [docs.schema[c].dataType.simpleString() for c in id_cols]
     bounded_batches(spark)
     # NULL ids would turn whole numbers into rounded ones in pandas, so they travel as text.
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    block_type = "block long, shard int, keys binary, ids array<string>, words binary, kinds binary, places binary, times binary"
+    rows = docs.select(F.array(*[F.col(c).cast("string") for c in id_cols]).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    block_type = "block long, shard int, keys binary, ids array<array<string>>, words binary, kinds binary, places binary, times binary"
 
     def in_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A row of each block's texts (shard -1), and one for each shard that it asks."""
@@ -401,7 +409,7 @@ def entropies(docs: DataFrame, models: Models, id_col: str = "doc_id", block_cha
                 before = len(known)
                 at = np.array([known.setdefault(w, len(known)) for w in found], np.int64)
                 letters += sum(len(w) for w, i in zip(found, at.tolist()) if i >= before)
-                ids.append(row_id)
+                ids.append(list(row_id))
                 places.append(at)
                 times.append(np.fromiter(found.values(), np.int64, len(at)))
                 held += len(text) + 100
@@ -455,15 +463,34 @@ def entropies(docs: DataFrame, models: Models, id_col: str = "doc_id", block_cha
     answers = models.table.select("*", copies).groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(
         answer, "block long, shard int, many binary, langs binary, logs binary"
     )
-    scored = bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "id string, size long, entropy array<double>")
-    return scored.select(F.col("id").cast(kind).alias(id_col), "size", "entropy")
+    scored = bodies.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(finish, "id array<string>, size long, entropy array<double>")
+    return scored.select(*[F.col("id")[i].cast(kind).alias(c) for i, (c, kind) in enumerate(zip(id_cols, kinds_of_ids))], "size", "entropy")
 
 
 def identify(docs: DataFrame, models: Models | None) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) of every row."""
     if models is None:
         return docs.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("accepted"))
-    found = entropies(docs.select("doc_id", "text"), models).withColumn("lowest", F.array_min("entropy"))
+    return _judged(entropies(docs.select("doc_id", "text"), models), models)
+
+
+def learn_and_identify(docs: DataFrame, learned: Column) -> DataFrame:
+    """`identify` of every row of (doc_id, text, lang) by models trained on those where `learned` is true.
+
+    The same as `train` and `identify`, with the cross-entropies of a text computed once for both.
+    """
+    models = fit(docs.where(learned))
+    if models is None:
+        return identify(docs, None)
+    rows = _with_truth(docs, learned).select("doc_id", "text", "lang", "copy")
+    found = materialize(entropies(rows, models, ["doc_id", "lang", "copy"]), "entropies")
+    models.calibrate(found.where("copy IS NOT NULL AND size > 0").dropDuplicates(["copy"]))
+    return _judged(found, models)
+
+
+def _judged(found: DataFrame, models: Models) -> DataFrame:
+    """(doc_id, lang_pred, score, accepted) from the cross-entropies."""
+    found = found.withColumn("lowest", F.array_min("entropy"))
     powers = F.transform("entropy", lambda e: F.exp((F.col("lowest") - e) / models.temperature))
     best = F.array_position("entropy", F.col("lowest")).cast("int")
     readable = F.col("size") > 0

@@ -76,8 +76,8 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
-    labelled = load_table(spark, folder, "documents").select("doc_id", "text", "lang").where(~held_out)
-    found = language_id.identify(documents(spark, folder), language_id.train(labelled))
+    docs = load_table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language_id.learn_and_identify(docs, ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 

@@ -118,3 +118,29 @@ def test_odd_documents(spark, make_docs, odd_docs, no_docs):
     assert untrained is None and {r["lang_pred"] for r in l.identify(odd_docs, untrained).collect()} == {"und"}
     strange = l.identify(make_docs([(1, "漢字かな交じり文"), (2, "the cat")]), trained).collect()
     assert not strange[0]["accepted"] and strange[1]["lang_pred"] == "en"
+
+
+def test_calibrated_on_all_texts(spark, make_docs):
+    """3,000 different texts, and one far from the others: the limits and the temperature are those of all, by the definition."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join("".join(rng.choice(list("abde" if i % 2 else "bdxy"), 4)) for _ in range(4)), f"l{i % 2}") for i in range(3000)]
+    docs = make_docs([*rows, (3000, "qqjzk wvvkq", "l1"), (3001, *rows[0][1:]), (3002, "no language", None), (3003, "12", "l0")])
+    trained = l.train(docs)
+    found = {r["doc_id"]: r for r in l.entropies(docs, trained).collect()}
+    entropy, truth = np.array([found[i]["entropy"] for i in range(3001)]), np.array([i % 2 for i in range(3000)] + [1])
+    place = {key: i for i, key in reversed([*enumerate([*[r[1:] for r in rows], ("qqjzk wvvkq", "l1")])])}
+    first = sorted(place.values())
+    entropy, truth = entropy[first], truth[first]
+    own = entropy[np.arange(len(first)), truth]
+    for j in range(2):
+        assert abs(trained.limits[j] - (own[truth == j].mean() + 4 * own[truth == j].std() + 0.1)) < 1e-9
+    losses = [np.log(np.exp((own[:, None] - entropy) / t).sum(axis=1)).mean() for t in np.geomspace(0.01, 2, 25)]
+    assert trained.temperature == np.geomspace(0.01, 2, 25)[int(np.argmin(losses))]
+    apart = docs.where("doc_id IS NULL OR doc_id % 5 > 0").select("doc_id", "text", "lang")
+    both = l.identify(docs, l.train(apart))
+    once = l.learn_and_identify(docs.select("doc_id", "text", "lang"), l.F.col("doc_id") % 5 > 0)
+
+    def rounded(df):
+        return sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9), r["accepted"]) for r in df.collect())
+
+    assert rounded(once) == rounded(both) and len(rounded(once)) == 3004
