@@ -6,13 +6,15 @@ shuffled, and fingerprints that meet in one are linked: two that share a point a
 of each other, so a star from the smallest of them keeps all links of the point without
 emitting its pairs. Components of these links give the groups.
 
-2081 rows per fingerprint would be more than ten times the texts, so variants travel packed. A task
-takes a block of fingerprints, sorts their variants by a hash, and sends each bucket one row:
-the sorted hashes as differences of a few bytes, with the place of their fingerprint in the block. The hash
-has at least 2^HASH_SLACK values per variant; meetings by hash alone are verified, and a
-point where not all members are within 4 bits is resolved by its true variants. Buckets hold
-about BUCKET_ENTRIES variants whatever the input, and one point holds at most 2081 fingerprints, so no
-task depends on the size of a group of copies.
+2081 rows per fingerprint would be more than ten times the texts, so fingerprints travel and variants don't. A
+point's bucket is its fold: `width` parities, the k-th of its bits k, k + width, k + 2 * width, ... Changing two bits changes
+at most two parities, so a fingerprint has its variants in 1 + width + width * (width - 1) / 2 buckets (67 of 2048) and is sent to
+those alone, 8 bytes each; a bucket makes the variants that fall into it. Copies with a few bits changed
+differ in their parities, too: of 2048 buckets none gets more than 0.6 % of the variants of a large group of them, and one
+point holds at most 2081 fingerprints, so no task holds a whole group of copies. Buckets hold about BUCKET_ENTRIES variants whatever
+the input. Within one, points are compared by a hash that has at least 2^HASH_SLACK values per
+variant; meetings by hash alone are verified, and a point where not all members are within 4 bits is resolved
+by its true variants.
 
 Texts: A-Z are lower-cased, words are runs without ASCII white space, shingles are `width`
 consecutive words (repeats included) joined by a blank; fewer words give one shingle; no words
@@ -23,8 +25,8 @@ texts share a fingerprint. A component is named by its smallest doc_id (of any t
 """
 
 import math
-import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -41,11 +43,12 @@ from groundcover.session import materialize
 WIDTH = 4
 SEED = 42
 NEAR = 4  # bits
-BLOCK = 4096  # fingerprints per task, about 70 MB of variants at a time
-PLACE_BITS = 13
+BLOCK = 16_384  # fingerprints dealt to buckets at a time
 HASHED = 4096  # shingles at a time
-HASH_SLACK = 6
+HASH_SLACK = 10
 BUCKET_ENTRIES = 4_000_000
+TASK_BUCKETS = 4
+POINTS = 1 << 18  # made at a time
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> tuple[int, Iterator[np.ndarray]]:
@@ -111,55 +114,42 @@ def _mixed(points: np.ndarray, hash_bits: int) -> np.ndarray:
     return mixed >> np.uint64(64 - hash_bits)
 
 
-def _pack(entries: np.ndarray) -> tuple[int, int, bytes, bytes]:
-    """First of sorted numbers, bytes per difference, the lower bytes, and the uneven top bytes compressed."""
-    steps = np.diff(entries)
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    top = zlib.compress(np.ascontiguousarray(planes[width - 1]).tobytes(), 1)
-    return int(entries[0]), width, np.ascontiguousarray(planes[: width - 1]).tobytes(), top
-
-
-def _unpack(first: int, width: int, low: bytes, top: bytes) -> np.ndarray:
-    top = np.frombuffer(zlib.decompress(top), np.uint8)
-    steps = np.zeros((8, len(top)), np.uint8)
-    steps[: width - 1] = np.frombuffer(low, np.uint8).reshape(width - 1, len(top))
-    steps[width - 1] = top
-    numbers = np.empty(len(top) + 1, np.uint64)
-    numbers[0] = first
-    numbers[1:] = np.ascontiguousarray(steps.T).view("<u8").ravel()
-    return np.cumsum(numbers, dtype=np.uint64)
-
-
-PACKED = "bucket int, first long, width int, low binary, top binary, prints binary"
-
-
-def _variants(prints: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.DataFrame]:
-    """Packed rows of the variants of one block, a few buckets at a time."""
-    entries = np.empty((VARIANTS, len(prints)), np.uint64)
-    place = np.arange(len(prints), dtype=np.uint64)
-    for i, mask in enumerate(MASKS):
-        entries[i] = _mixed(prints ^ mask, hash_bits) << np.uint64(PLACE_BITS) | place
-    entries = entries.ravel()
-    entries.sort()
-    edges = [((b << hash_bits) // buckets) << PLACE_BITS for b in range(1, buckets)]
-    cuts = [0, *np.searchsorted(entries, np.array(edges, np.uint64)).tolist(), len(entries)]
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    rows = []
-    for bucket, (start, stop) in enumerate(zip(cuts, cuts[1:])):
-        if start == stop:
-            continue
-        part, used = entries[start:stop], prints
-        if stop - start < len(prints):  # send only the fingerprints of the bucket
-            places, renamed = np.unique(part & low, return_inverse=True)
-            part, used = part & ~low | renamed.astype(np.uint64), prints[places.astype(np.int64)]
-            # order within one hash may change with the new places, which are in the same order
-        rows.append((bucket, *_pack(part), used.tobytes()))
-        if len(rows) >= 64:
-            yield pd.DataFrame(rows, columns=["bucket", "first", "width", "low", "top", "prints"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=["bucket", "first", "width", "low", "top", "prints"])
+def _folds(points: np.ndarray, width: int) -> np.ndarray:
+    """`width` parities of each point, the k-th that of its bits k, k + width, k + 2 * width, ..."""
+    folds = np.zeros(points.shape, np.int64)
+    for k in range(width):
+        bits = np.uint64(sum(1 << i for i in range(k, 64, width)))
+        folds |= (np.bitwise_count(points & bits) & 1).astype(np.int64) << k
+    return folds
+
+
+@cache
+def _masks_by_fold(width: int) -> dict[int, np.ndarray]:
+    """The masks that change a point's fold in the same way."""
+    folds = _folds(MASKS, width)
+    return {int(f): MASKS[folds == f] for f in np.unique(folds)}
+
+
+DEALT = "bucket int, rest int, prints binary"
+
+
+def _dealt(prints: np.ndarray, hash_bits: int, buckets: int) -> Iterator[pd.DataFrame]:
+    """The fingerprints of one block that have variants in each bucket, some buckets at a time.
+
+    There are as many buckets as folds, at least `buckets`; a fold is the first bits of a point's hash, `rest` the number of the others.
+    """
+    width = (buckets - 1).bit_length()
+    steps = np.array(list(_masks_by_fold(width)))
+    into = (_folds(prints, width) ^ steps[:, None]).ravel()
+    order = np.argsort(into)
+    into, sent = into[order], prints[order % len(prints)]
+    cuts = [0, *(np.flatnonzero(np.diff(into)) + 1).tolist(), len(into)]
+    for i in range(0, len(cuts) - 1, 1024):
+        rows = [
+            (int(into[start]), hash_bits - width, sent[start:stop].tobytes())
+            for start, stop in zip(cuts[i : i + 1024], cuts[i + 1 : i + 1025])
+        ]
+        yield pd.DataFrame(rows, columns=["bucket", "rest", "prints"])
 
 
 def _packer(hash_bits: int, buckets: int):
@@ -172,13 +162,42 @@ def _packer(hash_bits: int, buckets: int):
             while size >= 2 * BLOCK:
                 prints = np.concatenate(held)
                 held, size = [prints[BLOCK:]], size - BLOCK
-                yield from _variants(prints[:BLOCK], hash_bits, buckets)
+                yield from _dealt(prints[:BLOCK], hash_bits, buckets)
         if size:
-            yield from _variants(np.concatenate(held), hash_bits, buckets)
+            yield from _dealt(np.concatenate(held), hash_bits, buckets)
 
     return pack
 
 
+def _meetings(prints: np.ndarray, bucket: int, width: int, rest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that several variants in the bucket have, with the fingerprint of each such variant."""
+    steps = _folds(prints, width) ^ bucket
+    order = np.argsort(steps)
+    prints = prints[order]
+    steps, begins, counts = np.unique(steps[order], return_index=True, return_counts=True)
+    masks = [_masks_by_fold(width)[s] for s in steps.tolist()]
+    firsts = np.r_[0, np.cumsum([len(m) * n for m, n in zip(masks, counts.tolist())])]
+    hashes = np.empty(firsts[-1], np.uint32 if rest <= 32 else np.uint64)
+    for first, begin, count, some in zip(firsts.tolist(), begins.tolist(), counts.tolist(), masks):
+        lines = max(1, POINTS // count)
+        for i in range(0, len(some), lines):
+            made = _mixed(some[i : i + lines, None] ^ prints[begin : begin + count], rest).ravel()
+            hashes[first + i * count :][: len(made)] = made
+    ordered = np.sort(hashes)
+    met = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(met):
+        return met, np.empty(0, np.uint64)
+    high = max(0, rest - 20)
+    seen = np.zeros(1 << (rest - high), bool)  # few hashes begin like one that meets: only those are looked up
+    seen[met >> high] = True
+    places = np.flatnonzero(seen[hashes >> high])
+    found = hashes[places]
+    meets = met[np.minimum(np.searchsorted(met, found), len(met) - 1)] == found
+    places, found = places[meets], found[meets]
+    part = np.searchsorted(firsts, places, "right") - 1
+    return found, prints[begins[part] + (places - firsts[part]) % counts[part]]
+
+
 def _bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
@@ -207,19 +226,12 @@ def _stars(hashes: np.ndarray, prints: np.ndarray, hash_bits: int) -> tuple[np.n
 
 def _linker(hash_bits: int):
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, prints = [], []
-        for first, width, low, top, used in zip(*(group[c] for c in ("first", "width", "low", "top", "prints"))):
-            entries = _unpack(first, width, low, top)
-            hashes.append(entries >> np.uint64(PLACE_BITS))
-            places = (entries & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-            prints.append(np.frombuffer(used, np.uint64)[places])
-        hashes, prints = np.concatenate(hashes), np.concatenate(prints)
-        ordered = np.sort(hashes)
-        met = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        if not len(met):
+        bucket, rest = int(group["bucket"].iloc[0]), int(group["rest"].iloc[0])
+        prints = np.concatenate([np.frombuffer(p, np.uint64) for p in group["prints"]])
+        hashes, prints = _meetings(prints, bucket, hash_bits - rest, rest)
+        if not len(hashes):
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        meets = met[np.minimum(np.searchsorted(met, hashes), len(met) - 1)] == hashes
-        left, right = _stars(hashes[meets], prints[meets], hash_bits)
+        left, right = _stars(hashes, prints, rest)
         return pd.DataFrame({"a": left.view(np.int64), "b": right.view(np.int64)}).drop_duplicates()
 
     return link
@@ -232,11 +244,13 @@ def links(prints: DataFrame) -> DataFrame:
     others that are truly linked.
     """
     n = prints.count()
-    hash_bits = min(50, max(16, (n * VARIANTS).bit_length() + HASH_SLACK))
+    hash_bits = max(16, (n * VARIANTS).bit_length() + HASH_SLACK)
     buckets = max(1, math.ceil(n * VARIANTS / BUCKET_ENTRIES))
     blocks = prints.select("fp").repartition(max(1, math.ceil(n / BLOCK)), "fp")
-    packed = blocks.mapInPandas(_packer(hash_bits, buckets), PACKED)
-    return packed.groupBy("bucket").applyInPandas(_linker(hash_bits), "a long, b long")
+    dealt = blocks.mapInPandas(_packer(hash_bits, buckets), DEALT)
+    # A bucket is small and makes thousands of times its size: its tasks are not left to Spark's choice by size.
+    dealt = dealt.repartition(math.ceil(buckets / TASK_BUCKETS), "bucket")
+    return dealt.groupBy("bucket").applyInPandas(_linker(hash_bits), "a long, b long")
 
 
 def _text_hash() -> Column:

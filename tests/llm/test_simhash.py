@@ -125,3 +125,45 @@ def test_one_row_of_each_brute_force_group_stays(make_docs):
     for i, fp in prints.items():
         least[groups[fp]] = min(i, least.get(groups[fp], i))
     assert sorted(r["doc_id"] for r in s.one_of_each(make_docs(rows)).collect()) == sorted(least.values())
+
+
+def test_a_fingerprint_sends_little_however_many_there_are():
+    prints = np.random.default_rng(5).integers(0, 2**63, 2 * s.BLOCK, dtype=np.uint64)
+
+    def sent(n):
+        """Bytes per fingerprint if there are n in all."""
+        hash_bits, buckets = (n * s.VARIANTS).bit_length() + s.HASH_SLACK, -(-n * s.VARIANTS // s.BUCKET_ENTRIES)
+        rows = pd.concat(s._packer(hash_bits, buckets)(iter([pd.DataFrame({"fp": prints.view(np.int64)})])))
+        return sum(20 + sum(len(v) for v in r if isinstance(v, bytes)) for r in rows.itertuples(index=False)) / len(prints)
+
+    # 0.5, 6 and 30 GB of the test tables' documents, each about 2,000 bytes
+    assert sent(235_000) < 500 and sent(2_800_000) < 1000 and sent(14_000_000) < 1000
+
+
+def test_near_copies_of_one_text_are_dealt_to_many_buckets():
+    flips = (np.random.default_rng(6).random((50_000, 64)) < 0.03) << np.arange(64, dtype=np.uint64)
+    prints = np.unique(np.uint64(0x123456789ABCDEF0) ^ flips.sum(axis=1, dtype=np.uint64))
+    rows = pd.concat(s._packer(39, 2048)(iter([pd.DataFrame({"fp": prints.view(np.int64)})])))
+    made = dict.fromkeys(range(2048), 0)
+    for bucket, rest, some in rows[["bucket", "rest", "prints"]].itertuples(index=False):
+        masks = s._masks_by_fold(39 - rest)
+        made[bucket] += sum(len(masks[f]) for f in (s._folds(np.frombuffer(some, np.uint64), 39 - rest) ^ bucket).tolist())
+    total = sum(made.values())
+    assert total == len(prints) * s.VARIANTS and max(made.values()) < 0.006 * total
+
+
+def test_links_of_many_buckets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(s, "BUCKET_ENTRIES", 10_000)
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 250, dtype=np.uint64)
+    near = base[:100] ^ s.MASKS[rng.integers(0, s.VARIANTS, 100)] ^ s.MASKS[rng.integers(0, s.VARIANTS, 100)]
+    dense = base[0] ^ s.MASKS[rng.integers(0, s.VARIANTS, 60)]
+    prints = np.unique(np.concatenate([base, near, dense]))
+    docs = spark.createDataFrame([(x,) for x in prints.view(np.int64).tolist()], "fp long")
+    roots = {r["node"]: r["root"] for r in components.components(s.links(docs)).collect()}
+    found, expected = {}, {}
+    for x, least in brute_groups(prints.tolist(), lambda a, b: (a ^ b).bit_count() <= 4).items():
+        signed = int(np.uint64(x).view(np.int64))
+        found.setdefault(roots.get(signed, signed), set()).add(x)
+        expected.setdefault(least, set()).add(x)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
